@@ -12,7 +12,7 @@ def count_values(df: DataFrame, keys: list[str], *values: str) -> DataFrame:
 
 def counted_percentile(value: Column | str, share: float) -> Column:
     """Interpolated percentile over rows of `count_values`."""
-    return F.percentile(value, share, "_n")
+    return F.percentile(value, share, F.col("_n"))
 
 
 def exact_percentile(df: DataFrame, keys: list[str], value: str, share: float, out: str, width: float = 1.0) -> DataFrame:

@@ -26,7 +26,9 @@ from stopclock.functions.ordering import lag_within_feed
 from stopclock.operators.accuracy import bias_tables, histogram, label_filter, matched, summarise
 from stopclock.operators.vehicles import fresh, latest_positions, one_per_id
 
-N = F.count(F.lit(1))
+
+def _rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def latest_run(runs: DataFrame) -> Column:
@@ -157,7 +159,7 @@ def collection_coverage(polls: DataFrame, feed: str = VEHICLE_POSITIONS, gap_lim
     return (
         rows.groupBy("day")
         .agg(
-            N.alias("successful_polls"),
+            _rows().alias("successful_polls"),
             (lost / 3600).alias("hours_lost"),
             (100 * (1 - lost / F.nullif(span, F.lit(0.0)))).alias("coverage_pct"),
         )
@@ -172,7 +174,7 @@ def worst_lost_share(coverage: DataFrame) -> DataFrame:
 
 def label_bands(arrivals: DataFrame, names: str = "page") -> DataFrame:
     """Arrivals per label-quality band with their share; the total is over at most five bands."""
-    counts = arrivals.groupBy(label_quality("ping_gap_seconds", names).alias("band")).agg(N.alias("n"))
+    counts = arrivals.groupBy(label_quality("ping_gap_seconds", names).alias("band")).agg(_rows().alias("n"))
     return counts.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy())).orderBy(F.desc("n"), "band")
 
 
@@ -180,7 +182,7 @@ def data_quality(polls: DataFrame, arrivals: DataFrame) -> dict[str, DataFrame]:
     return {
         "coverage": collection_coverage(polls),
         "label_bands": label_bands(arrivals),
-        "arrivals_total": arrivals.agg(N.alias("arrivals_total")),
+        "arrivals_total": arrivals.agg(_rows().alias("arrivals_total")),
     }
 
 
@@ -196,7 +198,7 @@ def model_run(runs: DataFrame) -> DataFrame:
 
 
 def _stop_counts(arrivals: DataFrame, stops: DataFrame) -> DataFrame:
-    per_version = arrivals.groupBy("feed_version", "stop_id").agg(N.alias("_n"))
+    per_version = arrivals.groupBy("feed_version", "stop_id").agg(_rows().alias("_n"))
     placed = stops.where(F.col("stop_lat").isNotNull() & F.col("stop_lon").isNotNull())
     return (
         per_version.join(placed, ["feed_version", "stop_id"])
@@ -343,7 +345,7 @@ def vehicles(positions: DataFrame, route_table: DataFrame, as_of: Column, max_ag
 
 def route_shapes(trips: DataFrame, shapes: DataFrame) -> DataFrame:
     """Each route's most used shape (the lowest id on a tie) and its points, of one schedule version."""
-    used = trips.where(F.col("shape_id").isNotNull()).groupBy("route_id", "shape_id").agg(N.alias("_n"))
+    used = trips.where(F.col("shape_id").isNotNull()).groupBy("route_id", "shape_id").agg(_rows().alias("_n"))
     chosen = used.groupBy("route_id").agg(F.min(F.struct((-F.col("_n")).alias("n"), "shape_id")).alias("_s")).select(
         "route_id", F.col("_s.shape_id").alias("shape_id")
     )

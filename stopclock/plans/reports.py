@@ -18,8 +18,13 @@ from stopclock.functions.quantiles import count_values, counted_percentile
 from stopclock.operators.accuracy import coverage_by_source, label_filter, matched, summarise, weighted_mean
 from stopclock.operators.quality import backward_arrivals
 
-N = F.count(F.lit(1))
-SIZE = F.col("abs_error_seconds")
+
+def _rows() -> Column:
+    return F.count(F.lit(1))
+
+
+def _size() -> Column:
+    return F.col("abs_error_seconds")
 
 
 def _tight(scored: DataFrame, horizon: int = 10) -> DataFrame:
@@ -61,8 +66,8 @@ def label_noise(scored: DataFrame) -> DataFrame:
         label_filter(scored, None)
         .groupBy("horizon_minutes")
         .agg(
-            F.avg(F.when(tight, SIZE)).alias("a"),
-            F.avg(F.when(poor, SIZE)).alias("b"),
+            F.avg(F.when(tight, _size())).alias("a"),
+            F.avg(F.when(poor, _size())).alias("b"),
             F.count_if(tight).alias("n_tight"),
             F.count_if(poor).alias("n_poor"),
         )
@@ -81,7 +86,7 @@ def ranked_routes(scored: DataFrame, worst: bool, min_n: int = 200, limit: int =
     by_route = (
         _tight(scored)
         .groupBy("route_id")
-        .agg(N.alias("n"), F.avg(SIZE).alias("mae"), F.avg("error_seconds").alias("bias"))
+        .agg(_rows().alias("n"), F.avg(_size()).alias("mae"), F.avg("error_seconds").alias("bias"))
         .where(F.col("n") >= min_n)
     )
     order = F.desc("mae") if worst else F.asc("mae")
@@ -94,7 +99,7 @@ def by_three_hours(scored: DataFrame) -> DataFrame:
     return (
         _tight(scored)
         .groupBy(three_hour_block("service_minute").alias("block"))
-        .agg(N.alias("n"), F.avg(SIZE).alias("mae"))
+        .agg(_rows().alias("n"), F.avg(_size()).alias("mae"))
         .orderBy("block")
         .select(three_hour_label("block").alias("service_hours"), "n", in_minutes("mae").alias("mae_min"))
     )
@@ -104,7 +109,7 @@ def by_day_type(scored: DataFrame) -> DataFrame:
     return (
         _tight(scored)
         .groupBy("is_weekend")
-        .agg(N.alias("n"), F.avg(SIZE).alias("mae"))
+        .agg(_rows().alias("n"), F.avg(_size()).alias("mae"))
         .select(day_type("is_weekend").alias("day_type"), "n", in_minutes("mae").alias("mae_min"))
     )
 
@@ -127,7 +132,7 @@ def baseline_report(scored: DataFrame) -> dict[str, DataFrame]:
 def head_to_head(scored: DataFrame) -> DataFrame:
     """MAE per source as columns, on rows all the known sources predicted."""
     rows = matched(label_filter(scored, TIGHT_LABEL_SECONDS), required=len(SOURCES))
-    of = [in_minutes(F.avg(F.when(F.col("source") == s, SIZE))).alias(s) for s in SOURCES]
+    of = [in_minutes(F.avg(F.when(F.col("source") == s, _size()))).alias(s) for s in SOURCES]
     return (
         rows.groupBy("horizon_minutes")
         .agg(*of, F.count_if(F.col("source") == AGENCY).alias("n"))
@@ -148,7 +153,7 @@ def source_coverage(scored: DataFrame) -> DataFrame:
 
 def p90_by_source(scored: DataFrame) -> DataFrame:
     counted = count_values(label_filter(scored, TIGHT_LABEL_SECONDS), ["horizon_minutes", "source"], "abs_error_seconds")
-    of = [in_minutes(counted_percentile(F.when(F.col("source") == s, SIZE), 0.9)).alias(s) for s in SOURCES]
+    of = [in_minutes(counted_percentile(F.when(F.col("source") == s, _size()), 0.9)).alias(s) for s in SOURCES]
     return (
         counted.groupBy("horizon_minutes")
         .agg(*of)
@@ -162,7 +167,7 @@ def bias_by_source(scored: DataFrame) -> DataFrame:
     return (
         label_filter(scored, TIGHT_LABEL_SECONDS)
         .groupBy("source")
-        .agg(F.avg("error_seconds").alias("bias"), F.avg(SIZE).alias("mae"), N.alias("n"))
+        .agg(F.avg("error_seconds").alias("bias"), F.avg(_size()).alias("mae"), _rows().alias("n"))
         .orderBy("mae", "source")
         .select("source", in_minutes("bias").alias("bias_min"), in_minutes("mae").alias("mae_min"), "n")
     )
@@ -175,7 +180,7 @@ def route_gains(scored: DataFrame, horizon: int = 10, min_n: int = 150, limit: i
     return (
         matched(rows, required=len(SOURCES))
         .groupBy("route_id")
-        .agg(F.count_if(agency).alias("n"), F.avg(F.when(agency, SIZE)).alias("a"), F.avg(F.when(trees, SIZE)).alias("b"))
+        .agg(F.count_if(agency).alias("n"), F.avg(F.when(agency, _size())).alias("a"), F.avg(F.when(trees, _size())).alias("b"))
         .where(F.col("n") >= min_n)
         .withColumn("gain", F.col("a") - F.col("b"))
         .orderBy(F.desc("gain"), "route_id")
@@ -219,7 +224,7 @@ def polls_by_status(polls: DataFrame, as_of: Column, hours: int = 24) -> DataFra
         _since(polls, "started_at", as_of, hours)
         .groupBy("feed", "status")
         .agg(
-            N.alias("polls"),
+            _rows().alias("polls"),
             F.round(F.avg("duration_ms")).alias("avg_ms"),
             F.max("duration_ms").alias("worst_ms"),
             F.sum(F.coalesce("rows_written", F.lit(0))).alias("rows_written"),
@@ -257,9 +262,9 @@ def compression(
     """Successful polls beside rows written: shows that change-only storage works. One row."""
     good = _since(polls, "started_at", as_of, hours).where((F.col("feed") == feed) & (F.col("status") == "ok"))
     return polls.sparkSession.range(1).select(
-        good.agg(N).scalar().alias("successful_polls"),
-        _since(predictions, ingested, as_of, hours).agg(N).scalar().alias("predictions_written"),
-        _since(positions, ingested, as_of, hours).agg(N).scalar().alias("positions_written"),
+        good.agg(_rows()).scalar().alias("successful_polls"),
+        _since(predictions, ingested, as_of, hours).agg(_rows()).scalar().alias("predictions_written"),
+        _since(positions, ingested, as_of, hours).agg(_rows()).scalar().alias("positions_written"),
     )
 
 
@@ -290,17 +295,17 @@ def arrivals_by_day(arrivals: DataFrame) -> DataFrame:
     """Per service day. Trips are counted from one row per trip, so a large day stays distributed."""
     method = F.col("method")
     per_trip = arrivals.groupBy("start_date", "trip_id").agg(
-        N.alias("n"), *[F.count_if(method == m).alias(m) for m in ("dwell", "interpolated", "at_ping")]
+        _rows().alias("n"), *[F.count_if(method == m).alias(m) for m in ("dwell", "interpolated", "at_ping")]
     )
     return (
         per_trip.groupBy("start_date")
-        .agg(F.sum("n").alias("arrivals"), N.alias("trips"), *[F.sum(m).alias(m) for m in ("dwell", "interpolated", "at_ping")])
+        .agg(F.sum("n").alias("arrivals"), _rows().alias("trips"), *[F.sum(m).alias(m) for m in ("dwell", "interpolated", "at_ping")])
         .orderBy(F.desc("start_date"))
     )
 
 
 def label_shares(arrivals: DataFrame) -> DataFrame:
-    counts = arrivals.groupBy(label_quality("ping_gap_seconds").alias("label_quality")).agg(N.alias("arrivals"))
+    counts = arrivals.groupBy(label_quality("ping_gap_seconds").alias("label_quality")).agg(_rows().alias("arrivals"))
     total = counts.agg(F.sum("arrivals")).scalar()
     return counts.withColumn("pct", F.round(100.0 * F.col("arrivals") / total, 1)).orderBy(F.desc("arrivals"), "label_quality")
 
@@ -308,7 +313,7 @@ def label_shares(arrivals: DataFrame) -> DataFrame:
 def inference_outcomes(log: DataFrame) -> DataFrame:
     return (
         log.groupBy("status")
-        .agg(N.alias("trips"), F.sum("arrivals_written").alias("arrivals"), F.sum("stops_skipped").alias("stops_skipped"))
+        .agg(_rows().alias("trips"), F.sum("arrivals_written").alias("arrivals"), F.sum("stops_skipped").alias("stops_skipped"))
         .orderBy(F.desc("trips"), "status")
     )
 

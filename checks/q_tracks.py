@@ -189,7 +189,7 @@ ne as (select start_date, trip_id, vehicle_id, stop_sequence, min(dist) as neare
 arr as (
   select st.*, nearest, case when fi.n >= 2 then 'dwell' when br.us is null then null when nearest <= 15 then 'at_ping' else 'interpolated' end as method,
          case when fi.n >= 2 then fi.a when nearest <= 15 then ne.nus when br.noff = br.off then br.us
-              else br.us + round((br.nus - br.us) * least(greatest((goal - br.off) / (br.noff - br.off), 0), 1)) end as at,
+              else br.us + round((br.nus - br.us) * least(greatest((st.goal - br.off) / (br.noff - br.off), 0), 1)) end as hit,
          case when fi.n >= 2 and fi.b > fi.a then fi.b end as gone,
          case when fi.n >= 2 then 0 else round((br.nus - br.us) / 1e6) end as gap
   from st left join fi on fi.start_date = st.start_date and fi.trip_id = st.trip_id and fi.vehicle_id = st.vehicle_id

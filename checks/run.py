@@ -22,7 +22,7 @@ def main(folder: str, only: list[str]) -> int:
     catalog.load_all()
     spark = build_session(
         "checks",
-        **{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+        **{"spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
     )
     spark.sparkContext.setLogLevel("OFF")
     con = duckdb.connect()

@@ -19,12 +19,13 @@ def weighted_mean(value: Column, where: Column | None = None) -> Column:
 
 def summarise(scored: DataFrame, keys: list[str]) -> DataFrame:
     """n, MAE, median, p90 and bias in seconds per key."""
-    counted = count_values(scored, keys, "error_seconds", "abs_error_seconds")
+    counted = count_values(scored, keys, "error_seconds")
+    size = F.abs("error_seconds")
     return counted.groupBy(*keys).agg(
         F.sum("_n").alias("n"),
-        weighted_mean(F.col("abs_error_seconds")).alias("mae_seconds"),
-        counted_percentile("abs_error_seconds", 0.5).alias("median_seconds"),
-        counted_percentile("abs_error_seconds", 0.9).alias("p90_seconds"),
+        weighted_mean(size).alias("mae_seconds"),
+        counted_percentile(size, 0.5).alias("median_seconds"),
+        counted_percentile(size, 0.9).alias("p90_seconds"),
         weighted_mean(F.col("error_seconds")).alias("bias_seconds"),
     )
 

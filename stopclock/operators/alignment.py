@@ -6,18 +6,16 @@ from pyspark.sql import functions as F
 from stopclock.operators.service_days import trip_windows, with_service_day
 
 
-def align(feed_stops: Column, schedule: Column) -> Column:
-    """Ordered feed stop ids against ordered struct(stop_sequence, stop_id), as array<int>.
+def align(feed_stops: Column, stop_ids: Column, sequences: Column) -> Column:
+    """Ordered feed stop ids against a schedule's ordered stop ids and sequences, as array<int>.
 
     Both lists are walked forward together, so a stop visited twice resolves to a different
     call each time; a stop with no match ahead is null and does not move the position.
     """
-    ids = F.transform(schedule, lambda s: s["stop_id"])
-    sequences = F.transform(schedule, lambda s: s["stop_sequence"].cast("int"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
 
     def step(state: Column, stop: Column) -> Column:
-        ahead = F.slice(ids, state["at"] + 1, F.size(ids))
+        ahead = F.slice(stop_ids, state["at"] + 1, F.size(stop_ids))
         hit = F.array_position(ahead, F.coalesce(stop, F.lit(""))).cast("int")
         reached = state["at"] + hit
         matched = F.when(hit > 0, F.get(sequences, reached - 1))
@@ -30,9 +28,13 @@ def align(feed_stops: Column, schedule: Column) -> Column:
 
 
 def scheduled_stops(stop_times: DataFrame, keys: tuple[str, ...] = ("trip_id",)) -> DataFrame:
-    """Each trip's stops in order, as one array; a trip's length is set by the schedule."""
-    stops = F.array_sort(F.collect_list(F.struct("stop_sequence", "stop_id")))
-    return stop_times.groupBy(*keys).agg(stops.alias("schedule"))
+    """Each trip's stop ids and sequences in order; a trip's length is set by the schedule."""
+    stops = F.array_sort(F.collect_list(F.struct(F.col("stop_sequence").cast("int").alias("stop_sequence"), "stop_id")))
+    return (
+        stop_times.groupBy(*keys)
+        .agg(stops.alias("_stops"))
+        .select(*keys, F.col("_stops.stop_id").alias("stop_ids"), F.col("_stops.stop_sequence").alias("sequences"))
+    )
 
 
 def resolve_predictions(rows: DataFrame, stop_times: DataFrame | None, poll: str = "observed_at") -> DataFrame:
@@ -55,8 +57,8 @@ def resolve_predictions(rows: DataFrame, stop_times: DataFrame | None, poll: str
     )
     aligned = (
         lists.join(scheduled_stops(stop_times), "trip_id", "left")
-        .withColumn("_known", F.col("schedule").isNotNull())
-        .withColumn("_found", align(F.transform("_rows", lambda r: r["stop_id"]), F.col("schedule")))
+        .withColumn("_known", F.col("stop_ids").isNotNull())
+        .withColumn("_found", align(F.col("_rows.stop_id"), F.col("stop_ids"), F.col("sequences")))
         .select(*group, "_known", "_found", F.posexplode("_rows").alias("_at", "_row"))
         .withColumn("stop_sequence", F.get("_found", F.col("_at")))
     )

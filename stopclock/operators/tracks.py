@@ -217,8 +217,10 @@ def build_track(
         *RUN, F.lit(1).alias("kind"), F.unix_micros("ts").alias("ts_us"), "lat", "lon",
         nothing.cast("double").alias("offset_m"),
     )
+    # A stated number of partitions: merging small ones by size would idle cores in a CPU-bound fold.
+    parts = int(pings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
-        shape_rows.unionByName(ping_rows).repartition(*RUN).sortWithinPartitions(*RUN, "kind", "ts_us")
+        shape_rows.unionByName(ping_rows).repartition(parts, *RUN).sortWithinPartitions(*RUN, "kind", "ts_us")
     )
     return ordered.mapInPandas(
         lambda batches: _match(batches, max_offroute_m, backtrack_m, max_speed_mps), TRACK_SCHEMA

@@ -263,7 +263,9 @@ from sums
     *LONG_NEEDS,
 )
 def _(v):
-    return segments.segment_sums(long_contexts(v), v.long_stop_times, long_stats(v)).select(
+    return segments.segment_sums(
+        long_contexts(v), v.long_stop_times, long_stats(v), segments.hours_in_use(v.long_arrivals)
+    ).select(
         "trip_id", "target_sequence", "horizon_minutes", F.round("segment_sum_seconds", 4).alias("segment_sum_seconds"),
         "coarse_segment_share",
     )
@@ -295,7 +297,8 @@ def _(v):
 
     asked = long_contexts(v)
     rows = features.build_features(
-        asked, v.long_stop_times, long_stats(v), long_conditions(v), features.route_index(v.long_agency)
+        asked, v.long_stop_times, long_stats(v), long_conditions(v), features.route_index(v.long_agency),
+        segments.hours_in_use(v.long_arrivals),
     )
     return rows.select("trip_id", "target_sequence", "horizon_minutes", *FEATURES, "label_seconds").withColumn(
         "segment_sum_seconds", F.round("segment_sum_seconds", 4)
@@ -337,7 +340,9 @@ x as (
     *LONG_NEEDS,
 )
 def _(v):
-    rows = score_source(v.long_agency, model.segment_mean(long_contexts(v), v.long_stop_times, long_stats(v)), SEGMENT_MEAN)
+    hours = segments.hours_in_use(v.long_arrivals)
+    said = model.segment_mean(long_contexts(v), v.long_stop_times, long_stats(v), hours)
+    rows = score_source(v.long_agency, said, SEGMENT_MEAN)
     return accuracy.summarise(rows, ["source", "horizon_minutes"])
 
 

@@ -29,9 +29,17 @@ def seconds_between(start: Column | str, end: Column | str) -> Column:
     return (micros(end) - micros(start)) / F.lit(1e6)
 
 
+def rounded(us: Column, unit_us: int) -> Column:
+    """Micros in whole units, rounded half away from zero.
+
+    Done on whole numbers: rounding a double goes through big decimals, row by row.
+    """
+    return (F.floor((F.abs(us) + unit_us // 2) / unit_us) * F.signum(us)).cast("int")
+
+
 def plus_seconds(instant: Column | str, seconds: Column | float | int) -> Column:
     shift = seconds if isinstance(seconds, Column) else F.lit(seconds)
-    return F.timestamp_micros(micros(instant) + F.round(shift.cast("double") * 1_000_000).cast("bigint"))
+    return F.timestamp_micros(micros(instant) + F.floor(shift.cast("double") * 1_000_000 + 0.5))
 
 
 def wall_clock(instant: Column | str, tz: str = SERVICE_TZ) -> Column:
@@ -42,18 +50,22 @@ def local_date(instant: Column | str, tz: str = SERVICE_TZ) -> Column:
     return F.to_date(wall_clock(instant, tz))
 
 
+def micros_into_service_day(instant: Column | str, day: Column | str, tz: str = SERVICE_TZ) -> Column:
+    return micros(wall_clock(instant, tz)) - micros(_col(day).cast("timestamp"))
+
+
 def seconds_into_service_day(instant: Column | str, day: Column | str, tz: str = SERVICE_TZ) -> Column:
-    return (micros(wall_clock(instant, tz)) - micros(_col(day).cast("timestamp"))) / F.lit(1e6)
+    return micros_into_service_day(instant, day, tz) / F.lit(1e6)
 
 
 def service_minute(instant: Column | str, day: Column | str, tz: str = SERVICE_TZ) -> Column:
     """Rounded half away from zero, not truncated."""
-    return F.round(seconds_into_service_day(instant, day, tz) / 60).cast("int")
+    return rounded(micros_into_service_day(instant, day, tz), 60_000_000)
 
 
 def hour_bin(instant: Column | str, day: Column | str, tz: str = SERVICE_TZ) -> Column:
     """Rounded half away from zero, so 12:30 falls in bin 13."""
-    return F.round(seconds_into_service_day(instant, day, tz) / 3600).cast("int")
+    return rounded(micros_into_service_day(instant, day, tz), 3_600_000_000)
 
 
 def is_weekend(day: Column | str) -> Column:
@@ -85,7 +97,7 @@ def prediction_instant(arrived: Column, horizon: Column, known: Column, anchor:
 
 
 def signed_error(predicted: Column | str, actual: Column | str) -> Column:
-    return F.round(seconds_between(actual, predicted)).cast("int")
+    return rounded(micros(predicted) - micros(actual), 1_000_000)
 
 
 def clamp_to_cutoff(anchor: Column, remaining: Column, cutoff: Column, clamp: bool = True) -> Column:

@@ -63,5 +63,5 @@ def interpolate_time(
     """Epoch micros at which a distance was passed, on the line between two track points."""
     span = after_m - before_m
     share = F.least(F.greatest((target_m - before_m) / span, F.lit(0.0)), F.lit(1.0))
-    moved = before_us + F.round((after_us - before_us) * share).cast("bigint")
+    moved = before_us + F.floor((after_us - before_us) * share + 0.5)
     return F.when(span <= 0, before_us).otherwise(moved)

@@ -96,16 +96,29 @@ def lookup_segments(pairs: DataFrame, stats: DataFrame) -> DataFrame:
     )
 
 
-def segment_sums(contexts: DataFrame, stop_times: DataFrame, stats: DataFrame) -> DataFrame:
+def hours_in_use(arrivals: DataFrame) -> DataFrame:
+    """Hour bins each trip was ever observed in: all an anchor can have."""
+    return arrivals.select(
+        "feed_version",
+        "trip_id",
+        hour_bin("arrived_at", "start_date").alias("hour_bin"),
+        is_weekend("start_date").alias("is_weekend"),
+    ).distinct()
+
+
+def segment_sums(
+    contexts: DataFrame, stop_times: DataFrame, stats: DataFrame, hours: DataFrame | None = None
+) -> DataFrame:
     """Sum of segment means from anchor to target, and the share of them that fell back.
 
     Walking every context's segments would multiply rows by trip length. Instead each trip
     gets running totals once per hour bin in use, and a context takes the difference of two
     of them. The hour bin is the anchor's for the whole span. A trip's totals travel as one
-    map, whose size is the trip's number of stops.
+    map, whose size is the trip's number of stops. `hours` (see hours_in_use) saves computing
+    the contexts a second time where they are not stored.
     """
     trip = ["feed_version", "trip_id"]
-    slots = contexts.select(*trip, "hour_bin", "is_weekend").distinct()
+    slots = hours if hours is not None else contexts.select(*trip, "hour_bin", "is_weekend").distinct()
     along = Window.partitionBy(*trip).orderBy("stop_sequence")
     pairs = stop_times.select(
         *trip,
@@ -129,16 +142,22 @@ def segment_sums(contexts: DataFrame, stop_times: DataFrame, stats: DataFrame) -
     maps = totals.groupBy(*key).agg(
         F.map_from_entries(F.collect_list(F.struct("stop_sequence", "_total"))).alias("_totals")
     )
-    start = F.try_element_at("_totals", F.col("anchor_sequence"))
-    end = F.try_element_at("_totals", F.col("target_sequence"))
-    count = F.coalesce(end["stops"] - start["stops"], F.lit(0))
+    found = contexts.join(maps, key, "left").select(
+        *contexts.columns,
+        F.try_element_at("_totals", F.col("anchor_sequence")).alias("_start"),
+        F.try_element_at("_totals", F.col("target_sequence")).alias("_end"),
+        F.coalesce(F.size("_totals"), F.lit(0)).alias("trip_stops"),
+    )
+    count = F.coalesce(F.col("_end.stops") - F.col("_start.stops"), F.lit(0))
     return (
-        contexts.join(maps, key, "left")
-        .withColumn("segment_sum_seconds", F.when(count > 0, end["seconds"] - start["seconds"]).otherwise(0.0))
+        found.withColumn("_count", count)
+        .withColumn(
+            "segment_sum_seconds",
+            F.when(F.col("_count") > 0, F.col("_end.seconds") - F.col("_start.seconds")).otherwise(0.0),
+        )
         .withColumn(
             "coarse_segment_share",
-            F.when(count > 0, (end["coarse"] - start["coarse"]) / count).otherwise(1.0),
+            F.when(F.col("_count") > 0, (F.col("_end.coarse") - F.col("_start.coarse")) / F.col("_count")).otherwise(1.0),
         )
-        .withColumn("trip_stops", F.coalesce(F.size("_totals"), F.lit(0)))
-        .drop("_totals")
+        .drop("_start", "_end", "_count")
     )

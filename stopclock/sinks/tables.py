@@ -124,12 +124,13 @@ def merge_counts(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFr
     )
 
 
-def append_log(rows: DataFrame, path: str) -> bool:
+def append_log(rows: DataFrame, path: str, partition_by: str | None = None) -> bool:
     """Append outcome rows, error text cut. A failure here is logged and never fails the job."""
     try:
         if "error" in rows.columns:
             rows = rows.withColumn("error", cut_error("error", MAX_ERROR_CHARS))
-        rows.write.mode("append").parquet(path)
+        writer = rows.write.mode("append")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         return True
     except Exception:
         log.exception("could not write the outcome log at %s", path)

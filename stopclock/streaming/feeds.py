@@ -23,6 +23,7 @@ from stopclock.sources.files import stored
 from stopclock.sources.snapshots import accepted, flatten_positions, flatten_predictions
 
 log = logging.getLogger(__name__)
+STORED_POLLS = T.StructType([*POLL_LOG.fields, T.StructField("started_on", T.DateType())])
 LANDED = T.StructType([*SNAPSHOT.fields, T.StructField("received_at", T.TimestampType())])
 
 
@@ -61,10 +62,15 @@ def mark_unchanged(snapshots: DataFrame, last_header: int | None = None) -> Data
     return snapshots.join(marks, ["feed", "received_at"])
 
 
-def _last_header(spark: SparkSession, store: Store, feed: str) -> int | None:
+def _last_header(snapshots: DataFrame, store: Store, feed: str) -> int | None:
+    """Header time of the newest logged poll. Only yesterday's and today's log is read: after a
+    longer outage nothing counts as unchanged, and the write is idempotent anyway."""
+    spark = snapshots.sparkSession
+    since = snapshots.agg(F.date_sub(F.to_date(F.min("received_at")), 1)).first()[0]
     row = (
-        stored(spark, store.table("poll_log"), POLL_LOG)
-        .where((F.col("feed") == feed) & F.col("status").isin("ok", "skipped_unchanged"))
+        stored(spark, store.table("poll_log"), STORED_POLLS)
+        .where((F.col("started_on") >= F.lit(since)) & (F.col("feed") == feed))
+        .where(F.col("status").isin("ok", "skipped_unchanged"))
         .agg(F.max_by(F.unix_timestamp("feed_timestamp"), "started_at"))
         .first()
     )
@@ -118,7 +124,7 @@ def _log_polls(snapshots: DataFrame, written: DataFrame | None, store: Store) ->
         F.coalesce("rows_written", F.lit(0)).cast("bigint").alias("rows_written"),
         F.lit(None).cast("string").alias("error"),
     )
-    append_log(rows, store.table("poll_log"))
+    append_log(rows.withColumn("started_on", F.to_date("started_at")), store.table("poll_log"), "started_on")
 
 
 def _failed(snapshots: DataFrame, store: Store, error: Exception) -> None:
@@ -133,13 +139,13 @@ def _failed(snapshots: DataFrame, store: Store, error: Exception) -> None:
         F.lit(0).cast("bigint").alias("rows_written"),
         F.lit(str(error)).alias("error"),
     )
-    append_log(rows, store.table("poll_log"))
+    append_log(rows.withColumn("started_on", F.to_date("started_at")), store.table("poll_log"), "started_on")
 
 
 def ingest_positions(snapshots: DataFrame, stop_times: DataFrame | None, store: Store) -> None:
     """One micro-batch: flatten, settle service days, write new positions, log every poll."""
     spark = snapshots.sparkSession
-    marked = mark_unchanged(snapshots, _last_header(spark, store, VEHICLE_POSITIONS)).persist()
+    marked = mark_unchanged(snapshots, _last_header(snapshots, store, VEHICLE_POSITIONS)).persist()
     try:
         rows = accepted(flatten_positions(marked.where(~F.col("unchanged")).drop("unchanged", "feed")))
         if stop_times is not None:
@@ -153,10 +159,11 @@ def ingest_positions(snapshots: DataFrame, stop_times: DataFrame | None, store:
         marked.unpersist()
 
 
-def last_kept(spark: SparkSession, store: Store, first, last) -> DataFrame:
-    """Last written prediction per key, from the table itself: what was not durably written is
-    not remembered, and only the open service days are read."""
-    table = stored(spark, store.table("predictions"), PREDICTIONS)
+def last_kept(rows: DataFrame, store: Store, first, last) -> DataFrame:
+    """Last written prediction of the keys in `rows`, from the table itself: what was not durably
+    written is not remembered, and only the open service days are read."""
+    asked = rows.select(*KEY).distinct()
+    table = stored(rows.sparkSession, store.table("predictions"), PREDICTIONS).join(asked, KEY, "left_semi")
     days = F.col("start_date").between(F.lit(first), F.lit(last)) if first is not None else F.lit(False)
     latest = F.max_by(F.struct("arrival_time", "delay_seconds"), "observed_at")
     return table.where(days).groupBy(*KEY).agg(latest.alias("_l")).select(*KEY, "_l.arrival_time", "_l.delay_seconds")
@@ -167,12 +174,12 @@ def ingest_predictions(
 ) -> None:
     """One micro-batch: flatten, resolve stops, keep changes only, write, log every poll."""
     spark = snapshots.sparkSession
-    marked = mark_unchanged(snapshots, _last_header(spark, store, TRIP_UPDATES)).persist()
+    marked = mark_unchanged(snapshots, _last_header(snapshots, store, TRIP_UPDATES)).persist()
     try:
         rows = accepted(flatten_predictions(marked.where(~F.col("unchanged")).drop("unchanged", "feed")))
         resolved = accepted(resolve_predictions(rows, stop_times, poll="received_at")).drop("feed_order").persist()
         first, last = _recent_days(resolved, RETAIN_SERVICE_DAYS)
-        changed = select_changed(resolved, threshold, last_kept(spark, store, first, last))
+        changed = select_changed(resolved, threshold, last_kept(resolved, store, first, last))
         written = _write_new(changed, store.table("predictions"), PREDICTIONS, KEYS["predictions"], "received_at")
         _log_polls(marked, written, store)
         resolved.unpersist()

@@ -140,65 +140,55 @@ class Views:
 
     @cached_property
     def predictions(self) -> DataFrame:
-        pk, sk = F.col("pk"), F.col("sk")
-        lead = [F.lit(45), F.lit(60), 290 + pk % 20, F.lit(600), 1100 + pk % 200, 5400 + pk % 3600]
-        revision = F.explode(
-            F.array(
-                *[
-                    F.when(
-                        (pk + 3 * k + sk) % 7 != 0,
-                        F.struct(
-                            F.lit(k).alias("k"),
-                            offset.cast("bigint").alias("lead"),
-                            ((pk * 31 + sk * 17 + k * 101) % 1500 - 700).alias("err"),
-                        ),
-                    )
-                    for k, offset in enumerate(lead)
-                ]
-            )
+        pk, sk, k = F.col("pk"), F.col("sk"), F.col("k")
+        lead = (
+            F.when(k == 0, 45)
+            .when(k == 1, 60)
+            .when(k == 2, 290 + pk % 20)
+            .when(k == 3, 600)
+            .when(k == 4, 1100 + pk % 200)
+            .otherwise(5400 + pk % 3600)
         )
         return (
-            self.calls.withColumn("r", revision)
-            .where(F.col("r").isNotNull())
+            self.calls.withColumn("k", F.explode(F.array(*[F.lit(n) for n in range(6)])))
+            .where((pk + 3 * k + sk) % 7 != 0)
+            .withColumn("lead", lead)
+            .withColumn("err", (pk * 31 + sk * 17 + k * 101) % 1500 - 700)
             .select(
                 "start_date",
                 "trip_id",
                 F.col("ln").alias("stop_sequence"),
-                plus_seconds("arrived_at", -F.col("r.lead")).alias("observed_at"),
+                plus_seconds("arrived_at", -F.col("lead")).alias("observed_at"),
                 "stop_id",
                 F.when(pk % 5 != 0, F.col("route_id")).alias("route_id"),
-                F.when((sk + F.col("r.k")) % 19 != 0, plus_seconds("arrived_at", F.col("r.err"))).alias("arrival_time"),
-                F.col("r.err").cast("int").alias("delay_seconds"),
+                F.when((sk + k) % 19 != 0, plus_seconds("arrived_at", F.col("err"))).alias("arrival_time"),
+                F.col("err").cast("int").alias("delay_seconds"),
             )
         )
 
     @cached_property
     def scored(self) -> DataFrame:
-        pk, sk = F.col("pk"), F.col("sk")
-        pairs = []
-        for h in HORIZONS_MINUTES:
-            for i, source in enumerate(SOURCES):
-                there = (sk + h) % 11 != 0
-                if i:
-                    there = there & ((pk + h + 7 * i) % 9 != 0)
-                    error = (pk * (31 + i) + sk * (17 + 2 * i) + h * 53 * i) % 1300 - 600
-                else:
-                    error = (pk * 31 + sk * 17 + h * 101) % 1500 - 700
-                pairs.append(
-                    F.when(
-                        there,
-                        F.struct(F.lit(h).alias("h"), F.lit(source).alias("s"), error.cast("int").alias("e")),
-                    )
-                )
+        pk, sk, h, i = F.col("pk"), F.col("sk"), F.col("p.h"), F.col("p.i")
+        # Constant pairs and one expression: sixteen spelled-out ones make a method too long to be compiled.
+        pairs = F.array(
+            *[
+                F.struct(F.lit(h).alias("h"), F.lit(i).alias("i"), F.lit(source).alias("s"))
+                for h in HORIZONS_MINUTES
+                for i, source in enumerate(SOURCES)
+            ]
+        )
+        agency = (pk * 31 + sk * 17 + h * 101) % 1500 - 700
+        other = (pk * (31 + i) + sk * (17 + 2 * i) + h * 53 * i) % 1300 - 600
         whole = F.lit(True)
-        for h in HORIZONS_MINUTES:
-            whole = whole & ((sk + h) % 11 != 0)
+        for minutes in HORIZONS_MINUTES:
+            whole = whole & ((sk + minutes) % 11 != 0)
         return (
             self.calls.withColumn("service_minute", service_minute("arrived_at", "start_date"))
             .withColumn("is_weekend", is_weekend("start_date"))
             .withColumn("has_all_horizons", whole)
-            .withColumn("p", F.explode(F.array(*pairs)))
-            .where(F.col("p").isNotNull())
+            .withColumn("p", F.explode(pairs))
+            .where(((sk + h) % 11 != 0) & ((i == 0) | ((pk + h + 7 * i) % 9 != 0)))
+            .withColumn("error_seconds", F.when(i == 0, agency).otherwise(other).cast("int"))
             .select(
                 "start_date",
                 "trip_id",
@@ -209,10 +199,10 @@ class Views:
                 "stop_id",
                 "route_id",
                 "arrived_at",
-                plus_seconds("arrived_at", F.col("p.e")).alias("predicted_arrival"),
+                plus_seconds("arrived_at", F.col("error_seconds")).alias("predicted_arrival"),
                 plus_seconds("arrived_at", -(F.col("p.h") * 60 + sk % 40)).alias("predicted_at"),
-                F.col("p.e").alias("error_seconds"),
-                F.abs("p.e").alias("abs_error_seconds"),
+                "error_seconds",
+                F.abs("error_seconds").alias("abs_error_seconds"),
                 F.col("gap").alias("ping_gap_seconds"),
                 "service_minute",
                 "is_weekend",

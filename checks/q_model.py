@@ -376,7 +376,7 @@ def _(v):
     """Trees, both baselines and the agency on the test days, matched; no SQL says this."""
     run = model.run_models(
         v.long_arrivals, v.long_trips, v.long_stop_times, v.long_agency, ("2024-03-04", FIT), ("2024-03-13", "2024-03-17"),
-        model.TreeSettings(rounds=5, step=0.3, depth=3),
+        model.TreeSettings(rounds=3, step=0.5, depth=3),
     )
     population = accuracy.matched(accuracy.label_filter(run.scored, 180))
     return accuracy.summarise(population, ["source", "horizon_minutes"])

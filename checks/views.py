@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stopclock.fixed import AGENCY, HORIZONS_MINUTES, SERVICE_TZ, SOURCES
 from stopclock.functions.clock import is_weekend, plus_seconds, service_minute
-from stopclock.session import use_utc
+from stopclock.session import ship_package, use_utc
 
 VERSIONS = ("f0", "f1")
 PACK = 1 << 31  # two keys in one whole number: their minimum stays a plain hash aggregate
@@ -31,6 +31,7 @@ def local_instant(day: Column, micros: Column) -> Column:
 class Views:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         use_utc(spark)
+        ship_package(spark)
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:

@@ -1,9 +1,14 @@
 """Session settings the operators rely on."""
 
 import os
+import shutil
+import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import stopclock
+
 
 def build_session(app: str = "stopclock", **conf: str) -> SparkSession:
     """A session with the settings every operator assumes; `conf` adds or overrides."""
@@ -20,7 +25,22 @@ def build_session(app: str = "stopclock", **conf: str) -> SparkSession:
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_stopclock_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="stopclock-"), "stopclock")
+    context.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(here), os.path.basename(here)))
+    # The worker that prepares a stateful stream does not see added files, so its code goes by value.
+    cloudpickle.register_pickle_by_value(stopclock)
+    context._stopclock_shipped = True
 
 
 def use_utc(spark: SparkSession) -> None:

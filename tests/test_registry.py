@@ -4,10 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from checks import catalog
 from checks.run import TABLES, rows_of
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = sorted(entry.queries())
+NAMES = sorted(catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -19,11 +20,11 @@ def duck():
 
 
 def test_every_sql_has_a_query():
-    assert set(entry.oracle_sql()) <= set(NAMES)
-    assert set(NAMES) - set(entry.oracle_sql()) == {"boosted_trees_accuracy"}
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(NAMES) - set(catalog.SQL) == {"boosted_trees_accuracy"}
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n in entry.oracle_sql()])
+@pytest.mark.parametrize("name", [n for n in NAMES if n in catalog.SQL])
 def test_query_equals_its_sql(spark, duck, name):
     df = entry.queries()[name](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stopclock.llm.near import near_duplicates
 from stopclock.llm.repeats import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +42,7 @@ with words as (
 )
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(gone), 0) as bigint) as n_removed,
   sha256(coalesce(array_to_string(case when gone is null then w
-    else list_transform(list_filter(range(1, len(w) + 1), i -> not list_contains(gone, i)), i -> w[i]) end, ' '), '')) as kept_sha256
+    else [w[i] for i in range(1, len(w) + 1) if not list_contains(gone, i)] end, ' '), '')) as kept_sha256
 from words left join removed using (doc_id)
 """
 
@@ -50,3 +51,8 @@ from words left join removed using (doc_id)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     kept = remove_repeats(table(spark, folder, "documents"), window=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op7_ngram_jaccard_join")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")

@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stopclock.llm.brown import score_texts
 from stopclock.llm.near import near_duplicates
 from stopclock.llm.repeats import remove_repeats
 
@@ -26,6 +27,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def held_out(folds: int):
+    """Whether crc32 of the doc_id as text leaves no remainder."""
+    return F.crc32(F.col("doc_id").cast("string")) % folds == 0
+
+
+@query("op1_lm_scoring")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_texts(table(spark, folder, "documents"), ~held_out(10))
+    return scored.select("doc_id", held_out(10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 OP2_SQL = r"""
 with words as (
   select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents

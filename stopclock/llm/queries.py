@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stopclock.llm.brown import score_texts
 from stopclock.llm.near import near_duplicates
 from stopclock.llm.repeats import remove_repeats
+from stopclock.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +69,9 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_ngram_jaccard_join")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), size=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out(5))
+    return scored.select("doc_id", held_out(5).alias("held_out"), "score", "predicted")

@@ -248,6 +248,7 @@ def _chosen(texts: pa.Array, toxic: np.ndarray, settings: Settings) -> np.ndarra
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """A model from the texts of a bounded sample of the labels of each class, chosen by a hash of the doc_id."""
+    total = dict(labels.groupBy("toxic").count().where(F.col("toxic").isin(0, 1)).collect())
     samples = []
     for label in (0, 1):
         picked = labels.where(F.col("toxic") == label).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(settings.sample)
@@ -277,10 +278,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     white = basis @ np.diag(1 / np.sqrt(np.maximum(level, 1e-3))) @ basis.T
     x = values.astype(np.float64) @ white
     y = np.where(toxic[row], 1.0, -1.0)
+    # the sample takes as many of either class: each document stands for its share of the labels
+    importance = np.where(toxic, total[1] / bad, total[0] / clean) / min(total[1] / bad, total[0] / clean)
     weight, bias = np.zeros(size), 0.0
     for turn in range(4):
-        share = np.where(y > 0, len(y) / max((y > 0).sum(), 1), len(y) / max((y < 0).sum(), 1)) / 2
-        weight, bias = _machine(x, y, share / len(y) * 100, settings.penalty)
+        weight, bias = _machine(x, y, importance[row], settings.penalty)
         f = x @ weight + bias
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, row, f)
@@ -290,14 +292,14 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         if turn < 3:
             x, y, row = x[keep], y[keep], row[keep]
     best = np.maximum(best, bias)
-    slope, shift = _calibrated(best, toxic)
+    slope, shift = _calibrated(best, toxic, importance)
     return Model(landmarks, white @ weight, bias, slope, shift)
 
 
-def _calibrated(f: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve of a document's best sentence, both classes weighing the same."""
+def _calibrated(f: np.ndarray, toxic: np.ndarray, importance: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve of a document's best sentence."""
     target = np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
-    c = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
+    c = importance / importance.sum()
     x = np.stack([f, np.ones_like(f)], 1)
     w = np.array([1.0, 0.0])
     for _ in range(50):

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopclock.llm.brown import score_texts
+from stopclock.llm.lines import remove_repeated_lines
+from stopclock.llm.mixing import mix
 from stopclock.llm.near import near_duplicates
+from stopclock.llm.phrases import contamination
 from stopclock.llm.repeats import remove_repeats
 from stopclock.llm.toxicity import score_toxicity
 
@@ -75,3 +78,79 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     scored = score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out(5))
     return scored.select("doc_id", held_out(5).alias("held_out"), "score", "predicted")
+
+
+OP3_SQL = r"""
+with clean_docs as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), clean_items as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), phrases as (
+  select distinct item_id, least(13, len(w)) as n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') as seq
+  from (select item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from clean_items where len(w) > 0)
+), starts as (
+  select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as seq
+  from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from clean_docs), (select distinct n from phrases)
+  where i + n - 1 <= len(w)
+), found as (
+  select doc_id, i, n, item_id from starts join phrases using (n, seq)
+), hits as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from found) group by doc_id
+), owners as (
+  select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
+  from (select distinct doc_id, cast(item_id as varchar) as id from found) group by doc_id
+)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from clean_docs left join hits using (doc_id) left join owners using (doc_id)
+"""
+
+
+@query("op3_benchmark_decontamination", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), window=13)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+OP4_SQL = r"""
+with docs as (
+  select doc_id, text, [x for x in string_split(text, chr(10)) if trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) <> ''] as lines from documents
+), windows as (
+  select doc_id, i, [trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) for x in lines[i:i + 2]] as seq
+  from (select doc_id, lines, unnest(range(1, len(lines) - 1)) as i from docs where len(lines) >= 3)
+), firsts as (
+  select seq, min(row(doc_id, i)) as first, count(*) as n from windows group by seq
+), covered as (
+  select doc_id, list(distinct i + k) as gone
+  from windows join firsts using (seq), (values (0), (1), (2)) as t(k)
+  where n > 1 and row(doc_id, i) <> first group by doc_id
+)
+select doc_id, cast(coalesce(len(lines), 0) as bigint) as n_lines, cast(coalesce(len(gone), 0) as bigint) as n_removed,
+  sha256(case when gone is null then text else array_to_string([lines[i] for i in range(1, len(lines) + 1) if not list_contains(gone, i)], chr(10)) end) as kept_sha256
+from docs left join covered using (doc_id)
+"""
+
+
+@query("op4_line_dedup", OP4_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    kept = remove_repeated_lines(table(spark, folder, "documents"), size=3)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The mixture of the registered query: half of all tokens, sources 0 to 4 as the domain "web".
+MIX_TOTAL, MIX_SEED, MIX_EPOCHS = 0.5, 7, 2
+MIX_WEIGHTS = [("web", 3.0), ("books", 2.0), ("other", 1.0), ("web/en", 4.0), ("web/de", 2.0), ("books/en", 2.0), ("books/fr", 2.0), ("other/es", 3.0)]
+WEB, BOOKS = ["src0", "src1", "src2", "src3", "src4"], ["src5", "src6", "src7", "src8", "src9"]
+
+
+def mixture(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    weights = spark.createDataFrame(MIX_WEIGHTS, "name string, weight double")
+    domain = F.when(F.col("source").isin(WEB), "web").when(F.col("source").isin(BOOKS), "books").otherwise("other")
+    return mix(docs, MIX_TOTAL, weights, MIX_SEED, MIX_EPOCHS, domain)
+
+
+@query("op6_mixing_sources")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(spark, table(spark, folder, "documents")).select("doc_id", "domain", "language", "source", "epoch", "n_tokens", "budget")

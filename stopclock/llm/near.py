@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopclock.llm.sieve import passing, sieve_of
-from stopclock.llm.store import components, one_per_document, ready, stored
+from stopclock.llm.store import components, most_frequent, one_per_document, ready, stored
 from stopclock.llm.words import mixed, slabs, words_of
 
 #: Tokens in this part of the hash range are counted in full; elsewhere only what repeats within a batch.
@@ -256,7 +256,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     counts = named.select("text").mapInArrow(_counts(size), "token long, sets int")
     common = counts.groupBy("token").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= MANY)
-    common = common.orderBy(F.desc("sets"), "token").limit(FREQUENT).select("token").toPandas()["token"]
+    common = most_frequent(stored(common, "common"), "sets", FREQUENT).select("token").toPandas()["token"]
     frequent = spark.sparkContext.broadcast(np.sort(common.to_numpy(np.int64).view(np.uint64)))
 
     found = named.select("text").mapInArrow(_signatures(size, percent, frequent), "sig long, node long, n int, pos int")

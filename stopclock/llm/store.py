@@ -51,6 +51,20 @@ def one_per_document(docs: DataFrame, *columns: str) -> DataFrame:
     return least.unionByName(docs.where("doc_id is null"))
 
 
+def most_frequent(counts: DataFrame, column: str, limit: int) -> DataFrame:
+    """The rows with the largest counts, at most `limit`: those of whole count levels, an eighth of a power of two
+    wide. Only the sizes of the levels reach the driver."""
+    level = F.floor(F.log2(column) * 8).cast("int")
+    sizes = counts.groupBy(level.alias("level")).count().collect()  # at most 64 * 8
+    taken, lowest = 0, None
+    for at, n in sorted(sizes, reverse=True):
+        taken += n
+        if taken > limit:
+            break
+        lowest = at
+    return counts.where(F.lit(False) if lowest is None else level >= lowest)
+
+
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
     """node, component: the least node that each linked node reaches.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopclock.llm.brown import score_texts
+from stopclock.llm.fingerprints import fingerprints
 from stopclock.llm.lines import remove_repeated_lines
 from stopclock.llm.mixing import mix
 from stopclock.llm.near import near_duplicates
@@ -154,3 +155,9 @@ def mixture(spark: SparkSession, docs: DataFrame) -> DataFrame:
 @query("op6_mixing_sources")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return mixture(spark, table(spark, folder, "documents")).select("doc_id", "domain", "language", "source", "epoch", "n_tokens", "budget")
+
+
+@query("op8_document_fingerprints")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    made = fingerprints(table(spark, folder, "documents"))
+    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from stopclock.llm.brown import score_texts
 from stopclock.llm.fingerprints import fingerprints
+from stopclock.llm.licenses import scan_licenses
 from stopclock.llm.lines import remove_repeated_lines
 from stopclock.llm.mixing import mix
 from stopclock.llm.near import near_duplicates
+from stopclock.llm.pages import extract_main_text
 from stopclock.llm.phrases import contamination
 from stopclock.llm.repeats import remove_repeats
 from stopclock.llm.toxicity import score_toxicity
@@ -161,3 +163,14 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     made = fingerprints(table(spark, folder, "documents"))
     return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op5_html_extraction")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op9_license_scans")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_licenses(table(spark, folder, "documents"))
+    return found.select("doc_id", "line", "license", "reduction", F.array_join("lacking", " ").alias("lacking"), F.array_join("added", " ").alias("added"))

@@ -31,9 +31,10 @@ def _following(ids: DataFrame) -> DataFrame:
     grouped = ids.select("id", F.shiftright("id", GROUP_BITS).alias("group"))
     inner = grouped.withColumn("next", F.lead("id").over(Window.partitionBy("group").orderBy("id")))
     groups = stored(grouped.groupBy("group").agg(F.min("id").alias("first")), "groups")
-    if groups.count() <= 1:
-        return inner.select("id", "next").where("next is not null")
-    above = _following(groups.select(F.col("group").alias("id"))).select(F.col("id").alias("group"), F.col("next").alias("group_"))
+    if groups.limit(1 << GROUP_BITS).count() < 1 << GROUP_BITS:  # few enough to be put in one order
+        above = groups.select("group", F.lead("group").over(Window.partitionBy(F.lit(0)).orderBy("group")).alias("group_"))
+    else:
+        above = _following(groups.select(F.col("group").alias("id"))).select(F.col("id").alias("group"), F.col("next").alias("group_"))
     after = above.join(groups.select(F.col("group").alias("group_"), "first"), "group_").select("group", "first")
     ends = inner.where("next is null").join(after, "group").select("id", F.col("first").alias("next"))
     return inner.select("id", "next").where("next is not null").unionByName(ends)

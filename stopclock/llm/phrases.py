@@ -16,6 +16,8 @@ from stopclock.llm.sieve import passing, sieve_of
 from stopclock.llm.store import one_per_document, ready, stored
 from stopclock.llm.words import PUNCTUATION, Words, slabs, words_of
 
+SALTS = 32
+
 
 def _words(texts: pa.Array) -> Words:
     return words_of(texts, PUNCTUATION, lower=True)
@@ -150,8 +152,10 @@ def search(docs: DataFrame, items: DataFrame, window: int = 13, slack: int = 0)
     pivots = stored(pivots, "pivots")
 
     index = stored(docs.select("doc_id", "text").mapInArrow(_postings(context.broadcast(sieve_of(pivots, "term"))), "term long, doc_id long, pos int"), "index")
-    postings = index.where("term is not null and doc_id is not null")
-    begun = postings.join(pivots, "term").select("phrase", "n", "doc_id", (F.col("pos") - F.col("offset")).alias("start"), "which")
+    # a term of a widespread passage has postings in very many documents: they are dealt over SALTS tasks
+    postings = index.where("term is not null and doc_id is not null").withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
+    salted = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    begun = postings.join(salted, ["term", "salt"]).select("phrase", "n", "doc_id", (F.col("pos") - F.col("offset")).alias("start"), "which")
     key = ["phrase", "n", "doc_id", "start"]
     if slack:
         reach = F.when(F.col("which") == 1, F.sequence(F.col("start") - slack, F.col("start") + slack)).otherwise(F.array("start"))

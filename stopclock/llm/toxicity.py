@@ -26,7 +26,7 @@ class Settings:
     spans. power: the normalised kernel is taken to this power. share: a word meets a landmark only if it holds
     this share of its distinct letters."""
 
-    sample: int = 2500
+    sample: int = 1500
     longest: int = 20_000
     landmarks: int = 128
     support: float = 0.01
@@ -52,6 +52,7 @@ class Units:
     """Distinct words of a slab as rows of symbols, and where each occurrence is."""
 
     symbols: np.ndarray
+    key: np.ndarray
     unit: np.ndarray
     occurrence: np.ndarray
     row: np.ndarray
@@ -78,7 +79,7 @@ def _units(texts: pa.Array) -> Units:
         breaks[1:] = STOPS[words.data[words.end[:-1] - 1]] | (lines[words.start[1:]] > lines[words.end[:-1]]) | (row[1:] != row[:-1])
     sentence = np.cumsum(breaks)[head] if count else head
     key = words.stretch(head, last + 1)
-    _, first, occurrence = np.unique(key, return_index=True, return_inverse=True)
+    key, first, occurrence = np.unique(key, return_index=True, return_inverse=True)
     start, end = words.start[head[first]], words.end[last[first]]
     # rows of symbols; a long word is several overlapping rows of its unit
     length = end - start
@@ -93,7 +94,7 @@ def _units(texts: pa.Array) -> Units:
     if gone.any():  # lead bytes take no room
         order = np.argsort(gone, axis=1, kind="stable")
         symbols = np.take_along_axis(symbols, order, 1)
-    return Units(symbols, unit, occurrence, row[head], sentence)
+    return Units(symbols, key, unit, occurrence, row[head], sentence)
 
 
 def _kernel(s: np.ndarray, t: np.ndarray, decay: float) -> np.ndarray:
@@ -215,21 +216,24 @@ def _machine(x: np.ndarray, y: np.ndarray, importance: np.ndarray, penalty: floa
 
 def _chosen(texts: pa.Array, toxic: np.ndarray, settings: Settings) -> np.ndarray:
     """Symbols of the landmarks: the words that tell toxic documents apart most, no two nearly alike."""
-    held: dict[bytes, np.ndarray] = {}
+    keys, looks = [np.zeros(0, np.uint64)], [np.zeros((0, WIDTH), np.uint8)]
+    seen, where = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
     for a, b in slabs(texts):
         units = _units(texts.slice(a, b - a))
-        pair = np.unique(np.stack([units.occurrence, units.row + a]), axis=1)
-        first = np.searchsorted(units.unit, np.arange(int(units.unit[-1]) + 1 if len(units.unit) else 0))
-        keys = [units.symbols[i].tobytes() for i in first]
-        for u, r in pair.T:
-            held.setdefault(keys[u], np.zeros(2))[int(toxic[r])] += 1
-    odds = toxic.sum() / max((~toxic).sum(), 1)
-    table = []
-    enough = max(3, settings.support * toxic.sum())
-    for k, n in held.items():
-        if np.count_nonzero(np.frombuffer(k, np.uint8)) >= 3 and n[1] >= enough:
-            chance = odds * (n[0] + 0.5)  # toxic documents that would hold the word if it told nothing
-            table.append(((n[1] - chance) / np.sqrt(chance) if n[1] > 4 * chance else 0.0, k))
+        unit, row = np.unique(np.stack([units.occurrence, units.row]), axis=1)
+        keys.append(units.key)
+        looks.append(units.symbols[np.searchsorted(units.unit, np.arange(len(units.key)))])
+        seen.append(units.key[unit])
+        where.append(toxic[row + a])
+    key, first = np.unique(np.concatenate(keys), return_index=True)
+    looks = np.concatenate(looks)[first]
+    at, where = np.searchsorted(key, np.concatenate(seen)), np.concatenate(where)
+    bad, good = np.bincount(at[where], minlength=len(key)), np.bincount(at[~where], minlength=len(key))
+    # toxic documents that would hold the word if it told nothing
+    chance = toxic.sum() / max((~toxic).sum(), 1) * (good + 0.5)
+    gain = (bad - chance) / np.sqrt(chance)
+    usable = (bad >= max(3, settings.support * toxic.sum())) & (bad > 4 * chance) & ((looks > 0).sum(1) >= 3)
+    table = [(gain[i], looks[i].tobytes()) for i in np.flatnonzero(usable)]
     table.sort(reverse=True)
     chosen: list[np.ndarray] = []
     for gain, k in table[: settings.landmarks * 4]:

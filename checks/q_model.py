@@ -60,8 +60,8 @@ from stats
 
 
 LOOKUP = """
-seg as (select from_stop_id, to_stop_id, sum(mean_seconds * n) / sum(n) as m from stats group by all),
-everywhere as (select coalesce(sum(mean_seconds * n) / sum(n), 60) as m from stats)
+seg as (select feed_version, from_stop_id, to_stop_id, sum(mean_seconds * n) / sum(n) as m from stats group by all),
+everywhere as (select feed_version, sum(mean_seconds * n) / sum(n) as m from stats group by feed_version)
 """
 
 
@@ -74,21 +74,22 @@ def long_stats(v):
     f"""
 with {durations("long_arrivals", FIT)}, {LOOKUP},
 q as (
-  select start_date, trip_id, stop_sequence, stop_id as from_stop_id, lead(stop_id) over w as to_stop_id,
+  select feed_version, start_date, trip_id, stop_sequence, stop_id as from_stop_id, lead(stop_id) over w as to_stop_id,
          round({day_seconds("arrived_at", "start_date")} / 3600)::bigint as hour_bin, isodow(start_date) in (6, 7) as is_weekend
   from long_arrivals window w as (partition by feed_version, start_date, trip_id order by stop_sequence))
-select q.trip_id, q.stop_sequence::bigint as stop_sequence, round(coalesce(s.mean_seconds, g.m, everywhere.m), 6) as mean_seconds,
+select q.trip_id, q.stop_sequence::bigint as stop_sequence, round(coalesce(s.mean_seconds, g.m, w.m, 60), 6) as mean_seconds,
        case when s.mean_seconds is not null then 'exact' when g.m is not null then 'segment' else 'global' end as level
-from q left join stats s on s.from_stop_id = q.from_stop_id and s.to_stop_id = q.to_stop_id and s.hour_bin = q.hour_bin
-       and s.is_weekend = q.is_weekend
-left join seg g on g.from_stop_id = q.from_stop_id and g.to_stop_id = q.to_stop_id cross join everywhere
+from q left join stats s on s.feed_version = q.feed_version and s.from_stop_id = q.from_stop_id and s.to_stop_id = q.to_stop_id
+       and s.hour_bin = q.hour_bin and s.is_weekend = q.is_weekend
+left join seg g on g.feed_version = q.feed_version and g.from_stop_id = q.from_stop_id and g.to_stop_id = q.to_stop_id
+left join everywhere w on w.feed_version = q.feed_version
 where q.to_stop_id is not null
 """,
     "long_arrivals",
 )
 def _(v):
     pairs = segments.segment_durations(v.long_arrivals).select(
-        "trip_id", "stop_sequence", "from_stop_id", "to_stop_id", "hour_bin", "is_weekend"
+        "feed_version", "trip_id", "stop_sequence", "from_stop_id", "to_stop_id", "hour_bin", "is_weekend"
     )
     return segments.lookup_segments(pairs, long_stats(v)).select("trip_id", "stop_sequence", "mean_seconds", "level")
 
@@ -243,11 +244,13 @@ hops as (
   window w as (partition by feed_version, trip_id order by stop_sequence)),
 sums as (
   select c.start_date, c.trip_id, c.stop_sequence, c.horizon_minutes,
-         sum(coalesce(s.mean_seconds, g.m, everywhere.m)) as total, count(*) filter (s.mean_seconds is null) / count(*)::double as coarse
+         sum(coalesce(s.mean_seconds, g.m, w.m, 60)) as total, count(*) filter (s.mean_seconds is null) / count(*)::double as coarse
   from ctx c join hops h on h.feed_version = c.feed_version and h.trip_id = c.trip_id and h.stop_sequence > c.aseq
        and h.stop_sequence <= c.stop_sequence
-  left join stats s on s.from_stop_id = h.f and s.to_stop_id = h.t and s.hour_bin = c.hour_bin and s.is_weekend = c.is_weekend
-  left join seg g on g.from_stop_id = h.f and g.to_stop_id = h.t cross join everywhere
+  left join stats s on s.feed_version = h.feed_version and s.from_stop_id = h.f and s.to_stop_id = h.t and s.hour_bin = c.hour_bin
+       and s.is_weekend = c.is_weekend
+  left join seg g on g.feed_version = h.feed_version and g.from_stop_id = h.f and g.to_stop_id = h.t
+  left join everywhere w on w.feed_version = h.feed_version
   group by all)
 """
 
@@ -285,7 +288,7 @@ select c.trip_id, c.stop_sequence::bigint as target_sequence, c.horizon_minutes:
        (hour({local("aat")}) * 60 + minute({local("aat")}))::double as minute_of_day, r.code::double as route_index,
        round({secs("aat", "c.arrived_at")}, 6) as label_seconds
 from ctx c join sums u using (start_date, trip_id, stop_sequence, horizon_minutes)
-join sizes z on z.trip_id = c.trip_id join routes_ r on r.route_id = c.route_id
+join sizes z on z.trip_id = c.trip_id and z.feed_version = c.feed_version join routes_ r on r.route_id = c.route_id
 left join cond k on k.route_id = c.route_id and k.bucket = epoch_us(c.instant) // 300000000
 left join cond p on p.route_id = c.route_id and p.bucket = epoch_us(c.instant) // 300000000 - 1
 """
@@ -376,7 +379,6 @@ def _(v):
     """Trees, both baselines and the agency on the test days, matched; no SQL says this."""
     run = model.run_models(
         v.long_arrivals, v.long_trips, v.long_stop_times, v.long_agency, ("2024-03-04", FIT), ("2024-03-13", "2024-03-17"),
-        model.TreeSettings(rounds=3, step=0.5, depth=3),
     )
     population = accuracy.matched(accuracy.label_filter(run.scored, 180))
     return accuracy.summarise(population, ["source", "horizon_minutes"])

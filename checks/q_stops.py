@@ -20,9 +20,9 @@ def _(v):
     return published.stops(v.arrivals, v.stops)
 
 
-@query("stop_search", STOPS.format(more="and s.stop_name ilike '%RED%'", limit=12), "arrivals", "stops")
+@query("stop_search", STOPS.format(more="and s.stop_name ilike '%NVIL 1%'", limit=12), "arrivals", "stops")
 def _(v):
-    return published.stop_search(v.arrivals, v.stops, "red")
+    return published.stop_search(v.arrivals, v.stops, "nvil 1")
 
 
 @query(
@@ -52,9 +52,9 @@ def _(v):
     "upcoming_at_stops",
     """
 with l as (
-  select *, row_number() over (partition by stop_id, trip_id, stop_sequence order by observed_at desc) as rn
-  from predictions where arrival_time is not null),
-f as (select *, row_number() over (partition by stop_id order by arrival_time, trip_id, stop_sequence) as pos
+  select *, row_number() over (partition by stop_id, start_date, trip_id, stop_sequence order by observed_at desc) as rn
+  from predictions where arrival_time is not null and start_date >= date '1997-12-30'),
+f as (select *, row_number() over (partition by stop_id order by arrival_time, trip_id, stop_sequence, start_date) as pos
       from l where rn = 1 and arrival_time > timestamp '1998-01-01 12:00:00'),
 t as (select trip_id, arg_min(trip_headsign, feed_version) as headsign, arg_min(route_id, feed_version) as troute from trips group by 1),
 rt as (select route_id, arg_min(route_short_name, feed_version) as short, arg_min(route_type, feed_version) as kind from routes group by 1),

@@ -8,20 +8,23 @@ from stopclock.fixed import CHANGE_THRESHOLD_SECONDS
 KEY = ["start_date", "trip_id", "stop_sequence"]
 
 
-def _both(a: Column, b: Column) -> Column:
-    return a.isNotNull() & b.isNotNull()
+#: What a prediction says: a time (2), only a delay (1), nothing (0).
+TIME, DELAY, NOTHING = 2, 1, 0
+
+
+def _said(arrival: Column, delay: Column) -> tuple[Column, Column]:
+    """Kind of a prediction, and its time or delay in micros."""
+    kind = F.when(arrival.isNotNull(), TIME).when(delay.isNotNull(), DELAY).otherwise(NOTHING)
+    return kind, F.coalesce(arrival, delay.cast("bigint") * 1_000_000, F.lit(0))
 
 
 def differs(arrival: Column, delay: Column, last_arrival: Column, last_delay: Column, threshold: int) -> Column:
-    """Whether a prediction is worth keeping beside the last kept one. Arrivals are epoch micros."""
-    by_delay = F.when(_both(delay, last_delay), F.abs(delay - last_delay) >= threshold).otherwise(
-        delay.isNotNull() | last_delay.isNotNull()
-    )
-    return (
-        F.when(_both(arrival, last_arrival), F.abs(arrival - last_arrival) >= threshold * 1_000_000)
-        .when(arrival.isNotNull() | last_arrival.isNotNull(), F.lit(True))
-        .otherwise(by_delay)
-    )
+    """Whether a prediction is worth keeping beside the last kept one: it says another kind of thing, or its value
+    lies outside the band of `threshold` seconds around the last. Arrivals are epoch micros."""
+    (kind, value), (last_kind, last_value) = _said(arrival, delay), _said(last_arrival, last_delay)
+    band = threshold * 1_000_000
+    outside = (value <= last_value - band) | (value >= last_value + band)
+    return (kind != last_kind) | ((kind != NOTHING) & outside)
 
 
 def select_changed(

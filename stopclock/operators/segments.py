@@ -62,37 +62,40 @@ def _weighted(value: str = "mean_seconds") -> Column:
 
 
 def segment_fallbacks(stats: DataFrame) -> DataFrame:
-    """Per segment: its weighted mean and its exact means by hour and day type.
+    """Per schedule version and segment: its weighted mean and its exact means by hour and day type.
 
     The map has at most one entry per hour bin and day type, sixty in all.
     """
     slot = F.col("hour_bin") * 2 + F.col("is_weekend").cast("int")
-    return stats.groupBy("from_stop_id", "to_stop_id").agg(
+    return stats.groupBy("feed_version", "from_stop_id", "to_stop_id").agg(
         _weighted().alias("segment_seconds"),
         F.map_from_entries(F.collect_list(F.struct(slot, F.col("mean_seconds")))).alias("exact_seconds"),
     )
 
 
 def global_mean(stats: DataFrame) -> DataFrame:
-    return stats.agg(F.coalesce(_weighted(), F.lit(DEFAULT_SEGMENT_SECONDS)).alias("global_seconds"))
+    """Per schedule version, the mean of all its segments."""
+    return stats.groupBy("feed_version").agg(_weighted().alias("global_seconds"))
 
 
 def lookup_segments(pairs: DataFrame, stats: DataFrame) -> DataFrame:
-    """Add `mean_seconds` and `level`: exact, else the segment at any time, else the global mean.
+    """Add `mean_seconds` and `level`: exact, else the segment at any time, else the mean of all segments.
 
-    `stats` is one fit of one feed version.
+    `stats` is one fit; each pair is looked up in its own schedule version. A version without statistics
+    gets the default.
     """
-    joined = pairs.join(segment_fallbacks(stats), ["from_stop_id", "to_stop_id"], "left")
+    joined = pairs.join(segment_fallbacks(stats), ["feed_version", "from_stop_id", "to_stop_id"], "left").join(
+        global_mean(stats), "feed_version", "left"
+    )
     slot = F.col("hour_bin") * 2 + F.col("is_weekend").cast("int")
     exact = F.try_element_at("exact_seconds", slot)
     level = (
         F.when(exact.isNotNull(), "exact").when(F.col("segment_seconds").isNotNull(), "segment").otherwise("global")
     )
-    everywhere = global_mean(stats).scalar()
     return (
         joined.withColumn("level", level)
-        .withColumn("mean_seconds", F.coalesce(exact, F.col("segment_seconds"), everywhere))
-        .drop("exact_seconds", "segment_seconds")
+        .withColumn("mean_seconds", F.coalesce(exact, F.col("segment_seconds"), F.col("global_seconds"), F.lit(DEFAULT_SEGMENT_SECONDS)))
+        .drop("exact_seconds", "segment_seconds", "global_seconds")
     )
 
 

@@ -9,11 +9,10 @@ from stopclock.functions.ordering import latest_per_key
 
 
 def fresh(positions: DataFrame, as_of, minutes: int) -> DataFrame:
-    """Located positions from the last `minutes` before `as_of`."""
-    edge = F.unix_micros(as_of) - minutes * 60_000_000
-    return positions.where(
-        (F.unix_micros("ts") > edge) & F.col("lat").isNotNull() & F.col("lon").isNotNull()
-    )
+    """Located positions from the last `minutes` before `as_of`. The bare column is compared, so the bound reaches
+    the scan's row groups; the service day a feed states is not relied on."""
+    edge = as_of - F.make_dt_interval(mins=F.lit(minutes))
+    return positions.where((F.col("ts") > edge) & F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
 def latest_positions(positions: DataFrame) -> DataFrame:

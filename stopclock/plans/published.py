@@ -286,18 +286,19 @@ def upcoming(
 ) -> DataFrame:
     """For every stop its next services with the agency's time and one corrected by measured bias.
 
-    The latest revision of a service is picked before past ones are dropped, so a withdrawn
-    older revision cannot come back, and the bias is looked up by the route the trip has.
+    The latest revision of a run's call is picked before past ones are dropped, so a withdrawn
+    older revision cannot come back, and the bias is looked up by the route the trip has. A run that
+    began over two days before `as_of` is over; its partitions are not read.
     """
     pair_bias, route_bias = bias_tables(scored, horizon, TIGHT_LABEL_SECONDS)
     latest = (
-        predictions.where(F.col("arrival_time").isNotNull())
-        .groupBy("stop_id", "trip_id", "stop_sequence")
+        predictions.where(F.col("arrival_time").isNotNull() & (F.col("start_date") >= F.to_date(as_of) - 2))
+        .groupBy("stop_id", "start_date", "trip_id", "stop_sequence")
         .agg(F.max_by(F.struct("route_id", "arrival_time", "observed_at"), "observed_at").alias("_p"))
-        .select("stop_id", "trip_id", "stop_sequence", "_p.*")
+        .select("stop_id", "start_date", "trip_id", "stop_sequence", "_p.*")
         .where(F.col("arrival_time") > as_of)
     )
-    order = Window.partitionBy("stop_id").orderBy("arrival_time", "trip_id", "stop_sequence")
+    order = Window.partitionBy("stop_id").orderBy("arrival_time", "trip_id", "stop_sequence", "start_date")
     next_ones = latest.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
     trip_side = one_per_id(trips, "trip_id", ["trip_headsign", "route_id"]).withColumnRenamed("route_id", "_route")
     route_side = one_per_id(route_table, "route_id", ["route_short_name", "route_type"])

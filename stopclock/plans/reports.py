@@ -216,7 +216,10 @@ def compare_report(scored: DataFrame, runs: DataFrame) -> dict[str, DataFrame]:
 
 
 def _since(df: DataFrame, column: str, as_of: Column, hours: int) -> DataFrame:
-    return df.where(F.unix_micros(column) > F.unix_micros(as_of) - F.lit(hours * 3_600_000_000))
+    """Rows of the last `hours`. The bare column is compared, so the bound reaches the scan, and so does the day."""
+    edge = as_of - F.make_dt_interval(hours=F.lit(hours))
+    recent = df.where(F.col(column) > edge)
+    return recent.where(F.col("started_on") >= F.to_date(edge)) if "started_on" in df.columns and column == "started_at" else recent
 
 
 def polls_by_status(polls: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:

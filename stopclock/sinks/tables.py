@@ -53,7 +53,8 @@ def append_new(
 
 def _write(df: DataFrame, path: str, mode: str, partition_by: list[str] | None) -> None:
     if partition_by:
-        df = df.repartition(*partition_by, F.pmod(F.xxhash64(*df.columns[:4]), F.lit(16)))
+        # AQE splits a partition value with many rows and merges those with few
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 

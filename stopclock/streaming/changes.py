@@ -8,23 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stopclock.fixed import CHANGE_THRESHOLD_SECONDS, RETAIN_SERVICE_DAYS
-from stopclock.operators.changes import KEY
+from stopclock.operators.changes import DELAY, KEY, NOTHING, TIME
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def worth_keeping(arrival, delay, last: tuple | None, threshold: int) -> bool:
-    """`arrival` in epoch micros; `last` is the last kept (arrival, delay)."""
-    if last is None:
-        return True
-    last_arrival, last_delay = last
-    if arrival is not None and last_arrival is not None:
-        return abs(arrival - last_arrival) >= threshold * 1_000_000
-    if (arrival is None) != (last_arrival is None):
-        return True
-    if delay is not None and last_delay is not None:
-        return abs(delay - last_delay) >= threshold
-    return delay != last_delay
+def said(rows: pd.DataFrame) -> pd.DataFrame:
+    """Kind and value in micros of each prediction, as `operators.changes` defines them."""
+    timed, delayed = rows["arrival_time"].notna(), rows["delay_seconds"].notna()
+    micros = rows["arrival_time"].astype("datetime64[us, UTC]" if rows["arrival_time"].dt.tz else "datetime64[us]").astype("int64")
+    delay = rows["delay_seconds"].fillna(0).astype("int64") * 1_000_000
+    kind = timed * TIME + (~timed & delayed) * DELAY
+    return pd.DataFrame({"kind": kind, "value": micros.where(timed, delay.where(delayed, 0))})
+
+
+def kept_places(kinds: list[int], values: list[int], last: tuple[int, int] | None, band: int) -> list[int]:
+    """Places of the predictions that leave the band around the one kept before them, or say another kind of thing."""
+    places = []
+    for place, now in enumerate(zip(kinds, values, strict=True)):
+        if last is None or now[0] != last[0] or (now[0] != NOTHING and not last[1] - band < now[1] < last[1] + band):
+            places.append(place)
+            last = now
+    return places
 
 
 class ChangeOnly(StatefulProcessor):
@@ -33,25 +38,24 @@ class ChangeOnly(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "arrival bigint, delay int")
+        self.last = handle.getValueState("last", "kind int, value bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = self.last.get() if self.last.exists() else None
         fresh = state is None
-        kept = []
-        for row in pd.concat(list(rows)).sort_values("observed_at").itertuples(index=False):
-            arrival = None if pd.isna(row.arrival_time) else row.arrival_time.value // 1000
-            delay = None if pd.isna(row.delay_seconds) else int(row.delay_seconds)
-            if worth_keeping(arrival, delay, state, self.threshold):
-                state = (arrival, delay)
-                kept.append(row)
-        if kept:
-            self.last.update(state)
+        batch = pd.concat(list(rows))
+        # one order for every run: by observation, then by all that a row says
+        batch = batch.sort_values(["observed_at", *[c for c in batch.columns if c != "observed_at"]], kind="stable", na_position="first")
+        what = said(batch)
+        kinds, values = what["kind"].tolist(), what["value"].tolist()
+        places = kept_places(kinds, values, None if fresh else (int(state[0]), int(state[1])), self.threshold * 1_000_000)
+        if places:
+            self.last.update((kinds[places[-1]], values[places[-1]]))
         if fresh and self.retain_days is not None:
             closes = dt.datetime.combine(key[0], dt.time(), dt.UTC) + dt.timedelta(days=self.retain_days + 1)
             self.handle.registerTimer(int(closes.timestamp() * 1000))
-        if kept:
-            frame = pd.DataFrame(kept)
+        if places:
+            frame = batch.iloc[places].copy()
             frame["delay_seconds"] = frame["delay_seconds"].astype("Int32")
             yield frame
 

@@ -1,5 +1,8 @@
 """Freshness of the feeds and outages, as queries over logged checks."""
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,17 +81,21 @@ def outages(checks: DataFrame, failures: int = FAILURES_BEFORE_ALERT) -> DataFra
 def notifications(checks: DataFrame, failures: int = FAILURES_BEFORE_ALERT, again_after: int = RENOTIFY_SECONDS) -> DataFrame:
     """Bad checks that notify: the one that starts the alert, then again each time the period
     since the last notification is over. What counts is the last one sent, so this is a fold
-    over one outage, at whole seconds."""
+    over one outage, at whole seconds: Spark sorts, and one pass keeps the last one sent and nothing else."""
     bad = _numbered(checks).where(F.col("nth") >= failures)
-    seconds = F.floor(F.unix_micros("checked_at") / F.lit(1_000_000))
-    times = bad.groupBy("feed", "island", seconds.alias("_s")).agg(F.min("checked_at").alias("checked_at"))
-    lists = times.groupBy("feed", "island").agg(F.array_sort(F.collect_list("_s")).alias("_all"))
-    none = F.array().cast("array<bigint>")
-
-    def step(sent: Column, now: Column) -> Column:
-        due = (F.size(sent) == 0) | (now - F.try_element_at(sent, F.lit(-1)) >= again_after)
-        return F.when(due, F.concat(sent, F.array(now))).otherwise(sent)
-
-    return lists.select(
-        "feed", "island", F.explode(F.aggregate("_all", none, step)).alias("_s")
-    ).select("feed", "island", F.timestamp_seconds("_s").alias("notified_at"))
+    seconds = F.floor(F.unix_micros("checked_at") / F.lit(1_000_000)).cast("bigint")
+    times = bad.select("feed", F.col("island").cast("bigint").alias("island"), seconds.alias("second")).distinct()
+    ordered = times.repartition("feed", "island").sortWithinPartitions("feed", "island", "second")
+
+    def due(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        outage, sent = None, 0
+        for batch in batches:
+            take = []
+            for feed, island, second in batch.itertuples(index=False):
+                take.append((feed, island) != outage or second - sent >= again_after)
+                if take[-1]:
+                    outage, sent = (feed, island), second
+            yield batch[take]
+
+    out = ordered.mapInPandas(due, "feed string, island bigint, second bigint")
+    return out.select("feed", "island", F.timestamp_seconds("second").alias("notified_at"))

@@ -9,9 +9,6 @@ from stopclock.operators.changes import KEY
 from stopclock.session import shared_folder
 from stopclock.streaming.changes import changed_stream
 
-ROWS_PER_PARTITION = 500_000
-
-
 def replay_changes(observed: DataFrame, slices: int = 3, fallback: str = "/tmp") -> DataFrame:
     """Land the whole table as time slices, stream them with change-only state, read the result.
 
@@ -20,32 +17,28 @@ def replay_changes(observed: DataFrame, slices: int = 3, fallback: str = "/tmp")
     spark = observed.sparkSession
     root = f"{shared_folder(spark, fallback)}/replay-{uuid.uuid4().hex}"
     landing, kept = f"{root}/landing", f"{root}/kept"
-    lo, hi, rows = observed.agg(F.min("observed_at"), F.max("observed_at"), F.count(F.lit(1))).first()
-    # State keeps the number of partitions it starts with: sized by the data, at most the session's.
-    setting = "spark.sql.shuffle.partitions"
-    usual = spark.conf.get(setting)
-    spark.conf.set(setting, str(min(int(usual), max(8, rows // ROWS_PER_PARTITION))))
-    try:
-        return _replay(observed, landing, kept, f"{root}/checkpoint", slices, lo, hi)
-    finally:
-        spark.conf.set(setting, usual)
+    lo, hi = observed.agg(F.min("observed_at"), F.max("observed_at")).first()
+    if lo is None:
+        return observed.limit(0)
+    return _replay(observed, landing, kept, f"{root}/checkpoint", slices, lo, hi)
 
 
 def _replay(observed: DataFrame, landing: str, kept: str, checkpoint: str, slices: int, lo, hi) -> DataFrame:
+    """One run of the stream per landed slice, from one checkpoint: later slices meet the state of earlier ones."""
     spark = observed.sparkSession
     step = (hi - lo) / slices
     for i in range(slices):
         upper = F.lit(True) if i == slices - 1 else F.col("observed_at") < F.lit(lo + step * (i + 1))
         part = observed.where((F.col("observed_at") >= F.lit(lo + step * i)) & upper)
         part.repartition(*KEY).write.mode("append").parquet(landing)
-    stream = spark.readStream.schema(observed.schema).parquet(landing)
-    query = (
-        changed_stream(stream, retain_days=None)
-        .writeStream.option("checkpointLocation", checkpoint)
-        .format("parquet")
-        .option("path", kept)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+        stream = spark.readStream.schema(observed.schema).parquet(landing)
+        query = (
+            changed_stream(stream, retain_days=None)
+            .writeStream.option("checkpointLocation", checkpoint)
+            .format("parquet")
+            .option("path", kept)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
     return spark.read.schema(observed.schema).parquet(kept)

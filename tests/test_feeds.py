@@ -8,7 +8,6 @@ from stopclock.operators.alignment import align, resolution_summary, resolve_pre
 from stopclock.operators.changes import select_changed
 from stopclock.schemas import SNAPSHOT
 from stopclock.sources.snapshots import accepted, drop_counts, flatten_positions, flatten_predictions, note_counts
-from stopclock.streaming.changes import worth_keeping
 from tests.conftest import day, utc
 
 EPOCH = 1_790_881_200  # 2026-10-01 19:00:00 UTC
@@ -186,8 +185,9 @@ def test_random_series_match_the_fold_also_across_batches(spark):
         frames.append(series(spark, values, f"t{t}"))
         last, keep = None, []
         for i, (a, d) in enumerate(values):
-            if worth_keeping(None if a is None else a * 1_000_000, d, last, 30):
-                last = (None if a is None else a * 1_000_000, d)
+            now = ("time", a) if a is not None else ("delay", d) if d is not None else ("nothing", 0)
+            if last is None or now[0] != last[0] or (now[0] != "nothing" and abs(now[1] - last[1]) >= 30):
+                last = now
                 keep.append(i)
         expected[f"t{t}"] = keep
     rows = frames[0]

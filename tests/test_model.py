@@ -122,19 +122,19 @@ def test_segment_stats_stop_at_the_boundary_and_need_good_ends(spark):
     assert {r["hour_bin"] for r in got} == {12} and got[0]["stddev_seconds"] is None
 
 
-STATS = "from_stop_id string, to_stop_id string, hour_bin int, is_weekend boolean, n int, mean_seconds double, fit_through_date date"
+STATS = "feed_version string, from_stop_id string, to_stop_id string, hour_bin int, is_weekend boolean, n int, mean_seconds double, fit_through_date date"
 
 
 def stats(spark):
     d = day("2026-09-30")
     return spark.createDataFrame(
-        [("s1", "s2", 12, False, 3, 100.0, d), ("s1", "s2", 8, False, 1, 200.0, d), ("s2", "s3", 8, True, 4, 50.0, d)], STATS
+        [("v", "s1", "s2", 12, False, 3, 100.0, d), ("v", "s1", "s2", 8, False, 1, 200.0, d), ("v", "s2", "s3", 8, True, 4, 50.0, d)], STATS
     )
 
 
 def test_lookup_falls_back_exact_segment_global(spark):
     pairs = spark.createDataFrame(
-        [("s1", "s2", 12, False), ("s1", "s2", 9, False), ("s8", "s9", 12, False)], "from_stop_id string, to_stop_id string, hour_bin int, is_weekend boolean"
+        [("v", "s1", "s2", 12, False), ("v", "s1", "s2", 9, False), ("v", "s8", "s9", 12, False)], "feed_version string, from_stop_id string, to_stop_id string, hour_bin int, is_weekend boolean"
     )
     got = {(r["from_stop_id"], r["hour_bin"]): (r["mean_seconds"], r["level"]) for r in S.lookup_segments(pairs, stats(spark)).collect()}
     assert got == {("s1", 12): (100.0, "exact"), ("s1", 9): (125.0, "segment"), ("s8", 12): (87.5, "global")}
@@ -142,6 +142,27 @@ def test_lookup_falls_back_exact_segment_global(spark):
     assert {(r["mean_seconds"], r["level"]) for r in empty} == {(60.0, "global")}
 
 
+def test_versions_that_share_a_segment_keep_their_own_means(spark):
+    other = stats(spark).withColumn("feed_version", F.lit("w")).withColumn("mean_seconds", F.col("mean_seconds") * 2)
+    both = stats(spark).unionByName(other)
+    pairs = spark.createDataFrame(
+        [(v, "s1", "s2", h, False) for v in ("v", "w", "x") for h in (12, 9)], "feed_version string, from_stop_id string, to_stop_id string, hour_bin int, is_weekend boolean"
+    )
+    got = {(r["feed_version"], r["hour_bin"]): (r["mean_seconds"], r["level"]) for r in S.lookup_segments(pairs, both).collect()}
+    assert got == {
+        ("v", 12): (100.0, "exact"), ("v", 9): (125.0, "segment"), ("w", 12): (200.0, "exact"), ("w", 9): (250.0, "segment"),
+        ("x", 12): (60.0, "global"), ("x", 9): (60.0, "global"),
+    }
+    row = S.segment_sums(context(spark, 1, 3), stop_times(spark, 1, 2, 3, 4), both).first()
+    assert row["segment_sum_seconds"] == pytest.approx(150.0)
+
+
+def test_the_best_round_is_looked_for_with_patience():
+    assert M.best_round([5.0, 4.0, 3.0, 3.5, 2.0], 5) == 5
+    assert M.best_round([5.0, 4.0, 3.0, 3.5, 3.4, 2.0], 2) == 3
+    assert M.best_round([1.0], 3) == 1
+
+
 def context(spark, anchor, target, arrived=0, hour=12):
     return spark.createDataFrame(
         [(DAY, "t", "v", anchor, target, hour, False)],

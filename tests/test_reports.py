@@ -152,8 +152,8 @@ def test_alerts_need_two_bad_checks_and_repeat_hourly(spark):
 def test_upcoming_uses_the_latest_revision_and_the_best_bias(spark):
     when = lambda t: utc(f"2026-10-01 {t}")
     preds = spark.createDataFrame(
-        [("stop", "t", 1, None, when("20:00:00"), when("18:00:00")), ("stop", "t", 1, None, when("18:30:00"), when("18:10:00")), ("stop", "u", 1, "r", when("19:30:00"), when("18:10:00"))],
-        "stop_id string, trip_id string, stop_sequence int, route_id string, arrival_time timestamp, observed_at timestamp",
+        [(day("2026-10-01"), "stop", "t", 1, None, when("20:00:00"), when("18:00:00")), (day("2026-10-01"), "stop", "t", 1, None, when("18:30:00"), when("18:10:00")), (day("2026-10-01"), "stop", "u", 1, "r", when("19:30:00"), when("18:10:00"))],
+        "start_date date, stop_id string, trip_id string, stop_sequence int, route_id string, arrival_time timestamp, observed_at timestamp",
     )
     trips = spark.createDataFrame([("v", "u", "r", "North")], "feed_version string, trip_id string, route_id string, trip_headsign string")
     table = spark.createDataFrame([("v1", "r", "7", 3), ("v2", "r", "7X", 3)], "feed_version string, route_id string, route_short_name string, route_type int")
@@ -167,6 +167,37 @@ def test_upcoming_uses_the_latest_revision_and_the_best_bias(spark):
     assert weak["correction_basis"] == "none" and weak["corrected_arrival"] is None
 
 
+def test_upcoming_keeps_runs_of_one_trip_on_two_days_apart(spark):
+    when = lambda d, t: utc(f"2026-10-0{d} {t}")
+    preds = spark.createDataFrame(
+        [(day("2026-10-01"), "stop", "t", 1, "r", when(1, "18:30:00"), when(1, "18:20:00")), (day("2026-10-02"), "stop", "t", 1, "r", when(2, "18:30:00"), when(1, "18:10:00"))],
+        "start_date date, stop_id string, trip_id string, stop_sequence int, route_id string, arrival_time timestamp, observed_at timestamp",
+    )
+    trips = spark.createDataFrame([("v", "t", "r", "North")], "feed_version string, trip_id string, route_id string, trip_headsign string")
+    table = spark.createDataFrame([("v", "r", "7", 3)], "feed_version string, route_id string, route_short_name string, route_type int")
+    got = P.stop_upcoming(preds, trips, table, scored(spark, row(error=1)), "stop", F.lit(when(1, "19:00:00"))).collect()
+    assert [r["mts_arrival"] for r in got] == [when(2, "18:30:00")]
+
+
+def test_filters_by_time_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "predictions")
+    preds = spark.createDataFrame(
+        [(day(f"2026-10-0{d}"), "stop", "t", 1, "r", utc(f"2026-10-0{d} 18:30:00"), utc(f"2026-10-0{d} 18:00:00")) for d in range(1, 9)],
+        "start_date date, stop_id string, trip_id string, stop_sequence int, route_id string, arrival_time timestamp, observed_at timestamp",
+    )
+    preds.write.partitionBy("start_date").parquet(path)
+    trips = spark.createDataFrame([("v", "t", "r", "North")], "feed_version string, trip_id string, route_id string, trip_headsign string")
+    table = spark.createDataFrame([("v", "r", "7", 3)], "feed_version string, route_id string, route_short_name string, route_type int")
+    upcoming = P.upcoming(spark.read.parquet(path), trips, table, scored(spark, row(error=1)), F.to_timestamp(F.lit("2026-10-08 12:00:00")))
+    plan = upcoming._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(start_date" in plan and "start_date" in plan.split("PartitionFilters")[1][:200]
+    polls = spark.createDataFrame([("f", "ok", utc("2026-10-08 11:00:00"), 5, 1)], "feed string, status string, started_at timestamp, duration_ms int, rows_written int")
+    stored = str(tmp_path / "polls")
+    polls.write.parquet(stored)
+    plan = R.polls_by_status(spark.read.parquet(stored), F.to_timestamp(F.lit("2026-10-08 12:00:00")))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(started_at" in plan
+
+
 def test_stop_detail_pivots_sources(spark):
     st = spark.createDataFrame([("v", "t", 1, 43000)], "feed_version string, trip_id string, stop_sequence int, arrival_seconds int")
     got = P.stop_detail(scored(spark, *seed()), st, "stop").first()

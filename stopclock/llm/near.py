@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopclock.llm.sieve import passing, sieve_of
-from stopclock.llm.store import components, most_frequent, one_per_document, ready, stored
+from stopclock.llm.store import components, most_frequent, one_per_document, ready, small_batches, stored
 from stopclock.llm.words import mixed, slabs, words_of
 
 #: Tokens in this part of the hash range are counted in full; elsewhere only what repeats within a batch.
 COUNTED = 1 << 62
 REPEATS = 3
+BUFFER = 1 << 21
 #: A token of as many sets is frequent. The table of frequent tokens holds at most FREQUENT of them, the most
 #: frequent; tokens beyond it are indexed singly, so the bound costs time and no result.
 MANY = 8
@@ -89,18 +90,26 @@ def _distinct_nodes(node: np.ndarray, n: np.ndarray, seen: set[int]) -> np.ndarr
 
 
 def _counts(size: int):
-    """(text) to tokens with the number of distinct sets of the batch that hold them."""
+    """(text) to tokens with the number of distinct sets that hold them, counted for BUFFER tokens at a time."""
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        token, count = np.unique(np.concatenate(held), return_counts=True)
+        take = (token < COUNTED) | (count >= REPEATS)
+        return pa.RecordBatch.from_arrays([pa.array(token[take].view(np.int64)), pa.array(count[take].astype(np.int32))], ["token", "sets"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held, many = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            seen: set[int] = set()
-            held = [np.zeros(0, np.uint64)]
             for a, b in slabs(batch.column(0)):
                 row, token, n, node = _sets(batch.column(0).slice(a, b - a), size)
                 held.append(token[_distinct_nodes(node, n, seen)[row]])
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            take = (token < COUNTED) | (count >= REPEATS)
-            yield pa.RecordBatch.from_arrays([pa.array(token[take].view(np.int64)), pa.array(count[take].astype(np.int32))], ["token", "sets"])
+                many += len(held[-1])
+            if many > BUFFER:
+                yield counted(held)
+                seen.clear()
+                held, many = held[:1], 0
+        yield counted(held)
 
     return run
 
@@ -249,7 +258,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     """
     spark = docs.sparkSession
     ready(spark)
-    docs = one_per_document(docs, "text")
+    with small_batches(spark):
+        return _grouped(one_per_document(docs, "text"), size, percent)
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """All that runs in Python is done when this returns."""
+    spark = docs.sparkSession
     named = docs.where("doc_id is not null")
     nodes = stored(docs.select("doc_id", "text").mapInArrow(_nodes(size), "doc_id long, node long, n long, sketch binary"), "nodes")
     real = nodes.where("n > 0 and doc_id is not null")

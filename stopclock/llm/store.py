@@ -1,6 +1,8 @@
 """Written intermediate tables, one row per document, and connected components."""
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,18 @@ def ready(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of at most `size` for the jobs run inside, so that a worker's memory does not follow long texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
+
+
 def one_per_document(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id and the named columns, one row per doc_id.
 

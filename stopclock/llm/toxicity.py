@@ -32,7 +32,7 @@ class Settings:
     support: float = 0.01
     decay: float = 0.9
     power: int = 12
-    share: float = 0.75
+    share: float = 0.9
     penalty: float = 10.0
 
 
@@ -251,22 +251,42 @@ def _chosen(texts: pa.Array, toxic: np.ndarray, settings: Settings) -> np.ndarra
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """A model from the texts of a bounded sample of the labels of each class, chosen by a hash of the doc_id."""
+    """A model from the texts of a bounded sample of the labels of each class, chosen by a hash of the doc_id. One task
+    learns from the sample; only the model reaches the driver."""
     total = dict(labels.groupBy("toxic").count().where(F.col("toxic").isin(0, 1)).collect())
-    samples = []
+    if len(total) < 2:  # nothing to tell apart
+        return Model(None, np.zeros(0), 0.0, 1.0, 8.0 if 1 in total else -8.0)
+    picked = None
     for label in (0, 1):
-        picked = labels.where(F.col("toxic") == label).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(settings.sample)
-        picked = docs.join(F.broadcast(picked.select("doc_id")), "doc_id")  # at most `sample` ids
-        picked = picked.where(F.length("text") <= settings.longest).select("text").distinct()
-        samples.append(picked.toArrow().column(0).combine_chunks().cast(pa.large_string()).sort())
-    clean, bad = (len(x) for x in samples)
-    if not clean or not bad:  # nothing to tell apart
-        return Model(None, np.zeros(0), 0.0, 1.0, 8.0 if bad else -8.0)
-    texts = pa.concat_arrays(samples)
-    toxic = np.arange(len(texts)) >= clean
-    marks = _chosen(texts, toxic, settings)
+        ids = labels.where(F.col("toxic") == label).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(settings.sample)
+        picked = ids.select("doc_id", "toxic") if picked is None else picked.unionByName(ids.select("doc_id", "toxic"))
+    sample = docs.join(F.broadcast(picked), "doc_id")  # at most twice `sample` ids
+    sample = sample.where(F.length("text") <= settings.longest).select("toxic", "text").distinct()
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches), pa.schema([("toxic", pa.int64()), ("text", pa.large_string())])).sort_by([("toxic", "ascending"), ("text", "ascending")])
+        toxic = rows.column(0).to_numpy() == 1
+        model = _learned(rows.column(1).combine_chunks(), toxic, total, settings)
+        marks = model.landmarks.symbols if model.landmarks else np.zeros((0, WIDTH), np.uint8)
+        numbers = [*model.weight.tolist(), model.bias, model.slope, model.shift]
+        yield pa.RecordBatch.from_arrays([pa.array([marks.tobytes()], pa.binary()), pa.array([numbers], pa.list_(pa.float64()))], ["marks", "numbers"])
+
+    one = sample.select(F.col("toxic").cast("long"), "text").coalesce(1)
+    marks, numbers = one.mapInArrow(lambda batches: learned(_large(batches)), "marks binary, numbers array<double>").first()
+    symbols = np.frombuffer(marks, np.uint8).reshape(-1, WIDTH)
+    return Model(Landmarks(symbols, settings) if len(symbols) else None, np.array(numbers[:-3]), *numbers[-3:])
+
+
+def _large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.large_string())], ["toxic", "text"])
+
+
+def _learned(texts: pa.Array, toxic: np.ndarray, total: dict[int, int], settings: Settings) -> Model:
+    bad, clean = int(toxic.sum()), int((~toxic).sum())
+    marks = _chosen(texts, toxic, settings) if bad and clean else ()
     if not len(marks):
-        return Model(None, np.zeros(0), 0.0, 1.0, -8.0)
+        return Model(None, np.zeros(0), 0.0, 1.0, -8.0 if clean or not bad else 8.0)
     landmarks = Landmarks(marks, settings)
     found = [(np.zeros(0, np.int64), np.zeros((0, len(landmarks.symbols)), np.float32))]
     for a, b in slabs(texts):

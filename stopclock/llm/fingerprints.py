@@ -16,7 +16,10 @@ PIECE = 64
 #: of both versions, and at least so many.
 CELLS, PER_DIGEST, LEAST = 5, 16, 256
 TURNS = 6
-GROUP_BITS = 10
+RETRY = 16
+#: Documents are handled in groups of consecutive ids, dealt over SPREAD times the session's shuffle partitions: a
+#: document is many rows of cells.
+GROUP_BITS, SPREAD = 10, 4
 
 
 def digests(text: Column) -> Column:
@@ -52,6 +55,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
     order = stored(order, "order")
     per = Window.partitionBy("group").orderBy("doc_id")
     texts = docs.select(F.shiftright("doc_id", GROUP_BITS).alias("group"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.repartition(SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group")
     texts = texts.withColumns({"next_text": F.lead("text").over(per), "place": F.row_number().over(per)})
     opening = texts.where("place = 1").select("group", F.col("text").alias("opening"))
     opening = opening.join(order, "group").select(F.col("before").alias("group"), "opening")
@@ -61,8 +65,8 @@ def _with_next(docs: DataFrame) -> DataFrame:
 
 
 def _sketched(versions: DataFrame, growth: int, salt: int) -> DataFrame:
-    """Per document: fingerprint and edited_fingerprint cells, and for either pair how many digests were recovered and
-    how many cells remain. Everything after `versions` stays in the partition of its group."""
+    """group, made: per group a map of doc_id to fingerprint, edited fingerprint, the numbers of digests, and for either
+    pair how many digests were recovered and how many cells remain. No row leaves the partition of its group."""
     marked = [F.expr(f"transform({c}, k -> struct({w} as which, k as digest))") for w, c in enumerate(("own", "edited", "following"))]
     entry = F.explode(F.concat(*marked))
     each = versions.select("group", "doc_id", *[F.size(c).alias(f"n{w}") for w, c in enumerate(("own", "edited", "following"))], entry.alias("e"))
@@ -73,19 +77,21 @@ def _sketched(versions: DataFrame, growth: int, salt: int) -> DataFrame:
     placed = each.withColumn("spot", F.explode(F.when(F.col("which") == 0, spots[0]).when(F.col("which") == 1, spots[1]).otherwise(spots[2])))
     placed = placed.withColumn("kind", F.floor(F.col("spot") / 3).cast("int")).withColumn("table", F.col("spot") % 3)
     other = F.when(F.col("kind") == 2, F.col("n1")).otherwise(F.col("n2"))
-    width = F.when(F.col("kind") < 2, F.lit(CELLS)).otherwise(F.greatest(F.lit(LEAST), PER_DIGEST * (F.col("n0") + other)) * growth)
-    placed = placed.withColumn("width", width.cast("int"))
+    width = F.when(F.col("kind") < 2, F.lit(CELLS)).otherwise(F.greatest(F.lit(LEAST), PER_DIGEST * (F.col("n0") + other)) * growth).cast("int")
+    placed = placed.withColumn("width", width)
 
     def cell(digest: str, table: str, width: str) -> Column:
         return F.expr(f"cast(pmod(xxhash64({digest}, {table}, {salt}), {width}) as int) * 3 + {table}")
 
-    keys = ["group", "doc_id", "kind", "width", "cell"]
+    owner = ["group", "doc_id", "n0", "n1", "n2"]
+    keys = [*owner, "kind", "cell"]
     sign = F.when((F.col("kind") >= 2) & (F.col("which") > 0), -1).otherwise(1)
-    cells = placed.select("group", "doc_id", "kind", "width", cell("digest", "table", "width").alias("cell"), sign.alias("n"), "digest", F.expr("hash(digest, 7)").alias("proof"))
+    cells = placed.select(*owner, "kind", cell("digest", "table", "width").alias("cell"), sign.alias("n"), "digest", F.expr("hash(digest, 7)").alias("proof"))
     summed = [F.sum("n").cast("int").alias("n"), F.bit_xor("digest").alias("digest"), F.bit_xor("proof").alias("proof")]
     cells = cells.groupBy(*keys).agg(*summed).where("n <> 0 or digest <> 0 or proof <> 0").withColumn("found", F.lit(0))
     for turn in range(TURNS):
         table = turn % 3
+        cells = cells.withColumn("width", width)
         pure = F.expr(
             f"kind >= 2 and cell >= 0 and cell % 3 = {table} and abs(n) = 1 and proof = hash(digest, 7) "
             f"and cell = cast(pmod(xxhash64(digest, {table}, {salt}), width) as int) * 3 + {table}"
@@ -93,15 +99,17 @@ def _sketched(versions: DataFrame, growth: int, salt: int) -> DataFrame:
         taken = [F.struct(cell("digest", str(t), "width").alias("cell"), (-F.col("n")).alias("n"), "digest", "proof", F.lit(0).alias("found")) for t in range(3) if t != table]
         noted = F.struct(F.lit(-1).alias("cell"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("digest"), F.lit(0).alias("proof"), F.lit(1).alias("found"))
         same = F.struct("cell", "n", "digest", "proof", "found")
-        cells = cells.select("group", "doc_id", "kind", "width", F.explode(F.when(pure, F.array(*taken, noted)).otherwise(F.array(same))).alias("c"))
-        cells = cells.select("group", "doc_id", "kind", "width", "c.*").groupBy(*keys).agg(*summed, F.sum("found").cast("int").alias("found"))
+        cells = cells.select(*owner, "kind", F.explode(F.when(pure, F.array(*taken, noted)).otherwise(F.array(same))).alias("c"))
+        cells = cells.select(*owner, "kind", "c.*").groupBy(*keys).agg(*summed, F.sum("found").cast("int").alias("found"))
         cells = cells.where("n <> 0 or digest <> 0 or proof <> 0 or found > 0")
     shown = F.struct("cell", F.concat(F.hex(F.col("n").cast("long")), F.lit(":"), F.hex("digest"), F.lit(":"), F.substring(F.hex(F.col("proof").cast("long")), -8, 8)).alias("body"))
     out = [F.sort_array(F.collect_list(F.when(F.col("kind") == k, shown))).alias(f"cells{k}") for k in (0, 1)]
     for k in (2, 3):
         out.append(F.sum(F.when((F.col("kind") == k) & (F.col("cell") < 0), F.col("found")).otherwise(0)).alias(f"found{k}"))
         out.append(F.sum(F.when((F.col("kind") == k) & (F.col("cell") >= 0), 1).otherwise(0)).alias(f"left{k}"))
-    return cells.groupBy("group", "doc_id").agg(*out)
+    told = [F.array_join(F.transform(f"cells{k}", lambda c: F.concat(c["cell"].cast("string"), F.lit("="), c["body"])), " ").alias(f"print{k}") for k in (0, 1)]
+    made = cells.groupBy(*owner).agg(*out).select("group", "doc_id", F.struct(*told, "n0", "n1", "n2", "found2", "left2", "found3", "left3").alias("sketch"))
+    return made.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("doc_id", "sketch"))).alias("made"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -118,31 +126,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     64 code points, do; repeated paragraphs count once.
     """
     docs = one_per_document(docs, "text").where("doc_id is not null")
-    texts = _with_next(docs)
-    cut = F.expr("int(length(text) / 4)")
-    texts = texts.select("group", "doc_id", "text", "next_text", cut.alias("cut"))
+    texts = _with_next(docs).withColumn("cut", F.expr("int(length(text) / 4)"))
     edited = F.expr("concat(left(text, length(text) - cut), left(next_text, cut))")
     versions = texts.select("group", "doc_id", digests(F.col("text")).alias("own"), digests(edited).alias("edited"), digests(F.col("next_text")).alias("following"))
-    plain = texts.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
-    sizes = versions.select("doc_id", *[F.size(c).alias(f"n{w}") for w, c in enumerate(("own", "edited", "following"))])
-
-    sketch = stored(_sketched(versions, 1, 0).drop("group").join(sizes, "doc_id", "right"), "sketches")
-    growth = 1
-    while not (failed := sketch.where("left2 > 0 or left3 > 0")).isEmpty():
-        growth *= 4
-        again = versions.join(failed.select("doc_id"), "doc_id", "left_semi")
-        redone = _sketched(again, growth, growth).drop("group", "cells0", "cells1")
-        redone = redone.join(failed.select("doc_id", "cells0", "cells1", "n0", "n1", "n2"), "doc_id")
-        sketch = stored(sketch.where("not (coalesce(left2, 0) > 0 or coalesce(left3, 0) > 0)").unionByName(redone), "sketches")
-
-    def near(found: str, other: str) -> Column:
-        total = F.col("n0") + F.col(other)
-        return F.when(total == 0, 1.0).otherwise(1 - F.coalesce(found, F.lit(0)) / total)
-
-    def text_of(cells: str) -> Column:
-        return F.coalesce(F.array_join(F.transform(cells, lambda c: F.concat(c["cell"].cast("string"), F.lit("="), c["body"])), " "), F.lit(""))
-
-    out = sketch.select(
-        "doc_id", text_of("cells0").alias("fingerprint"), text_of("cells1").alias("edited_fingerprint"), near("found2", "n1").alias("near_edited"), near("found3", "n2").alias("near_next")
+    first = _sketched(versions, 1, 0)
+    failed = F.expr("transform(filter(map_entries(made), e -> e.value.left2 + e.value.left3 > 0), e -> e.key)")
+    again = first.select("group", failed.alias("again")).where(F.size("again") > 0)
+    second = _sketched(versions.join(again, "group").where(F.array_contains("again", F.col("doc_id"))), RETRY, 1)
+
+    out = texts.join(first, "group", "left").join(second.withColumnRenamed("made", "remade"), "group", "left")
+    out = out.withColumn("sketch", F.try_element_at("made", F.col("doc_id")))
+    out = out.withColumn("peeled", F.coalesce(F.try_element_at("remade", F.col("doc_id")), F.col("sketch")))
+
+    def near(k: int, other: str) -> Column:
+        total = F.col("sketch.n0") + F.col(f"sketch.{other}")
+        likeness = F.when(total > 0, 1 - F.col(f"peeled.found{k}") / total).otherwise(1.0)
+        return F.when(F.col(f"peeled.left{k}") > 0, F.raise_error(F.lit("the larger sketch could not be peeled either"))).otherwise(likeness)
+
+    return out.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        edited.alias("edited"),
+        F.coalesce("sketch.print0", F.lit("")).alias("fingerprint"),
+        F.coalesce("sketch.print1", F.lit("")).alias("edited_fingerprint"),
+        near(2, "n1").alias("near_edited"),
+        near(3, "n2").alias("near_next"),
     )
-    return plain.join(out, "doc_id").select("doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next")

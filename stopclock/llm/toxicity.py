@@ -272,7 +272,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         yield pa.RecordBatch.from_arrays([pa.array([marks.tobytes()], pa.binary()), pa.array([numbers], pa.list_(pa.float64()))], ["marks", "numbers"])
 
     one = sample.select(F.col("toxic").cast("long"), "text").coalesce(1)
-    marks, numbers = one.mapInArrow(lambda batches: learned(_large(batches)), "marks binary, numbers array<double>").first()
+    made = one.mapInArrow(lambda batches: learned(_large(batches)), "marks binary, numbers array<double>").first()
+    if made is None:  # no labelled text
+        return Model(None, np.zeros(0), 0.0, 1.0, -8.0)
+    marks, numbers = made
     symbols = np.frombuffer(marks, np.uint8).reshape(-1, WIDTH)
     return Model(Landmarks(symbols, settings) if len(symbols) else None, np.array(numbers[:-3]), *numbers[-3:])
 

@@ -51,7 +51,7 @@ def mark_unchanged(snapshots: DataFrame, last_header: int | None = None) -> Data
 
     A skipped snapshot has the header of the one last written, so comparing with the one
     before is comparing with the one last written. A missing header is never unchanged.
-    Only headers are sorted; the messages stay where they are.
+    Snapshots landed in one instant share a mark: unchanged if each of them is. Only headers are sorted; the messages stay where they are.
     """
     order = Window.partitionBy("feed").orderBy("received_at")
     before = F.lag("header_ts", 1, last_header).over(order)
@@ -59,22 +59,23 @@ def mark_unchanged(snapshots: DataFrame, last_header: int | None = None) -> Data
     marks = snapshots.select("feed", "received_at", header.alias("header_ts")).select(
         "feed", "received_at", F.coalesce(F.col("header_ts") == before, F.lit(False)).alias("unchanged")
     )
+    marks = marks.groupBy("feed", "received_at").agg(F.bool_and("unchanged").alias("unchanged"))
     return snapshots.join(marks, ["feed", "received_at"])
 
 
 def _last_header(snapshots: DataFrame, store: Store, feed: str) -> int | None:
-    """Header time of the newest logged poll. Only yesterday's and today's log is read: after a
-    longer outage nothing counts as unchanged, and the write is idempotent anyway."""
+    """Header time of the newest logged poll that worked. It is nearly always in yesterday's or today's log; only
+    where that holds none, after a longer outage, the log before is read too."""
     spark = snapshots.sparkSession
     since = snapshots.agg(F.date_sub(F.to_date(F.min("received_at")), 1)).first()[0]
-    row = (
-        stored(spark, store.table("poll_log"), STORED_POLLS)
-        .where((F.col("started_on") >= F.lit(since)) & (F.col("feed") == feed))
-        .where(F.col("status").isin("ok", "skipped_unchanged"))
-        .agg(F.max_by(F.unix_timestamp("feed_timestamp"), "started_at"))
-        .first()
+    worked = stored(spark, store.table("poll_log"), STORED_POLLS).where(
+        (F.col("feed") == feed) & F.col("status").isin("ok", "skipped_unchanged")
     )
-    return row[0]
+    for log in (worked.where(F.col("started_on") >= F.lit(since)), worked):
+        polls, header = log.agg(F.count(F.lit(1)), F.max_by(F.unix_timestamp("feed_timestamp"), "started_at")).first()
+        if polls:
+            return header
+    return None
 
 
 def _recent_days(batch: DataFrame, days: int) -> tuple:

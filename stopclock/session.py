@@ -5,7 +5,7 @@ import shutil
 import tempfile
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 import stopclock
 
@@ -62,12 +62,3 @@ def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     if fallback is None:
         raise ValueError("spark.checkpoint.dir is not set and no folder was given")
     return fallback
-
-
-def cut_lineage(df: DataFrame, fallback: str | None = None) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(os.path.join(shared_folder(spark, fallback), "lineage"))
-    return df.checkpoint()

@@ -297,8 +297,12 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     hubs = of.select(F.col("node").alias("hub"), F.col("component").alias("of_hub"))
     label = stored(label.join(hubs, "hub", "left").withColumn("of_hub", F.coalesce("of_hub", "hub")), "labelled")
     apart = label.where("of_node <> of_hub").select("sig", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "pos", "of_node")])
+    # two that are both apart meet once, not from either side
     rest = label.join(apart, "sig").where(
-        (F.col("of_node") != F.col("of_node_")) & (F.col("node") != F.col("hub")) & viable(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_"))
+        ((F.col("of_node") == F.col("of_hub")) | (F.col("node") > F.col("node_")))
+        & (F.col("of_node") != F.col("of_node_"))
+        & (F.col("node") != F.col("hub"))
+        & viable(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_"))
     )
     rest = rest.select(*pair(F.col("node"), F.col("node_"))).distinct()
     links = links.unionByName(_links(named, real, rest, size, percent, "rest"))

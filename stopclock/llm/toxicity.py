@@ -1,8 +1,8 @@
 """Toxicity scores: a support vector machine over a subsequence string kernel with Nyström landmarks.
 
 The kernel counts common subsequences of three letters, each weighed down by its length in either string, so
-letters may be spread or other characters put between them. A sentence meets a landmark by its best matching
-word. The machine learns from labelled sentences: those of toxic documents count as toxic only where they score
+letters may be spread or other characters put between them; any run of them counts as one. A sentence meets a
+landmark by its best matching word, or by the best matching stretch of a word longer than a landmark can be. The machine learns from labelled sentences: those of toxic documents count as toxic only where they score
 as such, and each toxic document keeps its most toxic sentence.
 """
 
@@ -42,18 +42,23 @@ SYMBOLS[0x61:0x7B] = np.arange(1, 27)
 SYMBOLS[0x80:0xC0] = 27 + np.arange(64) % 37
 DROPPED = np.zeros(256, bool)
 DROPPED[0xC0:] = True
-WIDTH, STEP = 24, 12
+#: Symbols of a landmark at most; letters of it with one symbol between each two span less than twice as many. Longer
+#: words are gone through in pieces.
+WIDTH, PIECE = 24, 1 << 12
 STOPS = np.zeros(256, bool)
 STOPS[[0x2E, 0x21, 0x3F]] = True
 
 
 @dataclass
 class Units:
-    """Distinct words of a slab as rows of symbols, and where each occurrence is."""
+    """Distinct words of a slab as rows of their first symbols, and where each occurrence is. `stream` holds all symbols,
+    those of a word from `start` to `end`."""
 
     symbols: np.ndarray
+    stream: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
     key: np.ndarray
-    unit: np.ndarray
     occurrence: np.ndarray
     row: np.ndarray
     sentence: np.ndarray
@@ -81,20 +86,18 @@ def _units(texts: pa.Array) -> Units:
     key = words.stretch(head, last + 1)
     key, first, occurrence = np.unique(key, return_index=True, return_inverse=True)
     start, end = words.start[head[first]], words.end[last[first]]
-    # rows of symbols; a long word is several overlapping rows of its unit
-    length = end - start
-    parts = np.maximum(1, -(-(length - WIDTH) // STEP) + 1)
-    unit = np.repeat(np.arange(len(first)), parts)
-    offset = (np.arange(len(unit)) - np.repeat(np.cumsum(parts) - parts, parts)) * STEP
-    at = (start[unit] + offset)[:, None] + np.arange(WIDTH)
-    inside = at < end[unit][:, None]
-    raw = words.data[np.minimum(at, max(len(words.data) - 1, 0))] if len(unit) else np.zeros((0, WIDTH), np.uint8)
-    symbols = np.where(inside, SYMBOLS[raw], 0).astype(np.uint8)
-    gone = DROPPED[raw] & inside
-    if gone.any():  # lead bytes take no room
-        order = np.argsort(gone, axis=1, kind="stable")
-        symbols = np.take_along_axis(symbols, order, 1)
-    return Units(symbols, key, unit, occurrence, row[head], sentence)
+    # lead bytes take no room, and a run of what is no letter takes one symbol
+    at = np.flatnonzero(~DROPPED[words.data])
+    stream = SYMBOLS[words.data[at]]
+    kept = stream > 0
+    kept[1:] |= stream[:-1] > 0
+    at, stream = at[kept], stream[kept]
+    start, end = np.searchsorted(at, start), np.searchsorted(at, end)
+    spot = start[:, None] + np.arange(WIDTH)
+    inside = spot < end[:, None]
+    symbols = np.zeros(inside.shape, np.uint8)
+    symbols[inside] = stream[spot[inside]]
+    return Units(symbols, stream, start, end, key, occurrence, row[head], sentence)
 
 
 def _kernel(s: np.ndarray, t: np.ndarray, decay: float) -> np.ndarray:
@@ -107,6 +110,8 @@ def _kernel(s: np.ndarray, t: np.ndarray, decay: float) -> np.ndarray:
     decay = np.float32(decay)
     used = np.flatnonzero(t.any(1))
     m = int(used[-1]) + 1 if len(used) else 0
+    used = np.flatnonzero(s.any(1))
+    n = int(used[-1]) + 1 if len(used) else 0
     # one[k], two[k]: kernels of order 1 and 2 up to here in s and k in t, weighed to the end of both
     one = np.zeros((m + 1, pairs), np.float32)
     two = np.zeros((m + 1, pairs), np.float32)
@@ -130,6 +135,12 @@ def _kernel(s: np.ndarray, t: np.ndarray, decay: float) -> np.ndarray:
     return total
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin and end."""
+    first = np.flatnonzero(np.diff(values, prepend=-1))
+    return first, np.append(first[1:], len(values))[: len(first)]
+
+
 class Landmarks:
     """Kernel values of units with each landmark, between 0 and 1."""
 
@@ -151,25 +162,73 @@ class Landmarks:
 
     def values(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
         """For each unit the number of its row of values or -1, and the rows."""
-        common = self._letters(units.symbols) @ self.letters.T
+        length = units.end - units.start
+        short = np.flatnonzero(length <= WIDTH)
+        common = self._letters(units.symbols[short]) @ self.letters.T
         at, mark = np.nonzero(common >= self.needed)
-        which = np.full(int(units.unit[-1]) + 1 if len(units.unit) else 0, -1)
-        if not len(at):
-            return which, np.zeros((0, len(self.symbols)), np.float32)
+        value = self._compared(units.symbols[short], at, mark)
+        long, best = self._stretches(units, np.flatnonzero(length > WIDTH))
+        met, other = np.nonzero(best)
+        unit = np.concatenate([short[at], long[met]])
+        mark, value = np.concatenate([mark, other]), np.concatenate([value, best[met, other]])
+        which = np.full(len(length), -1)
+        held = np.unique(unit)
+        which[held] = np.arange(len(held))
+        out = np.zeros((len(held), len(self.symbols)), np.float32)
+        out[which[unit], mark] = value
+        return which, out
+
+    def _compared(self, symbols: np.ndarray, at: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Values of the rows `at` of symbols with one landmark each."""
         rows, inverse = np.unique(at, return_inverse=True)
         own = np.empty(len(rows), np.float32)
         value = np.empty(len(at), np.float32)
         for a in range(0, len(rows), 8192):
-            own[a : a + 8192] = self._self(units.symbols[rows[a : a + 8192]])
+            own[a : a + 8192] = self._self(symbols[rows[a : a + 8192]])
         for a in range(0, len(at), 8192):
-            value[a : a + 8192] = _kernel(units.symbols[at[a : a + 8192]], self.symbols[mark[a : a + 8192]], self.settings.decay)
+            value[a : a + 8192] = _kernel(symbols[at[a : a + 8192]], self.symbols[mark[a : a + 8192]], self.settings.decay)
         value /= np.sqrt(np.maximum(own[inverse], 1e-12) * self.own[mark])
-        value **= self.settings.power
-        held = np.unique(units.unit[rows])
-        which[held] = np.arange(len(held))
-        out = np.zeros((len(held), len(self.symbols)), np.float32)
-        np.maximum.at(out, (which[units.unit[at]], mark), value)
-        return which, out
+        return value**self.settings.power
+
+    def _stretches(self, units: Units, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The given units and, per landmark, the value of the stretch that matches it best. A stretch spans less than twice
+        the landmark, holds the letters it needs and has one of them at either end: to cut off others only adds to the value."""
+        best = np.zeros((len(long), len(self.symbols)), np.float32)
+        size = units.end[long] - units.start[long]
+        pieces = -(-size // PIECE)
+        of = np.repeat(np.arange(len(long)), pieces)
+        first = units.start[long][of] + (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+        last = np.minimum(first + PIECE + 2 * WIDTH, units.end[long][of])
+        group = np.cumsum(last - first) // (4 * PIECE)
+        for a, b in zip(*_runs(group), strict=True):
+            count = (last - first)[a:b]
+            opens = np.repeat(np.cumsum(count) - count, count)
+            owner = np.repeat(of[a:b], count)
+            spot = np.arange(len(opens))
+            text = units.stream[np.repeat(first[a:b], count) + spot - opens]
+            met = np.zeros((64, len(text)), np.int64)  # where each symbol was last, from 1
+            met[text, spot] = spot + 1
+            np.maximum.accumulate(met, axis=1, out=met)
+            for m in range(len(self.symbols)):
+                letters = np.flatnonzero(self.letters[m])
+                spare = int(len(letters) - self.needed[m])
+                span = max(WIDTH, 2 * len(np.trim_zeros(self.symbols[m], "b")) - 1)
+                latest = np.partition(met[letters], spare, axis=0)[spare] - 1
+                mine = np.isin(text, letters)
+                ends = np.flatnonzero(mine & (latest >= np.maximum(opens, spot - span + 1)))
+                for c in range(0, len(ends), 1024):
+                    end = ends[c : c + 1024]
+                    begin = end[:, None] - np.arange(span)
+                    fits = (begin >= opens[end][:, None]) & (begin <= latest[end][:, None])
+                    fits &= mine[np.maximum(begin, 0)]
+                    e, k = np.nonzero(fits)
+                    wide = begin[e, k][:, None] + np.arange(span)
+                    within = wide <= end[e][:, None]
+                    stretch = np.where(within, text[np.minimum(wide, len(text) - 1)], 0).astype(np.uint8)
+                    stretch, inverse = np.unique(stretch, axis=0, return_inverse=True)
+                    value = self._compared(stretch, np.arange(len(stretch)), np.full(len(stretch), m))
+                    np.maximum.at(best[:, m], owner[end[e]], value[inverse.ravel()])
+        return long, best
 
     def sentences(self, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sentence and row numbers and values of the sentences that meet a landmark."""
@@ -222,7 +281,7 @@ def _chosen(texts: pa.Array, toxic: np.ndarray, settings: Settings) -> np.ndarra
         units = _units(texts.slice(a, b - a))
         unit, row = np.unique(np.stack([units.occurrence, units.row]), axis=1)
         keys.append(units.key)
-        looks.append(units.symbols[np.searchsorted(units.unit, np.arange(len(units.key)))])
+        looks.append(units.symbols)
         seen.append(units.key[unit])
         where.append(toxic[row + a])
     key, first = np.unique(np.concatenate(keys), return_index=True)

@@ -3,9 +3,12 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from stopclock.llm import toxicity
 from stopclock.llm.brown import Settings, score_texts
 from stopclock.llm.mixing import mix
 from stopclock.llm.toxicity import score_toxicity
@@ -76,6 +79,22 @@ def test_toxicity_learns_gapped_insults(spark):
     assert {r.predicted for r in none} == {0}
 
 
+def test_toxicity_meets_widely_spaced_insults_inside_long_words():
+    marks = [b"idiot", b"worthless", b"disgusting"]
+    landmarks = toxicity.Landmarks(np.stack([np.frombuffer(m.ljust(toxicity.WIDTH, b" "), np.uint8) for m in marks]) % 96 % 32, toxicity.Settings())
+    spread = lambda word, gap: gap.join(word)
+    cases = [
+        (spread("idiot", "....."), 0), (spread("idiot", "      "), 0), (spread("disgusting", "--"), 2), ("*" * 11 + spread("worthless", "."), 1),
+        ("q.z." * 20 + spread("disgusting", "_-_") + ".z.q" * 20, 2), ("." * 9 + spread("youidiotgoaway" * 2, " "), 0), ("zq" * 2043 + "idiot" + "zq" * 40, 0),
+    ]
+    for text, mark in cases:
+        units = toxicity._units(pa.array([text], pa.large_string()))
+        which, values = landmarks.values(units)
+        assert max(values[which[u]][mark] for u in range(len(which)) if which[u] >= 0) > 0.8, text
+    alone = landmarks.values(toxicity._units(pa.array(["q.z." * 20 + "d.i.s.g.u.s.t", "x" * 4000 + "idio" + "x" * 100 + "t"], pa.large_string())))[1]
+    assert not alone.size or alone.max() < 0.5
+
+
 def shares(children, given):
     taken, open_ = {}, dict(children)
     while open_:

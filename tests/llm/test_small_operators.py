@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stopclock.llm.fingerprints import fingerprints
-from stopclock.llm.licenses import scan_licenses, statements
+from stopclock.llm.licenses import TEMPLATES, scan_licenses, statements
 from stopclock.llm.lines import remove_repeated_lines
 from stopclock.llm.pages import extract_main_text, main_text
 from stopclock.llm.phrases import contamination, search
@@ -148,6 +148,25 @@ def test_pages_of_any_shape(spark):
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_licenses_wrapped_over_lines_and_many_in_a_block(spark):
+    short = [w.split("|")[0] for n, w in TEMPLATES.items() if not n.endswith(("-text", "-header"))]
+    line = ". ".join(short)
+    mit = "Copyright 2020 X\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software"
+    bsd = "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that"
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL\nAll rights\nreserved"
+    gpl = "you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n"
+    twice = "Released under\nthe MIT License.\n" * 2 + "All rights reserved. This work is licensed under the GNU General Public License, version 2, or the Apache License, Version 2.0"
+    texts = [line, mit, bsd, "filler words " * 300 + mpl, gpl * 9, twice]
+    got = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("reduction > 0")
+    found = sorted((r.doc_id, r.line, r.license) for r in got.collect())
+    assert [x[2] for x in found if x[0] == 0] == sorted(n for n in TEMPLATES if not n.endswith(("-text", "-header")))
+    assert [x for x in found if x[0] in (1, 2, 3, 5)] == [
+        (1, 2, "MIT-grant"), (2, 1, "BSD"), (3, 0, "MPL-2.0"), (3, 2, "All-rights-reserved"),
+        (5, 0, "MIT"), (5, 2, "MIT"), (5, 4, "All-rights-reserved"), (5, 4, "GPL-2.0"),
+    ]
+    assert [x[1:] for x in found if x[0] == 4] == [(3 * k, "GPL-3.0-header") for k in range(9)]
+
+
 def test_licenses(spark):
     assert [x[0] for x in statements("Licensed under CC BY-NC 4.0.")] == ["CC-BY-NC-4.0"]
     assert [x[0] for x in statements("Licensed under CC BY 4.0")] == ["CC-BY-4.0"]

@@ -12,6 +12,7 @@ from stopclock.llm.lines import remove_repeated_lines
 from stopclock.llm.mixing import mix
 from stopclock.llm.near import near_duplicates
 from stopclock.llm.pages import extract_main_text
+from stopclock.llm.periods import periodic_runs
 from stopclock.llm.phrases import contamination
 from stopclock.llm.repeats import remove_repeats
 from stopclock.llm.toxicity import score_toxicity
@@ -174,3 +175,30 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = scan_licenses(table(spark, folder, "documents"))
     return found.select("doc_id", "line", "license", "reduction", F.array_join("lacking", " ").alias("lacking"), F.array_join("added", " ").alias("added"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text: where the checksum of doc_id ends in 0, the words from one place on repeat a block of them."""
+    words = docs.select("doc_id", "text", F.expr(r"regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0)").alias("w"), F.expr("crc32(cast(doc_id as string))").alias("h"))
+    words = words.withColumns({"n": F.size("w"), "g": F.expr("h div 10")})
+    words = words.withColumn("a", F.expr("if(n > 0, cast(g % n as int), 0)")).withColumn("p", F.expr("1 + cast((n - a) div (3 + g % 8) as int)"))
+    repeated = F.expr("concat(slice(w, 1, a), flatten(array_repeat(slice(w, a + 1, p), cast((n - a) div p as int))), slice(w, a + 1, (n - a) % p))")
+    return words.select("doc_id", F.when(F.expr("h % 10 = 0 and n > 0"), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    runs = periodic_runs(with_periods(table(spark, folder, "documents")))
+    best = F.expr("array_min(transform(runs, r -> struct(-r.length as less, r.start as start, r.period as period)))")
+    listed = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    runs = runs.withColumns({"best": best, "listed": listed})
+    return runs.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        (-F.col("best.less")).alias("length"),
+        "best.period",
+        F.expr("(-1000 * best.less) div best.period").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -5,10 +5,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stopclock.llm.alignment import align
 from stopclock.llm.brown import score_texts
 from stopclock.llm.fingerprints import fingerprints
 from stopclock.llm.licenses import scan_licenses
 from stopclock.llm.lines import remove_repeated_lines
+from stopclock.llm.minhash import minhash_duplicates
 from stopclock.llm.mixing import mix
 from stopclock.llm.near import near_duplicates
 from stopclock.llm.pages import extract_main_text
@@ -202,3 +204,18 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("listed", 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op11_minhash_near_dedup")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash_duplicates(table(spark, folder, "documents"), size=5, percent=85)
+
+
+@query("op12_cross_tokenizer_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    found = align(table(spark, folder, "documents"))
+    digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise("")
+    documents = found.documents.select("block", "place", "doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"))
+    scored = documents.join(found.scores, ["block", "place"], "left")
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_best", "count_sum")]
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *zero, "groups_sha256")

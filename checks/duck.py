@@ -145,17 +145,17 @@ from (
 _view(
     "long_arrivals",
     """
-select start_date, 'U' || u as trip_id, seq as stop_sequence, 'f0' as feed_version, 'E' || (seq % 60) as stop_id, arrived_at,
+select start_date, 'U' || u as trip_id, seq as stop_sequence, 'f' || (u % 2) as feed_version, 'E' || (seq % 60) as stop_id, arrived_at,
        gap as ping_gap_seconds
 from hours
 """,
     "hours",
 )
-_view("long_trips", "select distinct 'f0' as feed_version, 'U' || u as trip_id, 'R' || (u % 7) as route_id from ev", "ev")
+_view("long_trips", "select distinct 'f' || (u % 2) as feed_version, 'U' || u as trip_id, 'R' || (u % 7) as route_id from ev", "ev")
 _view(
     "long_stop_times",
     """
-select 'f0' as feed_version, 'U' || u as trip_id, seq as stop_sequence, 'E' || (seq % 60) as stop_id,
+select 'f' || (u % 2) as feed_version, 'U' || u as trip_id, seq as stop_sequence, 'E' || (seq % 60) as stop_id,
        case when eid % 43 <> 0 then sched end as arrival_seconds
 from hours
 """,
@@ -164,7 +164,7 @@ from hours
 _view(
     "long_agency",
     f"""
-select start_date, 'U' || u as trip_id, seq as stop_sequence, h as horizon_minutes, 'mts' as source, 'f0' as feed_version,
+select start_date, 'U' || u as trip_id, seq as stop_sequence, h as horizon_minutes, 'mts' as source, 'f' || (u % 2) as feed_version,
        'E' || (seq % 60) as stop_id, 'R' || (u % 7) as route_id, arrived_at, arrived_at + to_seconds(e) as predicted_arrival,
        arrived_at - to_seconds(h * 60) as predicted_at, e as error_seconds, abs(e) as abs_error_seconds,
        gap as ping_gap_seconds, round({day_seconds("arrived_at", "start_date")} / 60)::int as service_minute,

@@ -244,7 +244,7 @@ class Views:
             "start_date",
             text("U", F.col("u")).alias("trip_id"),
             F.col("seq").alias("stop_sequence"),
-            F.lit("f0").alias("feed_version"),
+            text("f", F.col("u") % 2).alias("feed_version"),
             text("E", F.col("seq") % 60).alias("stop_id"),
             "arrived_at",
             F.col("gap").alias("ping_gap_seconds"),
@@ -253,7 +253,7 @@ class Views:
     @cached_property
     def long_trips(self) -> DataFrame:
         return self.events.select("u").distinct().select(
-            F.lit("f0").alias("feed_version"),
+            text("f", F.col("u") % 2).alias("feed_version"),
             text("U", F.col("u")).alias("trip_id"),
             text("R", F.col("u") % 7).alias("route_id"),
         )
@@ -261,7 +261,7 @@ class Views:
     @cached_property
     def long_stop_times(self) -> DataFrame:
         return self.hours.select(
-            F.lit("f0").alias("feed_version"),
+            text("f", F.col("u") % 2).alias("feed_version"),
             text("U", F.col("u")).alias("trip_id"),
             F.col("seq").alias("stop_sequence"),
             text("E", F.col("seq") % 60).alias("stop_id"),
@@ -282,7 +282,7 @@ class Views:
                 F.col("seq").alias("stop_sequence"),
                 F.col("h").alias("horizon_minutes"),
                 F.lit(AGENCY).alias("source"),
-                F.lit("f0").alias("feed_version"),
+                text("f", F.col("u") % 2).alias("feed_version"),
                 text("E", F.col("seq") % 60).alias("stop_id"),
                 text("R", F.col("u") % 7).alias("route_id"),
                 "arrived_at",

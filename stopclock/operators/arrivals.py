@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 from stopclock.fixed import AT_STOP_M, DWELL_RADIUS_M
 from stopclock.functions.geo import interpolate_time
 from stopclock.operators.tracks import RUN, build_track, primary_vehicles
+from stopclock.session import written
+
+SHAPE = ("feed_version", "shape_id")
 
 
 def find_arrivals(
@@ -133,57 +136,71 @@ def infer_arrivals(
 ) -> tuple[DataFrame, DataFrame]:
     """(arrivals, outcome log) of every trip run, one vehicle each.
 
-    The schedule frames hold one version, or several with `version` choosing. Every run gets
-    a log row, also those without pings, shape, stops or arrivals.
+    The schedule frames hold one version, or several with `version` choosing; a trip that is in several versions without
+    one being chosen is an error. Every run gets a log row, also those without pings, shape, stops or arrivals. Runs, their
+    valid pings and the track are written once, to the session's shared folder; arrivals and log both read them.
     """
     if version is not None:
         pick = F.col("feed_version") == version
         trips, shapes, stop_times = trips.where(pick), shapes.where(pick), stop_times.where(pick)
     chosen = primary_vehicles(positions)
-    valid = (
+    running = written(chosen.join(_one_version(trips), "trip_id", "left"), "runs")
+    valid = written(
         positions.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-        .join(chosen.select(*RUN), RUN)
-        .select(*RUN, "ts", "lat", "lon")
+        .join(running.select(*RUN, *SHAPE), RUN)
+        .select(*RUN, "ts", "lat", "lon", *SHAPE),
+        "pings",
     )
-    trip_shapes = (
-        trips.select("feed_version", "trip_id", "shape_id")
-        .join(shapes.where(F.col("shape_dist_traveled_m").isNotNull()), ["feed_version", "shape_id"])
-        .select(
-            "trip_id",
-            "shape_pt_sequence",
-            F.col("shape_pt_lat").alias("lat"),
-            F.col("shape_pt_lon").alias("lon"),
-            F.col("shape_dist_traveled_m").alias("offset_m"),
-        )
+    points = shapes.where(F.col("shape_dist_traveled_m").isNotNull()).select(
+        *SHAPE,
+        "shape_pt_sequence",
+        F.col("shape_pt_lat").alias("lat"),
+        F.col("shape_pt_lon").alias("lon"),
+        F.col("shape_dist_traveled_m").alias("offset_m"),
     )
     stops = stop_times.where(F.col("shape_dist_traveled_m").isNotNull()).select(
         "feed_version", "trip_id", "stop_sequence", "stop_id", F.col("shape_dist_traveled_m").alias("offset_m")
     )
-    track = build_track(valid, trip_shapes)
-    run_stops = chosen.select(*RUN).join(stops, "trip_id")
-    arrivals = find_arrivals(track.where("on_route"), run_stops).join(
-        trips.select("trip_id", "feed_version"), "trip_id"
+    track = written(build_track(valid.where(F.col("shape_id").isNotNull()), points, on=SHAPE), "track")
+    run_stops = running.select(*RUN, "feed_version").join(stops, ["feed_version", "trip_id"])
+    found = find_arrivals(track.where("on_route"), run_stops)
+    arrivals = found.join(running.select(*RUN, "feed_version"), RUN)
+    return arrivals, _outcomes(running, valid, points, stops, track, arrivals)
+
+
+def _one_version(trips: DataFrame) -> DataFrame:
+    """trip_id with its version and shape; a trip of several versions stops the job."""
+    one = trips.groupBy("trip_id").agg(
+        F.min(F.struct(*SHAPE)).alias("_one"), F.min("feed_version").alias("_lo"), F.max("feed_version").alias("_hi")
     )
-    return arrivals, _outcomes(chosen, valid, trip_shapes, stops, track, arrivals)
+    several = F.raise_error(F.concat(F.lit("trip "), "trip_id", F.lit(" is in several schedule versions: choose one")))
+    version = F.when(F.col("_lo") < F.col("_hi"), several).otherwise(F.col("_one.feed_version"))
+    return one.select("trip_id", version.alias("feed_version"), F.col("_one.shape_id").alias("shape_id"))
 
 
-def _outcomes(chosen, valid, trip_shapes, stops, track, arrivals) -> DataFrame:
+def _outcomes(running, valid, points, stops, track, arrivals) -> DataFrame:
+    """One row per run. What is known of a run is counted by run in one aggregate over all sources."""
     count = F.count(F.lit(1))
-    log = (
-        chosen.select(*RUN, "skipped_vehicles")
-        .join(valid.groupBy(*RUN).agg(count.alias("_valid")), RUN, "left")
-        .join(
-            track.groupBy(*RUN).agg(
-                F.count_if("on_route").alias("_used"),
-                F.count_if(~F.col("on_route")).alias("offroute_pings"),
-                F.count_if("clamped").alias("clamped_pings"),
-            ),
-            RUN,
-            "left",
+    zero = F.lit(0).cast("bigint")
+
+    def told(df: DataFrame, **counts) -> DataFrame:
+        names = ("_valid", "_used", "offroute_pings", "clamped_pings", "arrivals_written")
+        return df.groupBy(*RUN).agg(*[counts.get(n, F.max(zero)).alias(n) for n in names])
+
+    parts = told(valid, _valid=count).unionByName(
+        told(
+            track,
+            _used=F.count_if("on_route"),
+            offroute_pings=F.count_if(~F.col("on_route")),
+            clamped_pings=F.count_if("clamped"),
         )
-        .join(arrivals.groupBy(*RUN).agg(count.alias("arrivals_written")), RUN, "left")
-        .join(trip_shapes.groupBy("trip_id").agg(count.alias("_points")), "trip_id", "left")
-        .join(stops.groupBy("trip_id").agg(count.alias("stops_total")), "trip_id", "left")
+    ).unionByName(told(arrivals, arrivals_written=count))
+    per_run = parts.groupBy(*RUN).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in RUN])
+    log = (
+        running.select(*RUN, "skipped_vehicles", *SHAPE)
+        .join(per_run, RUN, "left")
+        .join(points.groupBy(*SHAPE).agg(count.alias("_points")), list(SHAPE), "left")
+        .join(stops.groupBy("feed_version", "trip_id").agg(count.alias("stops_total")), ["feed_version", "trip_id"], "left")
         .fillna(0)
     )
     status = (

@@ -1,15 +1,19 @@
 """Placing pings along a route shape."""
 
-from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopclock.fixed import BACKTRACK_M, EARTH_RADIUS_M, MAX_OFFROUTE_M, MAX_SPEED_MPS
 from stopclock.functions.geo import project_onto_segment
+from stopclock.session import ship_package
 
+#: Pings of one group of the fold, about.
+GROUP_PINGS = 1 << 17
 RUN = ["start_date", "trip_id", "vehicle_id"]
 TRACK_SCHEMA = (
     "start_date date, trip_id string, vehicle_id string, ts_us bigint, on_route boolean, clamped boolean, "
@@ -119,7 +123,10 @@ def clamped_track(placed: DataFrame) -> DataFrame:
 
 
 class _Shape:
-    """One shape's segments, ready for projecting single points."""
+    """One shape's segments, ready for placing many points at once."""
+
+    #: Pairs of a point and a segment looked at in one step.
+    STEP = 1 << 20
 
     def __init__(self, lat: np.ndarray, lon: np.ndarray, offset: np.ndarray) -> None:
         self.offset = offset
@@ -132,96 +139,114 @@ class _Shape:
         self.square = self.dx**2 + self.dy**2
         self.step = np.diff(offset)
 
-    def place(self, lat: float, lon: float, low: float | None, high: float | None) -> tuple[float, float]:
-        """(offset, distance) on the nearest segment overlapping [low, high]; the first on a tie."""
+    def place(self, lat: np.ndarray, lon: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(offset, distance) of each point on the nearest segment overlapping [low, high]; the first on a tie. A limit
+        that is NaN does not limit; where no segment is left the distance is infinite."""
         segments = len(self.step)
-        first = 0 if low is None else max(0, int(np.searchsorted(self.offset, low, "left")) - 1)
-        last = segments if high is None else min(segments, int(np.searchsorted(self.offset, high, "right")) + 1)
-        if last <= first:
-            return 0.0, float("inf")
-        part = slice(first, last)
-        px = np.radians(lon) * self.scale[part] - self.ax[part]
-        py = np.radians(lat) * EARTH_RADIUS_M - self.ay[part]
-        dx, dy, square = self.dx[part], self.dy[part], self.square[part]
+        first = np.where(np.isnan(low), 0, np.maximum(np.searchsorted(self.offset, low, "left") - 1, 0))
+        last = np.where(np.isnan(high), segments, np.minimum(np.searchsorted(self.offset, high, "right") + 1, segments))
+        count = np.maximum(last - first, 0)
+        raw, away = np.zeros(len(lat)), np.full(len(lat), np.inf)
+        upto = np.cumsum(count)
+        at = 0
+        while at < len(lat):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + self.STEP, "right")))
+            some = np.flatnonzero(count[at:to]) + at
+            raw[some], away[some] = self._nearest(lat[some], lon[some], first[some], count[some])
+            at = to
+        return raw, away
+
+    def _nearest(self, lat: np.ndarray, lon: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        point = np.repeat(np.arange(len(lat)), count)
+        begin = np.cumsum(count) - count
+        at = first[point] + np.arange(len(point)) - begin[point]
+        px = np.radians(lon)[point] * self.scale[at] - self.ax[at]
+        py = (np.radians(lat) * EARTH_RADIUS_M)[point] - self.ay[at]
+        dx, dy, square = self.dx[at], self.dy[at], self.square[at]
         along = np.divide(px * dx + py * dy, square, out=np.zeros_like(square), where=square != 0)
         share = np.clip(along, 0.0, 1.0)
-        away = np.hypot(px - share * dx, py - share * dy)
-        at = int(np.argmin(away))
-        return float(self.offset[first + at] + share[at] * self.step[first + at]), float(away[at])
-
-
-def _match(batches: Iterator[pd.DataFrame], limit: float, backtrack: float, speed: float) -> Iterator[pd.DataFrame]:
-    """Fold over rows sorted by run, shape points before pings, state carried over batches.
-
-    Memory holds one shape and one Arrow batch, whatever the length of a run.
-    """
-    run, shape, points, previous, count = None, None, [], None, 0
-    for pdf in batches:
-        out = []
-        for row in pdf.itertuples(index=False):
-            key = (row.start_date, row.trip_id, row.vehicle_id)
-            if key != run:
-                run, shape, points, previous, count = key, None, [], None, 0
-            if row.kind == 0:
-                points.append((row.lat, row.lon, row.offset_m))
-                continue
-            if len(points) < 2:
-                continue
-            if shape is None:
-                shape = _Shape(*(np.array(c, dtype=float) for c in zip(*points, strict=True)))
-            low = high = None
-            if previous is not None:
-                reach = max((row.ts_us - previous[0]) / 1e6, 0.0) * speed
-                low, high = previous[1] - backtrack, previous[1] + reach + backtrack
-            raw, away = shape.place(row.lat, row.lon, low, high)
-            if away > limit:
-                out.append((*key, row.ts_us, False, False, None, None, None, None))
-                continue
-            clamped = previous is not None and raw < previous[1]
-            offset = previous[1] if clamped else raw
-            previous = (row.ts_us, offset)
-            out.append((*key, row.ts_us, True, clamped, count, offset, raw, away))
-            count += 1
-        if out:
-            names = [c.split()[0] for c in TRACK_SCHEMA.split(", ")]
-            frame = pd.DataFrame(out, columns=names)
-            frame["point"] = frame["point"].astype("Int32")
-            yield frame
+        distance = np.hypot(px - share * dx, py - share * dy)
+        if not len(begin):
+            return np.zeros(0), np.zeros(0)
+        least = np.minimum.reduceat(distance, begin)
+        hits = np.flatnonzero(distance == least[point])
+        best = hits[np.searchsorted(hits, begin)]
+        return self.offset[at[best]] + share[best] * self.step[at[best]], least
+
+
+def _runs_of(pings: pa.Table) -> np.ndarray:
+    """A number for each ping's run."""
+    codes = [pings.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in RUN]
+    run = np.zeros(pings.num_rows, np.int64)
+    for code in codes:
+        _, run = np.unique(run * (code.max(initial=0) + 2) + code + 1, return_inverse=True)
+    return run
+
+
+def _fold(limit: float, backtrack: float, speed: float):
+    """Pings of many runs on one shape, and its points, to the runs' tracks: all runs take their next ping at once."""
+
+    def fold(pings: pa.Table, points: pa.Table) -> pa.Table:
+        if points.num_rows < 2:
+            pings = pings.slice(0, 0)
+        number = {c: pings.column(c).to_numpy() for c in ("ts_us", "lat", "lon")}
+        run = _runs_of(pings)
+        order = np.lexsort((number["ts_us"], run))
+        run, ts, lat, lon = run[order], *(number[c][order] for c in ("ts_us", "lat", "lon"))
+        along = np.argsort(points.column("shape_pt_sequence").to_numpy(), kind="stable")
+        shape = _Shape(*(points.column(c).to_numpy().astype(float)[along] for c in ("lat", "lon", "offset_m"))) if len(run) else None
+        starts = np.flatnonzero(np.diff(run, prepend=-1))
+        length = np.diff(np.append(starts, len(run)))
+        before_ts, before_m, count = np.zeros(len(starts)), np.full(len(starts), np.nan), np.zeros(len(starts), np.int32)
+        on, clamped, point = np.zeros(len(run), bool), np.zeros(len(run), bool), np.zeros(len(run), np.int32)
+        offset, raw, away = (np.full(len(run), np.nan) for _ in range(3))
+        for k in range(int(length.max(initial=0))):
+            who = np.flatnonzero(length > k)
+            at = starts[who] + k
+            reach = np.maximum((ts[at] - before_ts[who]) / 1e6, 0.0) * speed
+            found, far = shape.place(lat[at], lon[at], before_m[who] - backtrack, before_m[who] + reach + backtrack)
+            near = far <= limit
+            who, at, found = who[near], at[near], found[near]
+            on[at], raw[at], away[at], point[at] = True, found, far[near], count[who]
+            clamped[at] = found < before_m[who]  # nothing is less than NaN
+            offset[at] = np.where(clamped[at], before_m[who], found)
+            before_ts[who], before_m[who] = ts[at], offset[at]
+            count[who] += 1
+        keys = [pings.column(c).take(pa.array(order)) for c in RUN]
+        fields = [pa.array(ts), pa.array(on), pa.array(clamped), *[pa.array(x, mask=~on) for x in (point, offset, raw, away)]]
+        return pa.Table.from_arrays([*keys, *fields], [c.split()[0] for c in TRACK_SCHEMA.split(", ")])
+
+    return fold
+
+
+def fold_inputs(pings: DataFrame, shapes: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Pings and shape points, both by shape and salt: runs of one shape are dealt over salts, so many that a group has some
+    GROUP_PINGS pings, and a shape's points are sent once for each salt that has runs."""
+    salts = max(1, -(-pings.count() // GROUP_PINGS))
+    dealt = pings.withColumn("salt_", F.pmod(F.xxhash64(*RUN), F.lit(salts)).cast("int"))
+    points = shapes.select(*on, "shape_pt_sequence", "lat", "lon", "offset_m")
+    used = dealt.select(*[F.col(c).alias(f"{c}_") for c in on], F.col("salt_").alias("salt")).distinct()
+    same = reduce(and_, [points[c] == used[f"{c}_"] for c in on])
+    return dealt, points.join(used, same).drop(*[f"{c}_" for c in on])
 
 
 def build_track(
     pings: DataFrame,
-    trip_shapes: DataFrame,
+    shapes: DataFrame,
     max_offroute_m: float = MAX_OFFROUTE_M,
     backtrack_m: float = BACKTRACK_M,
     max_speed_mps: float = MAX_SPEED_MPS,
+    on: tuple[str, ...] = ("trip_id",),
 ) -> DataFrame:
     """Map matching with a search window that moves with the vehicle.
 
-    `pings` holds RUN, ts, lat, lon; `trip_shapes` holds trip_id, shape_pt_sequence, lat, lon
-    and offset_m. The window depends on where the last accepted ping was placed, so this is
-    a fold per run: Spark sorts each run's shape points and pings together and one pass over
-    the sorted partition does the rest. Off-route pings come out with on_route = false.
+    `pings` holds RUN, ts, lat, lon and the columns `on`; `shapes` holds `on`, shape_pt_sequence, lat, lon and offset_m.
+    The window depends on where the last accepted ping was placed, so this is a fold per run. The runs of one shape
+    meet its points in a few groups (`fold_inputs`), and all runs of a group advance together, a ping each. Off-route
+    pings come out with on_route = false; runs without a shape of two points do not come out.
     """
-    runs = pings.select(*RUN).distinct()
-    nothing = F.lit(None)
-    shape_rows = runs.join(trip_shapes, "trip_id").select(
-        *RUN,
-        F.lit(0).alias("kind"),
-        F.col("shape_pt_sequence").cast("bigint").alias("ts_us"),
-        "lat",
-        "lon",
-        "offset_m",
-    )
-    ping_rows = pings.select(
-        *RUN, F.lit(1).alias("kind"), F.unix_micros("ts").alias("ts_us"), "lat", "lon",
-        nothing.cast("double").alias("offset_m"),
-    )
-    # A stated number of partitions: merging small ones by size would idle cores in a CPU-bound fold.
-    parts = int(pings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
-        shape_rows.unionByName(ping_rows).repartition(parts, *RUN).sortWithinPartitions(*RUN, "kind", "ts_us")
-    )
-    return ordered.mapInPandas(
-        lambda batches: _match(batches, max_offroute_m, backtrack_m, max_speed_mps), TRACK_SCHEMA
-    )
+    ship_package(pings.sparkSession)
+    asked = pings.select(*dict.fromkeys([*RUN, *on]), F.unix_micros("ts").alias("ts_us"), "lat", "lon")
+    dealt, points = fold_inputs(asked, shapes, list(on))
+    fold = _fold(max_offroute_m, backtrack_m, max_speed_mps)
+    return dealt.groupBy(*on, "salt_").cogroup(points.groupBy(*on, "salt")).applyInArrow(fold, TRACK_SCHEMA)

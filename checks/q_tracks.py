@@ -51,9 +51,9 @@ def run_pings(v):
     )
 
 
-def trip_shapes(v):
-    return v.run_trips.join(v.shapes.drop("feed_version"), "shape_id").select(
-        "trip_id",
+def shape_points(v):
+    return v.shapes.select(
+        "shape_id",
         "shape_pt_sequence",
         F.col("shape_pt_lat").alias("lat"),
         F.col("shape_pt_lon").alias("lon"),
@@ -163,7 +163,8 @@ from fold where pn > 0
     *NEEDS,
 )
 def _(v):
-    return tracks.build_track(run_pings(v), trip_shapes(v)).select(
+    pings = run_pings(v).join(v.run_trips.select("trip_id", "shape_id"), "trip_id")
+    return tracks.build_track(pings, shape_points(v), on=("shape_id",)).select(
         *tracks.RUN, "ts_us", "on_route", "clamped", "point", F.round("offset_m", 4).alias("offset_m"), F.round("raw_offset_m", 4).alias("raw_offset_m")
     )
 

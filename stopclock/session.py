@@ -3,6 +3,7 @@
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
@@ -62,3 +63,12 @@ def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     if fallback is None:
         raise ValueError("spark.checkpoint.dir is not set and no folder was given")
     return fallback
+
+
+def written(df, name: str):
+    """The rows, written once to the shared folder and read back: for what several plans read. A later loss costs no
+    recomputation. Sessions that name no shared folder, which is one machine, use /tmp."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark, fallback='file:///tmp/stopclock-shared')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from tests.conftest import day, utc
 from pyspark.sql import functions as F
@@ -197,9 +198,10 @@ def test_grid_search_equals_all_segments(spark):
         F.lit("sh").alias("shape_id"), "shape_pt_sequence", F.col("lat").alias("shape_pt_lat"), F.col("lon").alias("shape_pt_lon"), F.col("offset_m").alias("shape_dist_traveled_m")
     )
     placed = T.nearest_segment(pings(spark, spots).withColumn("shape_id", F.lit("sh")), shp).orderBy("ts").collect()
-    fold = T._Shape(*map(__import__("numpy").array, zip(*[(LAT0 + n / PER_LAT, LON0 + e / PER_LON, m) for n, e, m in points])))
+    fold = T._Shape(*map(np.array, zip(*[(LAT0 + n / PER_LAT, LON0 + e / PER_LON, m) for n, e, m in points])))
+    none = np.full(1, np.nan)
     for (_, n, e), row in zip(spots, placed, strict=True):
-        offset, away = fold.place(LAT0 + n / PER_LAT, LON0 + e / PER_LON, None, None)
+        (offset,), (away,) = fold.place(np.array([LAT0 + n / PER_LAT]), np.array([LON0 + e / PER_LON]), none, none)
         if away > 150:
             assert row["raw_offset_m"] is None
         else:
@@ -217,6 +219,79 @@ def test_folding_does_not_depend_on_partitions(spark):
     assert results[0] == results[1]
 
 
+def one_by_one(spots, points, limit=150.0, backtrack=300.0, speed=35.0):
+    """The definition of a track, ping by ping and segment by segment: (second, on route, clamped, offset)."""
+    out, before = [], None
+    for s, n, e in sorted(spots):
+        lat, lon = LAT0 + n / PER_LAT, LON0 + e / PER_LON
+        low, high = (-math.inf, math.inf) if before is None else (before[1] - backtrack, before[1] + max(s - before[0], 0) * speed + backtrack)
+        begin = max(sum(p[2] < low for p in points) - 1, 0)
+        end = min(sum(p[2] <= high for p in points) + 1, len(points) - 1)
+        best = (math.inf, 0.0)
+        for a, b in zip(points[begin:end], points[begin + 1 : end + 1], strict=True):
+            (alat, alon), (blat, blon) = ((LAT0 + p[0] / PER_LAT, LON0 + p[1] / PER_LON) for p in (a, b))
+            scale = 6_371_000 * math.cos(math.radians((alat + blat) / 2))
+            dx, dy = math.radians(blon) * scale - math.radians(alon) * scale, math.radians(blat - alat) * 6_371_000
+            px, py = math.radians(lon) * scale - math.radians(alon) * scale, math.radians(lat - alat) * 6_371_000
+            share = min(max((px * dx + py * dy) / (dx * dx + dy * dy), 0.0), 1.0) if dx or dy else 0.0
+            best = min(best, (round(math.hypot(px - share * dx, py - share * dy), 6), a[2] + share * (b[2] - a[2])))
+        if best[0] > limit:
+            out.append((s, False, False, None))
+            continue
+        clamped = before is not None and best[1] < before[1]
+        before = (s, before[1] if clamped else best[1])
+        out.append((s, True, clamped, before[1]))
+    return out
+
+
+@pytest.mark.parametrize("pings_of_a_group", [1 << 17, 60])
+def test_many_runs_on_shapes_that_revisit_themselves(spark, monkeypatch, pings_of_a_group):
+    """Random runs against the definition, and what goes into the fold: pings, and points once for each salt."""
+    monkeypatch.setattr(T, "GROUP_PINGS", pings_of_a_group)
+    monkeypatch.setattr(T._Shape, "STEP", 500)
+    rng = random.Random(12)
+    shapes, rows, want = [], [], {}
+    for name in ("out and back", "eight", "single"):
+        points = [(i * 150.0, rng.uniform(-40, 40) if name == "eight" else 0.0, i * 150.0) for i in range(18)]
+        if name != "single":
+            points += [(2550 - i * 150.0, 30.0, 2550 + i * 150.0) for i in range(1, 18)]
+        points = points[:1] if name == "single" else points
+        shapes += [(name, i, LAT0 + n / PER_LAT, LON0 + e / PER_LON, m) for i, (n, e, m) in enumerate(points)]
+        for r in range(14 if name == "out and back" else 5):
+            trip, where, spots = f"{name} {r}", 0.0, []
+            for k in range(rng.randint(1, 45)):
+                where += rng.choice([0, 30, 120, 260])
+                north = min(where, 5100 - where)
+                spots.append((k * 20, north + rng.uniform(-60, 60), rng.choice([0, 20, 400]) if k % 9 == 4 else rng.uniform(-30, 60)))
+            rows += [(DAY, trip, "bus", START + dt.timedelta(seconds=s), LAT0 + n / PER_LAT, LON0 + e / PER_LON, name) for s, n, e in spots]
+            if name != "single":
+                want[trip] = one_by_one(spots, points)
+    ping = spark.createDataFrame(rows, "start_date date, trip_id string, vehicle_id string, ts timestamp, lat double, lon double, shape string").repartition(5)
+    point = spark.createDataFrame(shapes, "shape string, shape_pt_sequence int, lat double, lon double, offset_m double")
+    got = {}
+    for r in T.build_track(ping, point, on=("shape",)).orderBy("trip_id", "ts_us").collect():
+        got.setdefault(r["trip_id"], []).append((r["ts_us"] / 1e6 - START.replace(tzinfo=dt.UTC).timestamp(), r["on_route"], r["clamped"], r["offset_m"]))
+    assert got.keys() == want.keys()
+    for trip, track in want.items():
+        assert [x[:3] for x in got[trip]] == [x[:3] for x in track]
+        assert [x[3] for x in got[trip]] == [pytest.approx(x[3], abs=1e-3) if x[3] is not None else None for x in track]
+    assert sum(x[2] for t in want.values() for x in t) > 20 and sum(not x[1] for t in want.values() for x in t) > 10
+    dealt, sent = T.fold_inputs(ping, point, ["shape"])
+    salts = dealt.groupBy("shape").agg(F.count_distinct("salt_").alias("salts"))
+    assert dealt.count() == len(rows)
+    assert sent.count() == point.join(salts, "shape").agg(F.sum("salts")).first()[0]
+
+
+def test_a_trip_of_two_versions_is_an_error(spark):
+    trips, shapes, stop_times = schedule(spark)
+    both = trips.unionByName(trips.withColumn("feed_version", F.lit("v2")))
+    spots = pings(spark, [(0, 0, 0), (60, 600, 0)])
+    with pytest.raises(Exception, match="several schedule versions"):
+        A.infer_arrivals(spots, both, shapes, stop_times)
+    found, _ = A.infer_arrivals(spots, both, shapes, stop_times, version="v1")
+    assert found.count() == 1
+
+
 def test_heading_and_distance(spark):
     row = spark.range(1).select(
         geo.heading(F.lit(32.7), F.lit(-117.1), F.lit(32.8), F.lit(-117.1)),

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from checks.catalog import query
 from checks.duck import day_seconds, local, secs, utc
-from stopclock.fixed import PERSIST_DELAY, SEGMENT_MEAN
+from stopclock.fixed import PERSIST_DELAY, SEGMENT_MEAN, TREES
 from stopclock.operators import accuracy, conditions, contexts, features, model, segments
 from stopclock.operators.scoring import score_source
+from stopclock.session import written
 
 FIT = "2024-03-12"
 
@@ -91,7 +92,7 @@ def _(v):
     pairs = segments.segment_durations(v.long_arrivals).select(
         "feed_version", "trip_id", "stop_sequence", "from_stop_id", "to_stop_id", "hour_bin", "is_weekend"
     )
-    return segments.lookup_segments(pairs, long_stats(v)).select("trip_id", "stop_sequence", "mean_seconds", "level")
+    return segments.lookup_segments(pairs, written(long_stats(v), "stats")).select("trip_id", "stop_sequence", "mean_seconds", "level")
 
 
 ANCHORS = f"""
@@ -131,6 +132,11 @@ def long_contexts(v):
     return contexts.evaluation_contexts(v.long_agency, v.long_arrivals, v.long_stop_times)
 
 
+def written_long(v):
+    """Contexts and statistics, stored: sums along trips read both more than once."""
+    return written(long_contexts(v), "contexts"), written(long_stats(v), "stats")
+
+
 @query("anchors_long_trips", f"with {LONG} {CONTEXT}", *LONG_NEEDS)
 def _(v):
     return long_contexts(v)
@@ -266,9 +272,8 @@ from sums
     *LONG_NEEDS,
 )
 def _(v):
-    return segments.segment_sums(
-        long_contexts(v), v.long_stop_times, long_stats(v), segments.hours_in_use(v.long_arrivals)
-    ).select(
+    asked, stats = written_long(v)
+    return segments.segment_sums(asked, v.long_stop_times, stats).select(
         "trip_id", "target_sequence", "horizon_minutes", F.round("segment_sum_seconds", 4).alias("segment_sum_seconds"),
         "coarse_segment_share",
     )
@@ -298,11 +303,8 @@ left join cond p on p.route_id = c.route_id and p.bucket = epoch_us(c.instant) /
 def _(v):
     from stopclock.fixed import FEATURES
 
-    asked = long_contexts(v)
-    rows = features.build_features(
-        asked, v.long_stop_times, long_stats(v), long_conditions(v), features.route_index(v.long_agency),
-        segments.hours_in_use(v.long_arrivals),
-    )
+    asked, stats = written_long(v)
+    rows = features.build_features(asked, v.long_stop_times, stats, long_conditions(v), features.route_index(v.long_agency))
     return rows.select("trip_id", "target_sequence", "horizon_minutes", *FEATURES, "label_seconds").withColumn(
         "segment_sum_seconds", F.round("segment_sum_seconds", 4)
     )
@@ -343,8 +345,8 @@ x as (
     *LONG_NEEDS,
 )
 def _(v):
-    hours = segments.hours_in_use(v.long_arrivals)
-    said = model.segment_mean(long_contexts(v), v.long_stop_times, long_stats(v), hours)
+    asked, stats = written_long(v)
+    said = model.segment_mean(asked, v.long_stop_times, stats)
     rows = score_source(v.long_agency, said, SEGMENT_MEAN)
     return accuracy.summarise(rows, ["source", "horizon_minutes"])
 
@@ -374,11 +376,40 @@ def _(v):
     return features.route_index(v.scored)
 
 
-@query("boosted_trees_accuracy")
+TEST = ("2024-03-13", "2024-03-17")
+RUN_SQL = f"""
+with {durations("long_arrivals", FIT)}, {LOOKUP}, {LONG}, {SUMS},
+asked as (select c.*, total from ctx c join sums using (start_date, trip_id, stop_sequence, horizon_minutes)
+          where c.start_date between date '{TEST[0]}' and date '{TEST[1]}' and c.ping_gap_seconds <= 180),
+x as (
+  select 'mts' as source, a.horizon_minutes, g.error_seconds as e from asked a
+  join long_agency g using (start_date, trip_id, stop_sequence, horizon_minutes)
+  union all
+  select '{PERSIST_DELAY}', horizon_minutes, round({secs("arrived_at", utc("start_date::timestamp + to_seconds(tsec)") + " + to_microseconds(round((" + day_seconds("aat", "start_date") + " - asec) * 1000000)::bigint)")})::bigint from asked
+  union all
+  select '{SEGMENT_MEAN}', horizon_minutes, round({secs("arrived_at", "aat + to_microseconds(round(total * 1000000)::bigint)")})::bigint from asked)
+select source, horizon_minutes::bigint as horizon_minutes, count(*) as n, round(avg(abs(e)), 6) as mae_seconds,
+       quantile_cont(abs(e), 0.5) as median_seconds, round(quantile_cont(abs(e), 0.9), 6) as p90_seconds, round(avg(e), 6) as bias_seconds,
+       null::boolean as below_persist_delay, null::boolean as rounds_recorded
+from x group by all
+union all
+select 'lgbm', horizon_minutes::bigint, count(*), null, null, null, null, true, true from asked group by horizon_minutes
+"""
+
+
+@query("boosted_trees_accuracy", RUN_SQL, *LONG_NEEDS, "long_trips")
 def _(v):
-    """Trees, both baselines and the agency on the test days, matched; no SQL says this."""
-    run = model.run_models(
-        v.long_arrivals, v.long_trips, v.long_stop_times, v.long_agency, ("2024-03-04", FIT), ("2024-03-13", "2024-03-17"),
+    """Both baselines and the agency on the test days, matched. No SQL fits the trees: of them the rows, that their error lies
+    below that of the delay carried on, and that the recorded rounds are the trees kept."""
+    run = model.run_models(v.long_arrivals, v.long_trips, v.long_stop_times, v.long_agency, ("2024-03-04", FIT), TEST)
+    population = written(accuracy.matched(accuracy.label_filter(run.scored, 180)), "population")
+    table = written(accuracy.summarise(population, ["source", "horizon_minutes"]), "accuracy")
+    delay = table.where(F.col("source") == PERSIST_DELAY).select("horizon_minutes", F.col("mae_seconds").alias("_delay"))
+    rounds = run.registry.select(F.get_json_object("params", "$.rounds_used").cast("int")).scalar()
+    trees = F.col("source") == TREES
+    shown = [F.when(~trees, F.col(c)).alias(c) for c in ("mae_seconds", "median_seconds", "p90_seconds", "bias_seconds")]
+    return table.join(delay, "horizon_minutes").select(
+        "source", "horizon_minutes", "n", *shown,
+        F.when(trees, F.col("mae_seconds") < F.col("_delay")).alias("below_persist_delay"),
+        F.when(trees, rounds == len(run.model.trees)).alias("rounds_recorded"),
     )
-    population = accuracy.matched(accuracy.label_filter(run.scored, 180))
-    return accuracy.summarise(population, ["source", "horizon_minutes"])

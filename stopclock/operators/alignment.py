@@ -40,7 +40,8 @@ def scheduled_stops(stop_times: DataFrame, keys: tuple[str, ...] = ("trip_id",))
 def resolve_predictions(rows: DataFrame, stop_times: DataFrame | None, poll: str = "observed_at") -> DataFrame:
     """Fill in `stop_sequence`; refused rows carry a `reason`.
 
-    `stop_times` is one schedule version, None when none is loaded. Rows that already have
+    `stop_times` is one schedule version, None when none is loaded, or its `trip_stops`: the same, put together by trip
+    when it was loaded. Rows that already have
     a sequence pass untouched. The service day is settled before a trip's stops are put
     together, and only the stops of one trip in one poll are, in feed order.
     """
@@ -51,12 +52,15 @@ def resolve_predictions(rows: DataFrame, stop_times: DataFrame | None, poll: str
 
     group = list(dict.fromkeys([poll, "start_date", "trip_id"]))
     carried = [c for c in rows.columns if c not in (*group, "stop_sequence", "feed_order")]
-    settled = with_service_day(open_rows, trip_windows(stop_times), "observed_at").drop("stored_date")
+    ready = "stop_ids" in stop_times.columns
+    windows = stop_times.select("trip_id", "first_seconds", "last_seconds") if ready else trip_windows(stop_times)
+    stops = stop_times.select("trip_id", "stop_ids", "sequences") if ready else scheduled_stops(stop_times)
+    settled = with_service_day(open_rows, windows, "observed_at").drop("stored_date")
     lists = settled.groupBy(*group).agg(
         F.array_sort(F.collect_list(F.struct("feed_order", *carried))).alias("_rows")
     )
     aligned = (
-        lists.join(scheduled_stops(stop_times), "trip_id", "left")
+        lists.join(stops, "trip_id", "left")
         .withColumn("_known", F.col("stop_ids").isNotNull())
         .withColumn("_found", align(F.col("_rows.stop_id"), F.col("stop_ids"), F.col("sequences")))
         .select(*group, "_known", "_found", F.posexplode("_rows").alias("_at", "_row"))

@@ -73,9 +73,10 @@ def segment_fallbacks(stats: DataFrame) -> DataFrame:
     )
 
 
-def global_mean(stats: DataFrame) -> DataFrame:
-    """Per schedule version, the mean of all its segments."""
-    return stats.groupBy("feed_version").agg(_weighted().alias("global_seconds"))
+def global_means(stats: DataFrame) -> Column:
+    """The mean of all segments of each schedule version, as one map from version to mean; versions are few."""
+    means = stats.groupBy("feed_version").agg(_weighted().alias("mean"))
+    return means.agg(F.map_from_entries(F.collect_list(F.struct("feed_version", "mean")))).scalar()
 
 
 def lookup_segments(pairs: DataFrame, stats: DataFrame) -> DataFrame:
@@ -84,44 +85,32 @@ def lookup_segments(pairs: DataFrame, stats: DataFrame) -> DataFrame:
     `stats` is one fit; each pair is looked up in its own schedule version. A version without statistics
     gets the default.
     """
-    joined = pairs.join(segment_fallbacks(stats), ["feed_version", "from_stop_id", "to_stop_id"], "left").join(
-        global_mean(stats), "feed_version", "left"
-    )
+    joined = pairs.join(segment_fallbacks(stats), ["feed_version", "from_stop_id", "to_stop_id"], "left")
     slot = F.col("hour_bin") * 2 + F.col("is_weekend").cast("int")
     exact = F.try_element_at("exact_seconds", slot)
+    anywhere = F.try_element_at(global_means(stats), F.col("feed_version"))
     level = (
         F.when(exact.isNotNull(), "exact").when(F.col("segment_seconds").isNotNull(), "segment").otherwise("global")
     )
     return (
         joined.withColumn("level", level)
-        .withColumn("mean_seconds", F.coalesce(exact, F.col("segment_seconds"), F.col("global_seconds"), F.lit(DEFAULT_SEGMENT_SECONDS)))
-        .drop("exact_seconds", "segment_seconds", "global_seconds")
+        .withColumn("mean_seconds", F.coalesce(exact, F.col("segment_seconds"), anywhere, F.lit(DEFAULT_SEGMENT_SECONDS)))
+        .drop("exact_seconds", "segment_seconds")
     )
 
 
-def hours_in_use(arrivals: DataFrame) -> DataFrame:
-    """Hour bins each trip was ever observed in: all an anchor can have."""
-    return arrivals.select(
-        "feed_version",
-        "trip_id",
-        hour_bin("arrived_at", "start_date").alias("hour_bin"),
-        is_weekend("start_date").alias("is_weekend"),
-    ).distinct()
-
-
-def segment_sums(
-    contexts: DataFrame, stop_times: DataFrame, stats: DataFrame, hours: DataFrame | None = None
-) -> DataFrame:
-    """Sum of segment means from anchor to target, and the share of them that fell back.
+def segment_sums(contexts: DataFrame, stop_times: DataFrame, stats: DataFrame) -> DataFrame:
+    """Sum of segment means from anchor to target, the share of them that fell back, and the trip's number of stops.
 
-    Walking every context's segments would multiply rows by trip length. Instead each trip
-    gets running totals once per hour bin in use, and a context takes the difference of two
-    of them. The hour bin is the anchor's for the whole span. A trip's totals travel as one
-    map, whose size is the trip's number of stops. `hours` (see hours_in_use) saves computing
-    the contexts a second time where they are not stored.
+    Walking every context's segments would multiply rows by trip length. Instead each trip gets running totals once per
+    hour bin and day type its contexts have, over the stops between the first anchor and the last target of these, and a
+    context takes the difference of two of them. The totals travel as an array by sequence number, so either is one look at
+    a place. The hour bin is the anchor's for the whole span. `contexts` and `stats` are read more than once: hand over
+    stored ones.
     """
     trip = ["feed_version", "trip_id"]
-    slots = hours if hours is not None else contexts.select(*trip, "hour_bin", "is_weekend").distinct()
+    key = [*trip, "hour_bin", "is_weekend"]
+    slots = contexts.groupBy(*key).agg(F.min("anchor_sequence").alias("_low"), F.max("target_sequence").alias("_high"))
     along = Window.partitionBy(*trip).orderBy("stop_sequence")
     pairs = stop_times.select(
         *trip,
@@ -129,27 +118,33 @@ def segment_sums(
         F.lag("stop_id").over(along).alias("from_stop_id"),
         F.col("stop_id").alias("to_stop_id"),
     )
-    spans = lookup_segments(pairs.join(slots, trip), stats)
-    key = [*trip, "hour_bin", "is_weekend"]
-    upto = Window.partitionBy(*key).orderBy("stop_sequence").rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.col("stop_sequence").between(F.col("_low"), F.col("_high"))
+    spans = lookup_segments(pairs.join(slots, trip).where(inside), stats)
+    order = Window.partitionBy(*key).orderBy("stop_sequence")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
     first = F.col("from_stop_id").isNull()
     totals = spans.select(
         *key,
         "stop_sequence",
+        (F.col("stop_sequence") - F.coalesce(F.lag("stop_sequence").over(order), F.col("_low") - 1) - 1).cast("int").alias("_missing"),
         F.struct(
             F.sum(F.when(first, 0.0).otherwise(F.col("mean_seconds"))).over(upto).alias("seconds"),
             F.sum(F.when(first | (F.col("level") == "exact"), 0).otherwise(1)).over(upto).alias("coarse"),
             F.count(F.lit(1)).over(upto).alias("stops"),
         ).alias("_total"),
     )
-    maps = totals.groupBy(*key).agg(
-        F.map_from_entries(F.collect_list(F.struct("stop_sequence", "_total"))).alias("_totals")
+    listed = F.sort_array(F.collect_list(F.struct("stop_sequence", "_missing", "_total")))
+    nothing = F.lit(None).cast(totals.schema["_total"].dataType)
+    by_sequence = totals.groupBy(*key).agg(
+        F.flatten(F.transform(listed, lambda x: F.concat(F.array_repeat(nothing, x["_missing"]), F.array(x["_total"])))).alias("_totals")
     )
-    found = contexts.join(maps, key, "left").select(
+    sizes = stop_times.groupBy(*trip).agg(F.count(F.lit(1)).alias("_stops"))
+    ready = slots.join(sizes, trip, "left").join(by_sequence, key, "left").drop("_high")
+    found = contexts.join(ready, key, "left").select(
         *contexts.columns,
-        F.try_element_at("_totals", F.col("anchor_sequence")).alias("_start"),
-        F.try_element_at("_totals", F.col("target_sequence")).alias("_end"),
-        F.coalesce(F.size("_totals"), F.lit(0)).alias("trip_stops"),
+        _at("anchor_sequence").alias("_start"),
+        _at("target_sequence").alias("_end"),
+        F.coalesce("_stops", F.lit(0)).alias("trip_stops"),
     )
     count = F.coalesce(F.col("_end.stops") - F.col("_start.stops"), F.lit(0))
     return (
@@ -164,3 +159,8 @@ def segment_sums(
         )
         .drop("_start", "_end", "_count")
     )
+
+
+def _at(sequence: str) -> Column:
+    """The running total at a sequence number; null where the trip has no such stop."""
+    return F.get("_totals", (F.col(sequence) - F.col("_low")).cast("int"))

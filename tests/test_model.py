@@ -1,12 +1,15 @@
 import datetime as dt
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stopclock.fixed import FEATURES
 from stopclock.functions.ordering import lag_within_feed
 from stopclock.functions.quantiles import exact_percentile
+from stopclock.operators import boosting as B
 from stopclock.operators import conditions as C
 from stopclock.operators import contexts as X
 from stopclock.operators import features as FT
@@ -158,28 +161,102 @@ def test_versions_that_share_a_segment_keep_their_own_means(spark):
 
 
 def test_the_best_round_is_looked_for_with_patience():
-    assert M.best_round([5.0, 4.0, 3.0, 3.5, 2.0], 5) == 5
-    assert M.best_round([5.0, 4.0, 3.0, 3.5, 3.4, 2.0], 2) == 3
-    assert M.best_round([1.0], 3) == 1
+    assert B.best_round([5.0, 4.0, 3.0, 3.5, 2.0], 5) == 5
+    assert B.best_round([5.0, 4.0, 3.0, 3.5, 3.4, 2.0], 2) == 3
+    assert B.best_round([1.0], 3) == 1
 
 
-def test_rounds_are_searched_past_the_first_block_until_patience_ends(spark):
-    assert (M.TreeSettings().rounds, M.TreeSettings().patience) == (2000, 50)
-    rng = random.Random(5)
+def boosting_rows(n, seed=5, routes=4):
+    rng = random.Random(seed)
     rows = []
-    for i in range(400):
-        side = float(i % 2)
-        rows.append((NOON + dt.timedelta(seconds=i), DAY, f"t{i}", 1, 2, 0, 100 * side + (60.0 if rng.random() < 0.2 else 0.0), *[side] * (len(FEATURES) - 1)))
+    for i in range(n):
+        side, route = float(i % 2), rng.randrange(-1, routes)
+        label = 100 * side + 30 * (route in (1, 3)) + (60.0 if rng.random() < 0.2 else 0.0) + rng.randrange(8)
+        noise = [rng.uniform(0, 5) for _ in range(len(FEATURES) - 2)]
+        rows.append((NOON + dt.timedelta(seconds=i), DAY, f"t{i}", 1, 2, route, None if i % 97 == 5 else float("nan") if i % 97 == 6 else label, side, *noise))
+    return rows
+
+
+def boosting_frame(spark, rows, parts=3):
     names = [n for n in FEATURES if n != "route_index"]
-    train = spark.createDataFrame(
-        rows,
-        "anchor_arrived_at timestamp, start_date date, trip_id string, anchor_sequence int, target_sequence int, route_index int, label_seconds double, "
-        + ", ".join(f"{n} double" for n in names),
-    )
-    settings = M.TreeSettings(rounds=2000, step=0.5, depth=1, patience=4, block=5)
-    model, rounds = M.fit_trees(train, 1, settings)
-    # the first tree says the mean, about 12 s above the median; each round takes off a part of half a second
-    assert 25 < rounds < 200 and model.getNumTrees == rounds
+    schema = "anchor_arrived_at timestamp, start_date date, trip_id string, anchor_sequence int, target_sequence int, route_index int, label_seconds double, "
+    return spark.createDataFrame(rows, schema + ", ".join(f"{n} double" for n in names)).repartition(parts)
+
+
+def test_rounds_are_searched_until_patience_ends(spark):
+    assert (M.TreeSettings().rounds, M.TreeSettings().patience, M.TreeSettings().step) == (2000, 50, 0.05)
+    # each round takes off a fifth of what is left of 50 seconds, down to a sixteenth of a second
+    rows = [(*r[:5], 0, 100.0 * r[7], r[7], *[0.0] * (len(FEATURES) - 2)) for r in boosting_rows(400)]
+    model, rounds = M.fit_trees(boosting_frame(spark, rows), 1, M.TreeSettings(step=0.2, depth=1, patience=3))
+    assert 20 < rounds < 2000 and model.rounds == rounds
+
+
+def brute_trees(rows, routes, settings, rounds, edges):
+    """The same boosting in loops over rows: splits tried one by one, medians by sorting."""
+    order = [FEATURES[0], *[n for n in FEATURES if n not in (FEATURES[0], "route_index")]]
+    at = {n: 7 + i for i, n in enumerate(order)}
+    values = [[float(r[5]) if n == "route_index" else r[at[n]] for n in FEATURES] for r in rows]
+    bins = [[(int(v) + 1 if 0 <= v < routes else 0) if edges[j] is None else sum(e < v for e in edges[j]) for j, v in enumerate(x)] for x in values]
+    widths = [routes + 1 if e is None else len(e) + 1 for e in edges]
+    labels = [r[6] for r in rows]
+
+    def median(residuals):
+        s = sorted(math.floor(x * 16 + 0.5) for x in residuals)
+        return (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 32
+
+    sums = [median(labels)] * len(rows)
+    for _ in range(rounds):
+        leaves = [list(range(len(rows)))]
+        for _ in range(settings.depth):
+            after = []
+            for part in leaves:
+                best, won = None, 0.0
+                for j, width in enumerate(widths):
+                    n, g = [0] * width, [0] * width
+                    for i in part:
+                        n[bins[i][j]] += 1
+                        g[bins[i][j]] += (labels[i] > sums[i]) - (labels[i] < sums[i])
+                    turn = sorted(range(width), key=lambda b: (g[b] / max(n[b], 1), b)) if edges[j] is None else range(width)
+                    low = pull = 0
+                    for k, b in enumerate(turn):
+                        low, pull = low + n[b], pull + g[b]
+                        if low >= settings.min_rows and len(part) - low >= settings.min_rows:
+                            gain = round(pull**2 / low + (sum(g) - pull) ** 2 / (len(part) - low) - sum(g) ** 2 / len(part), 6)
+                            if gain > won:
+                                best, won = (j, set(list(turn)[: k + 1])), gain
+                after.append([i for i in part if best is None or bins[i][best[0]] in best[1]])
+                after.append([i for i in part if best is not None and bins[i][best[0]] not in best[1]])
+            leaves = after
+        add = [settings.step * median([labels[i] - sums[i] for i in part]) if part else 0.0 for part in leaves]
+        for part, x in zip(leaves, add, strict=True):
+            for i in part:
+                sums[i] += x
+    return sums
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_boosting_equals_loops_over_rows(spark, seed):
+    """The searched model against a fit from nothing with as many rounds, on few and on many partitions."""
+    rows = boosting_rows(260, seed)
+    settings = M.TreeSettings(rounds=12, step=0.3, depth=2, min_rows=9, patience=4)
+    one, rounds = M.fit_trees(boosting_frame(spark, rows, 1), 4, settings)
+    many, again = M.fit_trees(boosting_frame(spark, rows, 7), 4, settings)
+    usable = [r for r in rows if r[6] is not None and r[6] == r[6]]
+    order = [FEATURES[0], *[n for n in FEATURES if n not in (FEATURES[0], "route_index")]]
+    values = np.array([[float(r[5]) if n == "route_index" else r[7 + order.index(n)] for n in FEATURES] for r in usable])
+    assert rounds == again >= 3
+    assert one.predict(values).tolist() == many.predict(values).tolist()
+    assert one.predict(values).tolist() == pytest.approx(brute_trees(usable, 4, settings, rounds, one.edges), abs=1e-9)
+
+
+def test_boosting_without_late_rows_or_rows(spark):
+    rows = boosting_rows(40)
+    frame = boosting_frame(spark, rows).withColumn("late", F.lit(False))
+    fit = lambda df: B.boost(df, list(FEATURES), "route_index", 4, "label_seconds", "late", 9, 0.1, 2, 5, 3)[0]
+    assert fit(frame).rounds == 1 and fit(frame.withColumn("late", F.lit(True))).rounds == 1
+    assert fit(frame.limit(0)).rounds == 0 and fit(frame.limit(0)).predict(np.zeros((2, len(FEATURES)))).tolist() == [0.0, 0.0]
+    unseen = np.array([[0.0] * (len(FEATURES) - 1) + [x] for x in (-1.0, 99.0, float("nan"))])
+    assert len(set(fit(frame).predict(unseen).tolist())) == 1
 
 
 def context(spark, anchor, target, arrived=0, hour=12):

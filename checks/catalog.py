@@ -56,5 +56,6 @@ def load_all() -> None:
         q_scoring,
         q_static,
         q_stops,
+        q_streams,
         q_tracks,
     )

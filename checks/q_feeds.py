@@ -157,15 +157,20 @@ def _(v):
 
 # --- change-only ---
 
-CHANGED = """
-with recursive o as (
-  select *, row_number() over (partition by start_date, trip_id, stop_sequence order by observed_at) as rn from observed),
+def changed_sql(given: str = "", rows: str = "observed", more: tuple[str, ...] = ()) -> str:
+    """Change-only as a fold over each key; `more` columns of `rows`, which `given` may define, start a key anew."""
+    keys = ("start_date", "trip_id", "stop_sequence", *more)
+    key, of_o = ", ".join(keys), ", ".join(f"o.{k}" for k in keys)
+    same = " and ".join(f"o.{k} = f.{k}" for k in keys)
+    return f"""
+with recursive {given} o as (
+  select *, row_number() over (partition by {key} order by observed_at) as rn from {rows}),
 fold as (
-  select start_date, trip_id, stop_sequence, rn, eid, true as keep, arrival_us as la, delay_seconds as ld from o where rn = 1
+  select {key}, rn, eid, true as keep, arrival_us as la, delay_seconds as ld from o where rn = 1
   union all
-  select o.start_date, o.trip_id, o.stop_sequence, o.rn, o.eid, x.keep,
+  select {of_o}, o.rn, o.eid, x.keep,
          case when x.keep then o.arrival_us else f.la end, case when x.keep then o.delay_seconds else f.ld end
-  from fold f join o on o.start_date = f.start_date and o.trip_id = f.trip_id and o.stop_sequence = f.stop_sequence and o.rn = f.rn + 1,
+  from fold f join o on {same} and o.rn = f.rn + 1,
   lateral (select case
     when o.arrival_us is not null and f.la is not null then abs(o.arrival_us - f.la) >= 30000000
     when (o.arrival_us is null) <> (f.la is null) then true
@@ -175,6 +180,9 @@ select eid from fold where keep
 """
 
 
+CHANGED = changed_sql()
+
+
 @query("change_only_batch", CHANGED, "observed")
 def _(v):
     return changes.select_changed(v.observed).select("eid")

@@ -1,23 +1,30 @@
 """Versioned loading of a static schedule.
 
-Every table is written under its feed version first and the registry row last. Readers join
-the registry, so a version is either wholly there or not there: a crash leaves no version.
+Every table is written under its feed version and a load of its own first, the registry row last. Readers join the registry,
+which names the load that counts: a version is either wholly there or not there, and a version that is loaded again is
+the old one until the moment it is the new one. A crash leaves a load that nothing names.
 """
 
 import datetime as dt
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stopclock.fixed import OPTIONAL_FILES, REQUIRED_FILES
+from stopclock.operators.alignment import scheduled_stops
 from stopclock.operators.calendar import expand_service_dates
+from stopclock.operators.service_days import trip_windows
 from stopclock.schemas import FEED_VERSIONS, LOAD_LOG
 from stopclock.sinks.tables import append_log, log_row
-from stopclock.sources.files import delete, exists, stored
+from stopclock.sources.files import delete, exists, folders, stored
 from stopclock.sources.gtfs_text import TABLES, check_files, feed_info, read_table
 
-STATIC = (*TABLES, "service_dates")
+STATIC = (*TABLES, "service_dates", "trip_stops")
+#: The registry as stored: the load that counts stands beside each version.
+LOADS = T.StructType([*FEED_VERSIONS.fields, T.StructField("load", T.StringType())])
 
 
 def _files(spark: SparkSession, folder: str) -> list[str]:
@@ -46,10 +53,10 @@ def content_version(spark: SparkSession, folder: str) -> str:
     return per_file.agg(F.sha2(F.array_join(parts, "\n"), 256)).first()[0]
 
 
-def registry(spark: SparkSession, root: str) -> DataFrame:
-    """Feed versions; the last row written for a version counts."""
-    rows = stored(spark, f"{root}/feed_versions", FEED_VERSIONS)
-    names = [f.name for f in FEED_VERSIONS if f.name != "feed_version"]
+def _loads(spark: SparkSession, root: str) -> DataFrame:
+    """Feed versions with the load that counts; the last row written for a version counts."""
+    rows = stored(spark, f"{root}/feed_versions", LOADS)
+    names = [f.name for f in LOADS if f.name != "feed_version"]
     return (
         rows.groupBy("feed_version")
         .agg(F.max_by(F.struct(*names), "downloaded_at").alias("_r"))
@@ -58,10 +65,16 @@ def registry(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def registry(spark: SparkSession, root: str) -> DataFrame:
+    """Feed versions that are loaded."""
+    return _loads(spark, root).drop("load")
+
+
 def read_static(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Rows of loaded versions only."""
+    """Rows of loaded versions only. Version and load are partition columns: other loads are not read."""
     rows = spark.read.parquet(f"{root}/{table}")
-    return rows.join(registry(spark, root).select("feed_version"), "feed_version", "left_semi")
+    loads = _loads(spark, root).select("feed_version", "load")
+    return rows.join(loads, ["feed_version", "load"], "left_semi").drop("load")
 
 
 def is_unchanged(spark: SparkSession, root: str, last_modified: str | None, length: int | None) -> bool:
@@ -72,26 +85,42 @@ def is_unchanged(spark: SparkSession, root: str, last_modified: str | None, leng
     return (newest["last_modified"], newest["content_length"]) == (last_modified, length)
 
 
-def load_version(spark: SparkSession, folder: str, root: str, version: str) -> dict[str, int]:
-    """Write all tables of one version; returns rows per table. Does not register it."""
+def load_version(spark: SparkSession, folder: str, root: str, version: str, load: str | None = None) -> dict[str, int]:
+    """Write all tables of one load of a version; returns rows per table. Does not register it.
+
+    Beside the published tables, `trip_stops` has each trip's stops in order, so that whoever resolves predictions need
+    not put stop times together again.
+    """
     check_files(spark, folder)
+    load = load or _new_load()
     counts = {}
     for table in TABLES:
-        counts[table] = _write(read_table(spark, folder, table), root, table, version)
+        counts[table] = _write(read_table(spark, folder, table), root, table, version, load)
     dates = expand_service_dates(read_table(spark, folder, "calendar"), read_table(spark, folder, "calendar_dates"))
-    counts["service_dates"] = _write(dates, root, "service_dates", version, ["service_date", "service_id"])
+    counts["service_dates"] = _write(dates, root, "service_dates", version, load, ["service_date", "service_id"])
+    stop_times = spark.read.parquet(f"{root}/stop_times/feed_version={version}/load={load}")
+    _write(trip_stops(stop_times), root, "trip_stops", version, load)
     return counts
 
 
-def _write(rows: DataFrame, root: str, table: str, version: str, order: list[str] | None = None) -> int:
-    """One version is one folder, so a version loaded again replaces just itself."""
+def _new_load() -> str:
+    return f"l{uuid.uuid4().hex}"  # never read as a number
+
+
+def trip_stops(stop_times: DataFrame) -> DataFrame:
+    """Per trip its stop ids and sequences in order, and its first and last scheduled second."""
+    return scheduled_stops(stop_times).join(trip_windows(stop_times), "trip_id", "left")
+
+
+def _write(rows: DataFrame, root: str, table: str, version: str, load: str, order: list[str] | None = None) -> int:
+    """One load of a version is one folder."""
     from pyspark.sql import Observation
 
     seen = Observation()
     rows = rows.observe(seen, F.count(F.lit(1)).alias("n"))
     if order:
         rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.write.mode("overwrite").parquet(f"{root}/{table}/feed_version={version}")
+    rows.write.mode("overwrite").parquet(f"{root}/{table}/feed_version={version}/load={load}")
     return seen.get["n"]
 
 
@@ -111,8 +140,9 @@ def load_schedule(spark: SparkSession, folder: str, root: str, source_url: str,
             if known and not force:
                 status = "skipped_already_loaded"
             else:
-                counts = load_version(spark, folder, root, version)
-                _register(spark, folder, root, version, source_url, started, modified, length, counts)
+                load = _new_load()
+                counts = load_version(spark, folder, root, version, load)
+                _register(spark, folder, root, version, source_url, started, modified, length, counts, load)
                 status = "ok"
     except Exception as failure:
         status, error = "parse_error", str(failure)
@@ -140,11 +170,12 @@ def _json(counts: dict[str, int] | None) -> str | None:
     return json.dumps(counts) if counts else None
 
 
-def _register(spark, folder, root, version, source_url, started, modified, length, counts) -> None:
+def _register(spark, folder, root, version, source_url, started, modified, length, counts, load) -> None:
     info = feed_info(spark, folder).first()
     row = log_row(
         spark,
-        FEED_VERSIONS,
+        LOADS,
+        load=load,
         feed_version=version,
         source_url=source_url,
         downloaded_at=started.replace(tzinfo=None),
@@ -162,8 +193,21 @@ def _register(spark, folder, root, version, source_url, started, modified, lengt
 def drop_version(spark: SparkSession, root: str, version: str) -> None:
     """Unregister a version first, then remove its rows."""
     gone = log_row(
-        spark, FEED_VERSIONS, feed_version=version, source_url="", downloaded_at=dt.datetime.now(dt.UTC).replace(tzinfo=None)
+        spark, LOADS, feed_version=version, source_url="", downloaded_at=dt.datetime.now(dt.UTC).replace(tzinfo=None)
     )
     gone.write.mode("append").parquet(f"{root}/feed_versions")
     for table in STATIC:
         delete(spark, f"{root}/{table}/feed_version={version}")
+
+
+def drop_old_loads(spark: SparkSession, root: str) -> int:
+    """Remove the files of loads that no longer count; returns the folders removed. For times when no one reads them."""
+    named = {(r["feed_version"], r["load"]) for r in _loads(spark, root).select("feed_version", "load").collect()}
+    gone = 0
+    for table in STATIC:
+        for folder in folders(spark, f"{root}/{table}/feed_version=*/load=*"):
+            version, load = (part.split("=", 1)[1] for part in folder.split("/")[-2:])
+            if (version, load) not in named:
+                delete(spark, folder)
+                gone += 1
+    return gone

@@ -1,14 +1,17 @@
 """Idempotent writes to Parquet tables."""
 
+import json
 import logging
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stopclock.functions.labels import cut_error
 from stopclock.fixed import MAX_ERROR_CHARS
-from stopclock.sources.files import delete, exists
+from stopclock.sources.files import delete, exists, folders, put_whole, stored
 
 log = logging.getLogger(__name__)
 
@@ -41,22 +44,91 @@ def append_new(
     offered, inserted = Observation(), Observation()
     rows = keep_first(batch.observe(offered, F.count(F.lit(1)).alias("n")), keys, order)
     if exists(spark, path):
-        stored = spark.read.parquet(path)
+        known = table(spark, path, batch.schema, partition_by)
         if days is not None:
             bounds = (F.to_date(F.lit(days[0])), F.to_date(F.lit(days[1])))
-            stored = stored.where(F.col("start_date").between(*bounds))
-        rows = not_yet_stored(rows, stored, keys)
+            known = known.where(F.col("start_date").between(*bounds))
+        rows = not_yet_stored(rows, known, keys)
     rows = rows.select(*batch.columns).observe(inserted, F.count(F.lit(1)).alias("n"))
-    _write(rows, path, "append", partition_by)
+    append(rows, path, partition_by)
     return {"offered": offered.get["n"], "inserted": inserted.get["n"]}
 
 
-def _write(df: DataFrame, path: str, mode: str, partition_by: list[str] | None) -> None:
-    if partition_by:
-        # AQE splits a partition value with many rows and merges those with few
-        df = df.hint("rebalance", *partition_by)
-    writer = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+# A table whose partitions can be replaced keeps each replacement in a folder of its own, its generation. Rows are appended
+# to the generation that counts. Which one counts is told by the newest manifest, a small file put in place by one
+# rename: a reader sees a replacement of several partitions whole or not at all, and a writer that fails leaves the
+# old rows as they were. A table has one writer at a time.
+GENERATION, FIRST = "generation", "0"
+
+
+def manifest(spark: SparkSession, path: str) -> dict[str, str]:
+    """Partition to the generation that counts, for the partitions replaced so far."""
+    kept = folders(spark, f"{path}/_manifest/*.json")
+    return json.loads(spark.read.text(kept[-1], wholetext=True).first()[0]) if kept else {}
+
+
+def _put_manifest(spark: SparkSession, path: str, counts: dict[str, str]) -> None:
+    last = folders(spark, f"{path}/_manifest/*.json")
+    number = int(last[-1].rsplit("/", 1)[1].removesuffix(".json")) + 1 if last else 1
+    put_whole(spark, f"{path}/_manifest/{number:012d}.json", json.dumps(counts))
+
+
+def _partition(partition_by: list[str]) -> Column:
+    return F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in partition_by])
+
+
+def _generation(spark: SparkSession, path: str, partition_by: list[str]) -> Column:
+    counts = manifest(spark, path)
+    if not counts:
+        return F.lit(FIRST)
+    told = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
+    return F.coalesce(F.try_element_at(told, _partition(partition_by)), F.lit(FIRST))
+
+
+def table(spark: SparkSession, path: str, schema: T.StructType, partition_by: list[str] | None = None) -> DataFrame:
+    """A stored table as it stands, or an empty one before its first write. The generation is a partition column, so only
+    files that count are read."""
+    if not partition_by:
+        return stored(spark, path, schema)
+    layout = T.StructType([f for f in schema.fields if f.name != GENERATION] + [T.StructField(GENERATION, T.StringType())])
+    rows = stored(spark, path, layout)
+    return rows.where(F.col(GENERATION) == _generation(spark, path, partition_by)).select(*schema.fieldNames())
+
+
+def append(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Append rows to the generations that count."""
+    if not partition_by:
+        rows.write.mode("append").parquet(path)
+        return
+    # AQE splits a partition value with many rows and merges those with few
+    rows = rows.withColumn(GENERATION, _generation(rows.sparkSession, path, partition_by)).hint("rebalance", *partition_by)
+    rows.write.mode("append").partitionBy(GENERATION, *partition_by).parquet(path)
+
+
+def replace_partitions(rows: DataFrame, path: str, partition_by: list[str], touched: list[str]) -> None:
+    """Put `rows` in place of the touched partitions, all at once; a touched partition without rows is empty then.
+
+    `rows` may be read from the table itself: its files stay, until `vacuum`.
+    """
+    generation = uuid.uuid4().hex
+    marked = rows.withColumn(GENERATION, F.lit(generation)).hint("rebalance", *partition_by)
+    marked.write.mode("append").partitionBy(GENERATION, *partition_by).parquet(path)
+    spark = rows.sparkSession
+    _put_manifest(spark, path, manifest(spark, path) | dict.fromkeys(touched, generation))
+
+
+def vacuum(spark: SparkSession, path: str, partition_by: list[str]) -> int:
+    """Delete files that no longer count, and all manifests but the newest; for times when no one reads older ones."""
+    counts, gone = manifest(spark, path), 0
+    for folder in folders(spark, f"{path}/{GENERATION}=*" + "/*=*" * len(partition_by)):
+        values = [part.split("=", 1)[1] for part in folder.split("/")[-len(partition_by) - 1 :]]
+        key = "/".join("" if v == "__HIVE_DEFAULT_PARTITION__" else unquote(v) for v in values[1:])
+        if counts.get(key, FIRST) != values[0]:
+            delete(spark, folder)
+            gone += 1
+    for old in folders(spark, f"{path}/_manifest/*.json")[:-1]:
+        delete(spark, old)
+    return gone
 
 
 def upsert_rows(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,45 +137,32 @@ def upsert_rows(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return kept.select(*new.columns).unionByName(new)
 
 
-def _replace_partitions(rows: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Stage, then overwrite: a plan cannot overwrite the files it reads."""
-    spark = rows.sparkSession
-    staging = f"{path.rstrip('/')}_staging/{uuid.uuid4().hex}"
-    rows.write.partitionBy(*partition_by).parquet(staging)
-    staged = spark.read.schema(rows.schema).parquet(staging)
-    _write(staged, path, "overwrite", partition_by)
-    delete(spark, staging)
-
-
 def upsert(new: DataFrame, path: str, keys: list[str], partition_by: list[str]) -> None:
-    """Last write wins, rewriting only the partitions the new rows fall in."""
+    """Last write wins, rewriting only the partitions the new rows fall in. Their names, one for each, reach the driver."""
     spark = new.sparkSession
     if not exists(spark, path):
-        _write(new, path, "append", partition_by)
+        append(new, path, partition_by)
         return
     touched = new.select(*partition_by).distinct()
-    stored = spark.read.schema(new.schema).parquet(path).join(touched, partition_by, "left_semi")
-    _replace_partitions(upsert_rows(stored, new, keys), path, partition_by)
+    known = table(spark, path, new.schema, partition_by).join(touched, partition_by, "left_semi")
+    names = [r[0] for r in touched.select(_partition(partition_by)).collect()]
+    replace_partitions(upsert_rows(known, new, keys), path, partition_by, names)
 
 
 def move_rows(corrected: DataFrame, path: str, old_day: str, day: str = "start_date") -> int:
     """Rewrite the partitions between which rows move; returns rows moved.
 
     `corrected` is the whole stored table with `day` corrected and the stored value beside
-    it in `old_day`. A partition all rows have left is removed. The two lists of days that
-    reach the driver hold one value per touched service day.
+    it in `old_day`. A partition all rows have left is empty then. The list of days that
+    reaches the driver holds one value per touched service day.
     """
-    spark = corrected.sparkSession
     moving = corrected.where(F.col(day) != F.col(old_day))
     pairs = moving.groupBy(old_day, day).agg(F.count(F.lit(1)).alias("n")).collect()
     if not pairs:
         return 0
     days = sorted({row[old_day] for row in pairs} | {row[day] for row in pairs})
     rows = corrected.where(F.col(day).isin(days)).drop(old_day)
-    filled = {row[day] for row in rows.select(day).distinct().collect()}
-    _replace_partitions(rows, path, [day])
-    for empty in (d for d in days if d not in filled):
-        delete(spark, f"{path}/{day}={empty.isoformat()}")
+    replace_partitions(rows, path, [day], [d.isoformat() for d in days])
     return sum(row["n"] for row in pairs)
 
 
@@ -125,13 +184,15 @@ def merge_counts(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFr
     )
 
 
-def append_log(rows: DataFrame, path: str, partition_by: str | None = None) -> bool:
-    """Append outcome rows, error text cut. A failure here is logged and never fails the job."""
+def append_log(rows: DataFrame, path: str, partition_by: list[str] | str | None = None, once: bool = False) -> bool:
+    """Append outcome rows, error text cut. A failure here is logged and never fails the job. With `once`, rows take the
+    place of those written before under the same partition values: a batch that is run again is logged once."""
     try:
         if "error" in rows.columns:
             rows = rows.withColumn("error", cut_error("error", MAX_ERROR_CHARS))
-        writer = rows.write.mode("append")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+        writer = rows.write.mode("overwrite" if once else "append").option("partitionOverwriteMode", "dynamic")
+        names = [partition_by] if isinstance(partition_by, str) else partition_by
+        (writer.partitionBy(*names) if names else writer).parquet(path)
         return True
     except Exception:
         log.exception("could not write the outcome log at %s", path)

@@ -5,6 +5,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stopclock.fixed import CHANGE_THRESHOLD_SECONDS, RETAIN_SERVICE_DAYS
@@ -51,14 +52,23 @@ class ChangeOnly(StatefulProcessor):
         places = kept_places(kinds, values, None if fresh else (int(state[0]), int(state[1])), self.threshold * 1_000_000)
         if places:
             self.last.update((kinds[places[-1]], values[places[-1]]))
-        if fresh and self.retain_days is not None:
-            closes = dt.datetime.combine(key[0], dt.time(), dt.UTC) + dt.timedelta(days=self.retain_days + 1)
-            self.handle.registerTimer(int(closes.timestamp() * 1000))
+        if fresh:
+            self._forget_later(key)
         if places:
             frame = batch.iloc[places].copy()
             frame["delay_seconds"] = frame["delay_seconds"].astype("Int32")
             yield frame
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        what = said(initialState)
+        self.last.update((int(what["kind"].iloc[-1]), int(what["value"].iloc[-1])))
+        self._forget_later(key)
+
+    def _forget_later(self, key) -> None:
+        if self.retain_days is not None:
+            closes = dt.datetime.combine(key[0], dt.time(), dt.UTC) + dt.timedelta(days=self.retain_days + 1)
+            self.handle.registerTimer(int(closes.timestamp() * 1000))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
         return iter(())
@@ -71,19 +81,28 @@ def changed_stream(
     predictions: DataFrame,
     threshold: int = CHANGE_THRESHOLD_SECONDS,
     retain_days: int | None = RETAIN_SERVICE_DAYS,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """The stream's rows worth storing. State of a service day goes `retain_days` after it closes.
 
     A key's rows of one micro-batch are ordered by observation; across micro-batches they
     must arrive in order. State rests in RocksDB, so it need not fit in memory.
+
+    `stored` holds predictions written before: the last one of each key is where the state starts. It is read once, by the
+    first batch of a new checkpoint; a stream that is started again goes on from its checkpoint and reads no table.
     """
     spark = predictions.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     timed = retain_days is not None
     rows = predictions.withWatermark("observed_at", f"{retain_days} days") if timed else predictions
+    start = None
+    if stored is not None:
+        latest = F.max_by(F.struct("arrival_time", "delay_seconds"), "observed_at")
+        start = stored.groupBy(*KEY).agg(latest.alias("_l")).select(*KEY, "_l.arrival_time", "_l.delay_seconds").groupBy(*KEY)
     return rows.groupBy(*KEY).transformWithStateInPandas(
         statefulProcessor=ChangeOnly(threshold, retain_days),
         outputStructType=predictions.schema,
         outputMode="Append",
         timeMode="EventTime" if timed else "None",
+        initialState=start,
     )

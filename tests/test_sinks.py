@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from stopclock.operators.calendar import active_version, expand_service_dates
 from stopclock.operators.service_days import backfill_days, key_collisions, trip_windows, with_service_day
 from stopclock.sinks import schedule as S
-from stopclock.sinks.tables import append_log, append_new, log_row, merge_captures, merge_counts, move_rows, upsert
+from stopclock.sinks import tables as TB
+from stopclock.sinks.tables import append, append_log, append_new, log_row, merge_captures, merge_counts, move_rows, table, upsert, vacuum
 from stopclock.schemas import LOAD_LOG
 from stopclock.sources.gtfs_text import read_table
 from tests.conftest import day, utc
@@ -36,7 +37,8 @@ def test_upsert_replaces_and_leaves_other_partitions(spark, tmp_path):
     d1, d2 = day("2026-10-01"), day("2026-10-02")
     upsert(spark.createDataFrame([(d1, "t", "lgbm", 1), (d1, "u", "lgbm", 2), (d2, "t", "lgbm", 3)], schema), path, key, ["start_date", "source"])
     upsert(spark.createDataFrame([(d1, "t", "lgbm", 10), (d1, "t", "mts", 5)], schema), path, key, ["start_date", "source"])
-    got = {(r["start_date"], r["trip_id"], r["source"]): r["error"] for r in spark.read.parquet(path).collect()}
+    by = ["start_date", "source"]
+    got = {(r["start_date"], r["trip_id"], r["source"]): r["error"] for r in table(spark, path, spark.createDataFrame([], schema).schema, by).collect()}
     assert got == {(d1, "t", "lgbm"): 10, (d1, "u", "lgbm"): 2, (d2, "t", "lgbm"): 3, (d1, "t", "mts"): 5}
 
 
@@ -47,19 +49,69 @@ def test_backfill_moves_rows_between_days(spark, tmp_path):
          ("bus", utc("2026-09-30 20:00:00"), None, day("2026-09-30"))],
         "vehicle_id string, ts timestamp, trip_id string, start_date date",
     )
-    rows.write.partitionBy("start_date").parquet(path)
+    append(rows, path, ["start_date"])
     stop_times = spark.createDataFrame([("night", 84900), ("night", 86460)], "trip_id string, arrival_seconds int")
-    stored = spark.read.schema(rows.schema).parquet(path)
+    stored = table(spark, path, rows.schema, ["start_date"])
     fixed = backfill_days(stored, trip_windows(stop_times), "ts").select(*rows.columns, "stored_date")
     assert key_collisions(fixed, ["vehicle_id", "ts"]).isEmpty()
     assert move_rows(fixed, path, "stored_date") == 1
-    spark.catalog.refreshByPath(path)
-    after = spark.read.schema(rows.schema).parquet(path)
+    after = table(spark, path, rows.schema, ["start_date"])
     assert sorted(r["start_date"].isoformat() for r in after.collect()) == ["2026-09-28", "2026-09-28", "2026-09-30"]
     again = backfill_days(after, trip_windows(stop_times), "ts").select(*rows.columns, "stored_date")
     assert move_rows(again, path, "stored_date") == 0
 
 
+ERRORS = "start_date date, trip_id string, source string, error int"
+BY = ["start_date", "source"]
+
+
+def errors(spark, *rows):
+    return spark.createDataFrame([(day(d), t, s, e) for d, t, s, e in rows], ERRORS)
+
+
+def held(spark, path):
+    rows = table(spark, path, errors(spark).schema, BY).collect()
+    return sorted((r["start_date"].day, r["trip_id"], r["source"], r["error"]) for r in rows)
+
+
+def test_a_replacement_that_fails_leaves_the_old_rows(spark, tmp_path, monkeypatch):
+    """Lost in the middle of its files, or after them: readers see the old table whole, and a second try goes through."""
+    path, key = str(tmp_path / "errors"), ["start_date", "trip_id", "source"]
+    upsert(errors(spark, ("2026-10-01", "t", "a", 1), ("2026-10-02", "t", "a", 2), ("2026-10-02", "u", "b", 3)), path, key, BY)
+    old = held(spark, path)
+    new = errors(spark, ("2026-10-01", "t", "a", 10), ("2026-10-02", "t", "a", 20), ("2026-10-02", "x", "a", 30))
+    broken = new.withColumn("error", F.when(F.col("trip_id") == "x", F.raise_error(F.lit("lost")).cast("int")).otherwise(F.col("error")))
+    with pytest.raises(Exception, match="lost"):
+        upsert(broken, path, key, BY)
+    assert held(spark, path) == old
+    with monkeypatch.context() as m:
+        m.setattr(TB, "_put_manifest", lambda *a: (_ for _ in ()).throw(OSError("no manifest")))
+        with pytest.raises(OSError, match="no manifest"):
+            upsert(new, path, key, BY)
+    assert held(spark, path) == old
+    reader = table(spark, path, new.schema, BY)
+    upsert(new, path, key, BY)
+    want = [(1, "t", "a", 10), (2, "t", "a", 20), (2, "u", "b", 3), (2, "x", "a", 30)]
+    assert held(spark, path) == want
+    assert sorted(r["error"] for r in reader.collect()) == [1, 2, 3], "whoever reads the old table goes on reading it"
+    assert append_new(errors(spark, ("2026-10-02", "t", "a", 99), ("2026-10-02", "n", "a", 4)), path, key, ["error"], BY) == {"offered": 2, "inserted": 1}
+    assert vacuum(spark, path, BY) >= 2 and vacuum(spark, path, BY) == 0
+    assert held(spark, path) == sorted([*want, (2, "n", "a", 4)])
+
+
+def test_a_day_all_rows_leave_is_empty_and_can_be_filled_again(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    rows = spark.createDataFrame([(1, day("2026-10-01")), (2, day("2026-10-02")), (3, None)], "n int, start_date date")
+    append(rows, path, ["start_date"])
+    moved = rows.where("n = 1").withColumn("old", F.col("start_date")).withColumn("start_date", F.lit(day("2026-10-02")))
+    moved = moved.unionByName(rows.where("n <> 1").withColumn("old", F.col("start_date")))
+    assert move_rows(moved, path, "old") == 1
+    read = lambda: sorted((r["n"], str(r["start_date"])) for r in table(spark, path, rows.schema, ["start_date"]).collect())
+    assert read() == [(1, "2026-10-02"), (2, "2026-10-02"), (3, "None")]
+    append(spark.createDataFrame([(4, day("2026-10-01"))], rows.schema), path, ["start_date"])
+    assert read()[-1] == (4, "2026-10-01")
+
+
 def test_rows_without_a_trip_keep_their_day(spark):
     rows = spark.createDataFrame(
         [("a", utc("2026-09-29 07:05:00"), None, day("2020-01-01")), ("b", utc("2026-09-29 07:05:00"), "", None), ("c", utc("2026-09-29 07:05:00"), "unknown", None)],
@@ -204,6 +256,22 @@ def test_versions_load_skip_replace_and_drop(spark, tmp_path):
     assert S.registry(spark, store).count() == 1 and S.read_static(spark, store, "routes").count() == 2
 
 
+def test_a_forced_load_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    store, feed = str(tmp_path / "store"), folder(tmp_path)
+    assert S.load_schedule(spark, feed, store, "test") == "ok"
+    before = S.read_static(spark, store, "stop_times")
+    with monkeypatch.context() as m:
+        m.setattr(S, "_register", lambda *a: (_ for _ in ()).throw(OSError("lost before the registry row")))
+        with pytest.raises(OSError):
+            S.load_schedule(spark, feed, store, "test", force=True)
+    assert S.read_static(spark, store, "stop_times").count() == 7
+    assert S.load_schedule(spark, feed, store, "test", force=True) == "ok"
+    assert S.read_static(spark, store, "stop_times").count() == 7 == before.count()
+    assert S.drop_old_loads(spark, store) == 2 * len(S.STATIC) and S.drop_old_loads(spark, store) == 0
+    stops = {r["trip_id"]: r for r in S.read_static(spark, store, "trip_stops").collect()}
+    assert stops["t1"]["stop_ids"] == ["a", "b", "c"] and (stops["t3"]["first_seconds"], stops["t3"]["last_seconds"]) == (91800, 93900)
+
+
 def test_content_version_ignores_line_order(spark, tmp_path):
     lines = FILES["stops.txt"].splitlines()
     shuffled = "\n".join([lines[0], *reversed(lines[1:])]) + "\n"

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from stopclock.operators.changes import select_changed
 from stopclock.streaming import feeds as S
 from stopclock.streaming.changes import changed_stream
+from stopclock.streaming.replay import replay
+from stopclock.streaming.vehicles import on_map, vehicle_updates
 from tests.conftest import day, utc
 
 EPOCH = 1_790_881_200  # 2026-10-01 19:00:00 UTC
@@ -132,9 +134,89 @@ def test_streaming_dedupe_and_latest(spark, tmp_path):
     unique = S.dedupe_positions(stream).writeStream.format("memory").queryName("unique_positions").outputMode("append").trigger(availableNow=True).start()
     unique.awaitTermination()
     assert spark.table("unique_positions").count() == 2
-    latest = S.latest_vehicles(stream).writeStream.format("memory").queryName("latest_positions").outputMode("complete").trigger(availableNow=True).start()
-    latest.awaitTermination()
-    assert spark.table("latest_positions").first()["latest"]["lat"] == 2.0
+
+
+def test_a_vehicle_not_seen_for_a_while_leaves_map_and_state(spark):
+    def at(minute, vehicle, lat):
+        return (vehicle, utc("2026-10-01 10:00:00") + dt.timedelta(minutes=minute), "r", "t", lat, 0.0)
+
+    rows = spark.createDataFrame(
+        [at(0, "a", 1.0), at(1, "b", 2.0), at(1, "c", None), at(14, "b", 3.0), at(14, "b", 2.5), at(16, "d", 4.0), at(40, "a", 5.0)],
+        "vehicle_id string, ts timestamp, route_id string, trip_id string, lat double, lon double",
+    )
+    cuts = [utc("2026-10-01 10:10:00"), utc("2026-10-01 10:30:00")]
+    updates = replay(rows, "ts", vehicle_updates, cuts, ["vehicle_id"], mode="update").persist()
+    shown = [{(r["vehicle_id"], r["lat"]) for r in on_map(updates.where(F.col("commit") <= k), ["batch"]).collect()} for k in range(3)]
+    assert shown == [{("a", 1.0), ("b", 2.0)}, {("b", 3.0), ("d", 4.0)}, {("a", 5.0)}]
+    assert {(r["vehicle_id"], r["commit"]) for r in updates.where("gone").collect()} == {("a", 1), ("b", 2), ("d", 2)}
+
+
+def test_a_stream_starts_from_the_stored_table_and_reads_it_once(spark, tmp_path):
+    """The first row differs little from what is stored; started again, the stream does not touch the table."""
+    stored = polls(spark, [(0, None)])
+    first, second = polls(spark, [(0, None), (10, None), (45, None)], start="2026-10-01 18:05:00"), polls(spark, [(50, None), (90, None)], start="2026-10-01 18:10:00")
+    landing, out = str(tmp_path / "in"), str(tmp_path / "out")
+    gone = stored.withColumn("trip_id", F.when(F.col("stop_sequence") == 1, F.raise_error(F.lit("read again"))))
+    for rows, start in ((first, stored), (second, gone)):
+        rows.coalesce(1).write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(rows.schema).parquet(landing)
+        query = changed_stream(stream, stored=start).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
+        query.trigger(availableNow=True).start().awaitTermination()
+    got = [r["arrival_time"] for r in spark.read.schema(stored.schema).parquet(out).orderBy("observed_at").collect()]
+    assert got == [utc("2026-10-01 19:00:45"), utc("2026-10-01 19:01:30")]
+
+
+@pytest.mark.parametrize("lost", ["_log_polls", "_leave_header", "append"])
+def test_a_batch_that_is_run_again_leaves_everything_once(spark, tmp_path, monkeypatch, lost):
+    """The batch fails after staging, before or after its rows are appended; the stream takes it up again."""
+    landing, store = tmp_path / "land", S.Store(str(tmp_path / "store"))
+    land(landing, "1.json", "vehicle_positions", EPOCH, [bus("b1", EPOCH), bus("b2", EPOCH)], 0)
+    land(landing, "2.json", "vehicle_positions", EPOCH, [bus("b3", EPOCH)], 30)
+    usual, calls = getattr(S, lost), []
+
+    def broken(*a, **k):
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("executor lost")
+        return usual(*a, **k)
+
+    with monkeypatch.context() as m:
+        m.setattr(S, lost, broken)
+        with pytest.raises(Exception, match="executor lost"):
+            ingest(spark, landing, store, "vehicle_positions")
+    ingest(spark, landing, store, "vehicle_positions")
+    assert log_of(spark, store) == [("ok", 2), ("skipped_unchanged", 0)]
+    assert spark.read.parquet(store.table("vehicle_positions")).count() == 2
+    land(landing, "3.json", "vehicle_positions", EPOCH, [bus("b4", EPOCH)], 60)
+    ingest(spark, landing, store, "vehicle_positions")
+    assert log_of(spark, store)[-1] == ("skipped_unchanged", 0)
+
+
+def test_each_batch_is_resolved_against_the_version_loaded_then(spark, tmp_path):
+    from stopclock.sinks import schedule
+    from tests.test_sinks import FILES, folder
+
+    landing, store, static = tmp_path / "land", S.Store(str(tmp_path / "store")), str(tmp_path / "static")
+
+    def run():
+        S.start_feed(spark, str(landing), "trip_updates", store, every=None, schedule=static).awaitTermination()
+
+    def trip(header):
+        stops = [{"stop_id": s, "arrival": {"time": EPOCH + 100 + 100 * i}} for i, s in enumerate("abc")]
+        return {"id": "u", "trip_update": {"timestamp": header, "trip": {"trip_id": "t1", "start_date": "20261001"}, "stop_time_update": stops}}
+
+    land(landing, "1.json", "trip_updates", EPOCH, [trip(EPOCH)], 0)
+    run()
+    schedule.load_schedule(spark, folder(tmp_path), static, "test")
+    land(landing, "2.json", "trip_updates", EPOCH + 30, [trip(EPOCH + 30)], 30)
+    run()
+    renumbered = FILES["stop_times.txt"].replace(",a,1,", ",a,11,").replace(",b,2,", ",b,12,").replace(",c,3,", ",c,13,")
+    schedule.load_schedule(spark, folder(tmp_path, "second", **{"stop_times.txt": renumbered}), static, "test")
+    land(landing, "3.json", "trip_updates", EPOCH + 60, [trip(EPOCH + 60)], 60)
+    run()
+    assert log_of(spark, store) == [("ok", 0), ("ok", 3), ("ok", 3)]
+    rows = spark.read.parquet(store.table("predictions")).orderBy("observed_at", "stop_sequence").collect()
+    assert [r["stop_sequence"] for r in rows] == [1, 2, 3, 11, 12, 13]
 
 
 def test_unchanged_compares_with_the_last_only(spark):

@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 
 from stopclock.llm.sieve import passing, sieve_of
 from stopclock.llm.store import components, most_frequent, one_per_document, ready, small_batches, stored
-from stopclock.llm.words import mixed, slabs, words_of
+from stopclock.llm.words import lean, mixed, slabs, words_of
 
 #: Tokens in this part of the hash range are counted in full; elsewhere only what repeats within a batch.
 COUNTED = 1 << 62
 REPEATS = 3
-BUFFER = 1 << 21
+BUFFER = 1 << 20
+#: Bytes of text whose sets are made at once.
+PART = 1 << 19
 #: A token of as many sets is frequent. The table of frequent tokens holds at most FREQUENT of them, the most
 #: frequent; tokens beyond it are indexed singly, so the bound costs time and no result.
 MANY = 8
@@ -63,7 +65,7 @@ def _nodes(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slabs(batch.column(1)):
+            for a, b in slabs(batch.column(1), PART):
                 row, token, n, node = _sets(batch.column(1).slice(a, b - a), size)
                 bits = np.where(n > 0, _sketch_bits(n), 0)
                 base = np.concatenate([[0], np.cumsum(bits)])
@@ -101,7 +103,7 @@ def _counts(size: int):
         seen: set[int] = set()
         held, many = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            for a, b in slabs(batch.column(0)):
+            for a, b in slabs(batch.column(0), PART):
                 row, token, n, node = _sets(batch.column(0).slice(a, b - a), size)
                 held.append(token[_distinct_nodes(node, n, seen)[row]])
                 many += len(held[-1])
@@ -141,7 +143,7 @@ def _signatures(size: int, percent: int, frequent):
         table = frequent.value
         for batch in batches:
             seen: set[int] = set()
-            for a, b in slabs(batch.column(0)):
+            for a, b in slabs(batch.column(0), PART):
                 row, token, n, node = _sets(batch.column(0).slice(a, b - a), size)
                 wanted = _distinct_nodes(node, n, seen) & (n * (100 - percent) >= percent)
                 take = wanted[row]
@@ -195,7 +197,7 @@ def _token_sets(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slabs(batch.column(1)):
+            for a, b in slabs(batch.column(1), PART):
                 row, token, n, _ = _sets(batch.column(1).slice(a, b - a), size)
                 ends = np.concatenate([[0], np.cumsum(n)]) * 8
                 body = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(token.tobytes())])
@@ -234,15 +236,15 @@ def _links(named: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, perc
     of_a = sketch.select(F.col("node").alias("a"), "n", F.col("sketch").alias("x"))
     of_b = sketch.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
     near = pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "n", "m", "x", "y")
-    near = stored(near.mapInArrow(_plausible(percent), "a long, b long"), f"{name}-plausible")
+    near = stored(near.mapInArrow(lean(_plausible(percent)), "a long, b long"), f"{name}-plausible")
     needed = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sketch.select("node", "doc_id"), "node")
     needed = stored(needed.select("node", "doc_id"), f"{name}-needed")
     sieve = spark.sparkContext.broadcast(sieve_of(needed, "doc_id"))
-    texts = named.mapInArrow(_kept_by(sieve), "doc_id long, text string")
-    sets = stored(texts.join(needed, "doc_id").select("node", "text").mapInArrow(_token_sets(size), "node long, tokens binary"), f"{name}-sets")
+    texts = named.mapInArrow(lean(_kept_by(sieve)), "doc_id long, text string")
+    sets = stored(texts.join(needed, "doc_id").select("node", "text").mapInArrow(lean(_token_sets(size)), "node long, tokens binary"), f"{name}-sets")
     both = near.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(_similar(percent), "a long, b long"), f"{name}-links")
+    return stored(both.mapInArrow(lean(_similar(percent)), "a long, b long"), f"{name}-links")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -266,15 +268,15 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """All that runs in Python is done when this returns."""
     spark = docs.sparkSession
     named = docs.where("doc_id is not null")
-    nodes = stored(docs.select("doc_id", "text").mapInArrow(_nodes(size), "doc_id long, node long, n long, sketch binary"), "nodes")
+    nodes = stored(docs.select("doc_id", "text").mapInArrow(lean(_nodes(size)), "doc_id long, node long, n long, sketch binary"), "nodes")
     real = nodes.where("n > 0 and doc_id is not null")
 
-    counts = named.select("text").mapInArrow(_counts(size), "token long, sets int")
+    counts = named.select("text").mapInArrow(lean(_counts(size)), "token long, sets int")
     common = counts.groupBy("token").agg(F.sum("sets").alias("sets")).where(F.col("sets") >= MANY)
     common = most_frequent(stored(common, "common"), "sets", FREQUENT).select("token").toPandas()["token"]
     frequent = spark.sparkContext.broadcast(np.sort(common.to_numpy(np.int64).view(np.uint64)))
 
-    found = named.select("text").mapInArrow(_signatures(size, percent, frequent), "sig long, node long, n int, pos int")
+    found = named.select("text").mapInArrow(lean(_signatures(size, percent, frequent)), "sig long, node long, n int, pos int")
     per = Window.partitionBy("sig")
     shared = found.repartition("sig").withColumns(
         {"low": F.min("node").over(per), "high": F.max("node").over(per), "lead": F.min(F.struct("pos", "node", "n")).over(per)}

@@ -4,7 +4,9 @@ The functions run inside tasks, on slabs of a batch: byte-wide temporaries are h
 so memory follows the longest single document and not the number of documents.
 """
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -115,6 +117,22 @@ def slabs(texts: pa.Array, limit: int = SLAB) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run`, giving the memory it no longer needs back to the machine when its task ends: a worker goes on to other
+    tasks and would keep what the largest one took."""
+
+    def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library than glibc
+            return
+
+    return leaner
+
+
 def words_of(texts: pa.Array, separators: np.ndarray = SPACE, lower: bool = False) -> Words:
     """Words of the rows of a text column, split at the separator bytes."""
     data, offsets = _flat(texts)

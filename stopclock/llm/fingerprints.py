@@ -55,6 +55,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
     order = stored(order, "order")
     per = Window.partitionBy("group").orderBy("doc_id")
     texts = docs.select(F.shiftright("doc_id", GROUP_BITS).alias("group"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.where(F.col("group").isNotNull())  # said here, the texts are shuffled once for both uses below
     texts = texts.repartition(SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group")
     texts = texts.withColumns({"next_text": F.lead("text").over(per), "place": F.row_number().over(per)})
     opening = texts.where("place = 1").select("group", F.col("text").alias("opening"))

@@ -235,11 +235,12 @@ def brute_trees(rows, routes, settings, rounds, edges):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_boosting_equals_loops_over_rows(spark, seed):
-    """The searched model against a fit from nothing with as many rounds, on few and on many partitions."""
+def test_boosting_equals_loops_over_rows(spark, monkeypatch, seed):
+    """The searched model against a fit from nothing with as many rounds, in one task and in many."""
     rows = boosting_rows(260, seed)
     settings = M.TreeSettings(rounds=12, step=0.3, depth=2, min_rows=9, patience=4)
     one, rounds = M.fit_trees(boosting_frame(spark, rows, 1), 4, settings)
+    monkeypatch.setattr(B, "TASK_ROWS", 50)
     many, again = M.fit_trees(boosting_frame(spark, rows, 7), 4, settings)
     usable = [r for r in rows if r[6] is not None and r[6] == r[6]]
     order = [FEATURES[0], *[n for n in FEATURES if n not in (FEATURES[0], "route_index")]]

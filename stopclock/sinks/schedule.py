@@ -44,7 +44,7 @@ def content_version(spark: SparkSession, folder: str) -> str:
     Two folders with the same lines in each file get the same id whatever the line order.
     """
     lines = spark.read.text(_files(spark, folder)).select(
-        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"),
+        F.regexp_extract(F.input_file_name(), r"([^/]+\.txt)(/[^/]*)?$", 1).alias("name"),  # a file, or a folder of its parts
         F.xxhash64("value").cast("decimal(38,0)").alias("a"),
         F.xxhash64(F.concat(F.lit("\0"), "value")).cast("decimal(38,0)").alias("b"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from stopclock.operators.changes import KEY
 from stopclock.session import shared_folder
+from stopclock.sources.files import stored
 from stopclock.streaming.changes import changed_stream
 
 
@@ -47,7 +48,7 @@ def replay(
         query = made.writeStream.option("checkpointLocation", f"{root}/checkpoint").outputMode(mode).foreachBatch(put).trigger(availableNow=True).start()
         query.awaitTermination()
     tagged = T.StructType([*schema.fields, T.StructField("commit", T.IntegerType()), T.StructField("batch", T.LongType())])
-    return spark.read.schema(tagged).parquet(kept)
+    return stored(spark, kept, tagged)
 
 
 def replay_changes(observed: DataFrame, slices: int = 3, fallback: str = "/tmp") -> DataFrame:

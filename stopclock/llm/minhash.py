@@ -6,8 +6,10 @@ that a link of just the wanted similarity misses all of them with probability `M
 signatures, allowing an error of the same probability, and then confirmed on the full sets.
 
 Within a bucket each node meets the bucket's hub, the node with most copies. Only what that leaves in different
-components is looked at further: in buckets of at most `FEW` members pair by pair, in larger ones through an index of the
-rarest tokens of each set, which holds at least one common token of any two sets that are similar enough.
+components is looked at further: in buckets of at most `FEW` members pair by pair, in larger ones by how the sets differ
+from the hub's. Two sets that are similar enough, one of them not similar to the hub, must differ from the hub by many of
+the same tokens; so each node lists the first of its differing tokens, as many as are sure to hold a common one, and meets
+those that list it too. In a large group of loose copies these are few, as each has its own changes.
 """
 
 import math
@@ -19,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stopclock.llm.sieve import passing, sieve_of
-from stopclock.llm.store import components, most_frequent, one_per_document, ready, small_batches, stored
-from stopclock.llm.words import mixed, slabs, words_of
+from stopclock.llm.store import components, one_per_document, ready, small_batches, stored
+from stopclock.llm.words import lean, mixed, slabs, words_of
 
 MISSED = 1e-9
 ROWS = 5
-FEW = 256
-#: The index of rare tokens knows the counts of at most so many tokens, the most frequent; all others come first.
-KNOWN = 1 << 18
+FEW = 8
+#: Bytes of text whose sets are made at once.
+PART = 1 << 19
 #: A key is dealt over several tasks if it has more than this part of the rows and as many rows.
 HOT_PART, HOT_ROWS = 1000, 2000
 
@@ -83,7 +85,7 @@ def _signed(size: int, count: int):
         a, b = _family(count)
         for batch in batches:
             seen: set[tuple[int, int]] = set()
-            for at, to in slabs(batch.column(1)):
+            for at, to in slabs(batch.column(1), PART):
                 row, token, n = _shingles(batch.column(1).slice(at, to - at), size)
                 filled = np.flatnonzero(n)
                 h1, h2 = np.zeros(to - at, np.uint64), np.zeros(to - at, np.uint64)
@@ -182,7 +184,7 @@ def _token_sets(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in slabs(batch.column(1)):
+            for at, to in slabs(batch.column(1), PART):
                 _, token, n = _shingles(batch.column(1).slice(at, to - at), size)
                 ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int64) * 8
                 body = pa.Array.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(ends), pa.py_buffer(token.tobytes())])
@@ -206,33 +208,52 @@ def _similar(percent: int):
     return run
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tokens) to tokens and in how many sets of the batch they are."""
-    for batch in batches:
-        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0)]
-        token, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], ["token", "sets"])
+def _differing(percent: int):
+    """(hub, node, tokens, tokens of the hub) to the node's first differing tokens as sigs of the hub.
 
-
-def _rarest(percent: int, known):
-    """(node, tokens) to the tokens of each set's prefix, rare ones first."""
+    d tokens differ between a node and the hub, and two nodes are similar if they differ by at most c of their sizes, c =
+    (100 - percent) / (100 + percent). That they do takes (d + d' - c (n + n')) / 2 common differing tokens at least. A far
+    node, not similar to the hub, has d over c (n + hub). So between far nodes, and for a near node towards far ones, at
+    least (d + c (hub - n)) / 2 are common; for a far node towards near ones at least d - c (n + n'), the near one having no
+    fewer than that, and n' is at most n * 100 / percent. Of any two near nodes the components are one. Tokens the hub
+    lacks come first in each list, as these are seldom shared, then the hub's; in each part by their hash. The places in
+    the lists bound what two nodes can still have in common after their first common token.
+    """
+    less, whole = 100 - percent, 100 + percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sets = known.value
         for batch in batches:
-            for node, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(x.as_buffer(), np.uint64)
-                count = np.zeros(len(x), np.int64)
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
-                    count = np.where(tokens[at] == x, sets[at], 0)
-                need = len(x) - -(-percent * len(x) // 100) + 1
-                prefix = x[np.lexsort((x, count))[:need]]
-                yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(np.full(len(prefix), node, np.int64))], ["sig", "node"])
+            out: list[tuple[np.ndarray, int, int, int]] = []
+            for hub, node, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                own, lost = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                token = np.concatenate([np.sort(own), np.sort(lost)])
+                d, n, m = len(token), len(x), len(y)
+                far = whole * d > less * (n + m)
+                common = max(1, -(-(whole * d + less * (m - n)) // (2 * whole)))
+                towards_near = max(1, -(-(whole * percent * d - less * n * whole) // (whole * percent)))
+                parts = [(0, common), (1, towards_near)] if far else [(2, common)]
+                for side, least in parts:
+                    with np.errstate(over="ignore"):
+                        about = np.uint64(hub & (2**64 - 1)) * np.uint64(2) + np.uint64(side > 0)
+                        out.append((mixed(token[: d - least + 1] + mixed(np.array([about]))[0]), node, side, d))
+                if sum(len(o[0]) for o in out[-64:]) > 1 << 16 or len(out) > 1 << 10:
+                    yield _listed(out)
+                    out = []
+            yield _listed(out)
 
     return run
 
 
+def _listed(out: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
+    count = np.array([len(o[0]) for o in out], np.int64)
+    sig = np.concatenate([np.zeros(0, np.uint64), *[o[0] for o in out]])
+    place = np.arange(len(sig)) - np.repeat(np.cumsum(count) - count, count)
+    each = [np.repeat(np.array([o[k] for o in out], np.int64), count) for k in (1, 2, 3)]
+    columns = [sig.view(np.int64), *each, place.astype(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "node", "side", "d", "place"])
+
+
 def _kept_by(sieve):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,8 +297,8 @@ class _Corpus:
         """node, tokens of the wanted nodes."""
         wanted = stored(wanted, f"{name}-wanted")
         sieve = wanted.sparkSession.sparkContext.broadcast(sieve_of(wanted, "node"))
-        texts = self.named.mapInArrow(_kept_by(sieve), "doc_id long, text string").withColumnRenamed("doc_id", "node")
-        return stored(texts.join(wanted, "node").select("node", "text").mapInArrow(_token_sets(self.size), "node long, tokens binary"), f"{name}-sets")
+        texts = self.named.mapInArrow(lean(_kept_by(sieve)), "doc_id long, text string").withColumnRenamed("doc_id", "node")
+        return stored(texts.join(wanted, "node").select("node", "text").mapInArrow(lean(_token_sets(self.size)), "node long, tokens binary"), f"{name}-sets")
 
     def _beside(self, pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
         """a, b and the value of both; b may be in very many pairs."""
@@ -289,10 +310,10 @@ class _Corpus:
         """a, b: the pairs that are links, by signatures and then by the sets themselves."""
         pairs = stored(pairs, f"{name}-pairs")
         count = self.bands * ROWS
-        alike = self._beside(pairs, self.nodes, "minima").mapInArrow(_alike(count, _tail(count, self.percent / 100)), "a long, b long")
+        alike = self._beside(pairs, self.nodes, "minima").mapInArrow(lean(_alike(count, _tail(count, self.percent / 100))), "a long, b long")
         alike = stored(alike, f"{name}-alike")
         sets = self.sets_of(alike.select(F.explode(F.array("a", "b")).alias("node")).distinct(), name)
-        return stored(self._beside(alike, sets, "tokens").mapInArrow(_similar(self.percent), "a long, b long"), f"{name}-links")
+        return stored(self._beside(alike, sets, "tokens").mapInArrow(lean(_similar(self.percent)), "a long, b long"), f"{name}-links")
 
     def close(self, n: str, m: str, x: str, y: str):
         """Whether set sizes and signature bits allow the similarity."""
@@ -301,11 +322,18 @@ class _Corpus:
         bits = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(-(-count // 64)))
         return F.expr(f"100 * least({n}, {m}) >= {self.percent} * greatest({n}, {m}) and {bits} <= {differ}")
 
+    def enough(self):
+        """Whether as many differing tokens can be common as the similarity takes; rows of no list have no d."""
+        less, whole = 100 - self.percent, 100 + self.percent
+        return F.expr(f"d is null or {2 * whole} * (1 + least(d - place - 1, d_ - place_ - 1)) >= {whole} * (d + d_) - {less} * (n + n_)")
+
     def across(self, rows: DataFrame) -> DataFrame:
-        """a, b: pairs of nodes of one sig that lie in different components; rows of one component never meet."""
+        """a, b: pairs of nodes of one sig that lie in different components; rows of one component never meet, nor do
+        rows of one side unless that is 0."""
         rows = stored(even_join(rows, _undecided(rows), ["sig"], "node", count="n_rows"), "across")
-        apart = rows.where("component <> low").select("sig", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "bits", "component")])
-        met = rows.drop("n_rows").join(apart, "sig").where("component <> component_ and (component = low or node < node_)").where(self.close("n", "n_", "bits", "bits_"))
+        apart = rows.where("component <> low").select("sig", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "bits", "component", "side", "d", "place")])
+        met = rows.drop("n_rows").join(apart, "sig").where("component <> component_ and (component = low or node < node_)")
+        met = met.where("side = 0 or side <> side_").where(self.enough()).where(self.close("n", "n_", "bits", "bits_"))
         return met.select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b")).distinct()
 
 
@@ -330,7 +358,7 @@ def minhash_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
 def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """All that runs in Python is done when this returns."""
     bands = bands_for(percent)
-    signed = docs.select("doc_id", "text").mapInArrow(_signed(size, bands * ROWS), "doc_id long, n int, h1 long, h2 long, minima binary")
+    signed = docs.select("doc_id", "text").mapInArrow(lean(_signed(size, bands * ROWS)), "doc_id long, n int, h1 long, h2 long, minima binary")
     signed = stored(signed, "signed")
     filled = signed.where("n > 0 and doc_id is not null")
     group = filled.groupBy("h1", "h2", "n").agg(
@@ -341,7 +369,7 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     named = docs.where("doc_id is not null").select("doc_id", "text")
     corpus = _Corpus(named, nodes, size, percent)
 
-    banded = nodes.select("node", "n", "copies", "minima").mapInArrow(_banded(bands), "sig long, node long, n int, copies long")
+    banded = nodes.select("node", "n", "copies", "minima").mapInArrow(lean(_banded(bands)), "sig long, node long, n int, copies long")
     hub = F.min(F.struct((-F.col("copies")).alias("less"), "node", "n"))
     buckets = banded.groupBy("sig").agg(hub.alias("hub"), F.count("*").alias("members")).where("members > 1")
     buckets = stored(buckets.select("sig", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), "members"), "buckets")
@@ -351,21 +379,23 @@ def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
     links = corpus.confirmed(star.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "star")
     of = stored(components(links, "a", "b"), "of")
 
-    label = shared.join(of, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"), "members")
-    label = stored(label, "label")
+    label = shared.join(of, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("component"), "members", "hub")
+    label = stored(label.where("members > 2 and node <> hub"), "label")  # all have met the hub
     undecided = stored(even_join(label, _undecided(label).drop("low"), ["sig"], "node", count="n_rows").drop("n_rows"), "undecided")
-    bits = nodes.join(undecided.select("node").distinct(), "node").select("node", "minima").mapInArrow(_bits(bands), "node long, bits array<long>")
+    bits = nodes.join(undecided.select("node").distinct(), "node").select("node", "minima").mapInArrow(lean(_bits(bands)), "node long, bits array<long>")
     bits = stored(bits, "bits")
-    columns = ["sig", "node", "n", "component", "bits"]
-    pairs = corpus.across(undecided.where(F.col("members") <= FEW).join(bits, "node").select(columns))
-    crowd = stored(undecided.where(F.col("members") > FEW).select("node", "n", "component").distinct(), "crowd")
+    columns = ["sig", "node", "n", "component", "bits", "side", "d", "place"]
+    nothing = F.lit(None).cast("long")
+    few = undecided.where(F.col("members") <= FEW).join(bits, "node").withColumns({"side": F.lit(0).cast("long"), "d": nothing, "place": nothing})
+    pairs = corpus.across(few.select(columns))
+    crowd = stored(undecided.where(F.col("members") > FEW).select("hub", "node", "n", "component").distinct(), "crowd")
     if not crowd.isEmpty():
-        sets = corpus.sets_of(crowd.select("node"), "crowd")
-        counts = sets.select("tokens").mapInArrow(_counted, "token long, sets long").groupBy("token").agg(F.sum("sets").alias("sets")).where("sets > 1")
-        known = most_frequent(stored(counts, "counts"), "sets", KNOWN).toPandas().sort_values("token", key=lambda x: x.to_numpy().view(np.uint64))
-        known = docs.sparkSession.sparkContext.broadcast((known["token"].to_numpy(np.int64).view(np.uint64), known["sets"].to_numpy(np.int64)))
-        prefix = sets.mapInArrow(_rarest(percent, known), "sig long, node long")
-        pairs = pairs.unionByName(corpus.across(prefix.join(crowd, "node").join(bits, "node").select(columns))).distinct()
+        sets = corpus.sets_of(crowd.select(F.explode(F.array("hub", "node")).alias("node")).distinct(), "crowd")
+        of_hub = sets.select(F.col("node").alias("hub"), F.col("tokens").alias("y"))
+        both = even_join(crowd.select("hub", "node"), of_hub, ["hub"], "node").join(sets, "node").select("hub", "node", "tokens", "y")
+        listed = both.mapInArrow(lean(_differing(percent)), "sig long, node long, side long, d long, place long")
+        told = crowd.select("node", "n", "component").distinct().join(bits, "node")
+        pairs = pairs.unionByName(corpus.across(listed.join(told, "node").select(columns))).distinct()
     links = links.unionByName(corpus.confirmed(pairs, "rest"))
 
     final = components(links, "a", "b")

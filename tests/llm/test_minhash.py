@@ -30,9 +30,9 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,size,percent,few", [(1, 5, 85, 256), (2, 4, 80, 256), (3, 5, 85, 2)])
+@pytest.mark.parametrize("seed,size,percent,few", [(1, 5, 85, 256), (2, 4, 80, 2), (3, 5, 85, 2)])
 def test_equals_brute_force(spark, monkeypatch, seed, size, percent, few):
-    """With `few` at 2 nearly all buckets go through the index of rare tokens."""
+    """With `few` at 2 all buckets left are looked at through the differing tokens."""
     monkeypatch.setattr(minhash, "FEW", few)
     rows = corpus(seed)
     df = spark.createDataFrame([(d, t, 1, 2, "h") for d, t in rows], "doc_id long, text string, n int, node int, h1 string").repartition(5)
@@ -43,6 +43,42 @@ def test_equals_brute_force(spark, monkeypatch, seed, size, percent, few):
     assert len({c for _, c in want.values()}) < len(rows) - 60
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_similar_sets_list_a_common_difference(percent):
+    """Of any two similar sets, not both similar to the hub, the lists share a sig on fitting sides."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(percent)
+    met = near = 0
+    for _ in range(60):
+        base = rng.sample(range(1, 10**9), rng.choice([7, 20, 60]))
+        hub = set(rng.sample(base, rng.randint(len(base) // 2, len(base)))) | set(rng.sample(range(10**9, 2 * 10**9), rng.randint(0, 12)))
+        sets = []
+        for _ in range(24):
+            loss = rng.choice([0, 1, 1, 2, 4, 9])
+            sets.append(set(rng.sample(base, max(3, len(base) - loss))) | set(rng.sample(range(2 * 10**9, 2 * 10**9 + 40), rng.choice([0, 0, 1, 2, 5]))))
+        sets = [s for s in {frozenset(s) for s in sets} if s != hub]
+        body = lambda s: np.array(sorted(s), np.uint64).tobytes()
+        rows = [pa.array([5] * len(sets)), pa.array(range(len(sets))), pa.array([body(s) for s in sets], pa.binary()), pa.array([body(hub)] * len(sets), pa.binary())]
+        out = next(minhash._differing(percent)(iter([pa.RecordBatch.from_arrays(rows, ["hub", "node", "x", "y"])]))).to_pylist()
+        listed = {}
+        for r in out:
+            listed.setdefault(r["node"], set()).add((r["sig"], r["side"], r["d"], r["place"]))
+        like = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if like(a, b) and not (like(a, hub) and like(b, hub)):
+                    near += 1
+                    take = (200 + 2 * percent, 100 + percent, 100 - percent)
+                    met += any(
+                        s == t and (x == 0 or x != y) and take[0] * (1 + min(d - p - 1, e - q - 1)) >= take[1] * (d + e) - take[2] * (len(a) + len(b))
+                        for s, x, d, p in listed[i]
+                        for t, y, e, q in listed[j]
+                    )
+    assert met == near > 100
+
+
 def test_bands_bound_the_misses():
     for percent in (50, 80, 85, 99):
         assert (1 - (percent / 100) ** minhash.ROWS) ** bands_for(percent) <= minhash.MISSED

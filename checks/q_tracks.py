@@ -215,7 +215,7 @@ from arr where method is not null
     "run_stops",
 )
 def _(v):
-    found, _ = A.infer_arrivals(v.positions, v.run_trips, v.shapes, v.run_stops)
+    found, _ = A.infer_arrivals(v.positions, v.run_trips, v.shapes, v.shape_stops)
     return found.withColumn("arrived_ms", F.round(F.unix_micros("arrived_at") / 1000).cast("bigint")).drop("arrived_at").withColumns(
         {"nearest_ping_m": F.round("nearest_ping_m", 3), "stop_offset_m": F.round("stop_offset_m", 3)}
     )
@@ -253,7 +253,7 @@ from status
     "run_stops",
 )
 def _(v):
-    return A.infer_arrivals(v.positions, v.run_trips, v.shapes, v.run_stops)[1]
+    return A.infer_arrivals(v.positions, v.run_trips, v.shapes, v.shape_stops)[1]
 
 
 @query(
@@ -269,4 +269,4 @@ from status group by status
 def _(v):
     from stopclock.plans.reports import inference_outcomes
 
-    return inference_outcomes(A.infer_arrivals(v.positions, v.run_trips, v.shapes, v.run_stops)[1])
+    return inference_outcomes(A.infer_arrivals(v.positions, v.run_trips, v.shapes, v.shape_stops)[1])

@@ -9,6 +9,8 @@ from stopclock.operators.tracks import RUN, build_track, primary_vehicles
 from stopclock.session import written
 
 SHAPE = ("feed_version", "shape_id")
+#: Length of the stretches by which stops and runs meet, and the number told apart on either side of a route's begin.
+STRETCH_M, STRETCHES = 4000.0, 1 << 14
 
 
 def find_arrivals(
@@ -137,7 +139,8 @@ def infer_arrivals(
     """(arrivals, outcome log) of every trip run, one vehicle each.
 
     The schedule frames hold one version, or several with `version` choosing; a trip that is in several versions without
-    one being chosen is an error. Every run gets a log row, also those without pings, shape, stops or arrivals. Runs, their
+    one being chosen is an error. `stop_times` states stops by trip_id, or by shape_id where all trips of a shape make the
+    same stops: then they are read once for a shape and not once for each of its trips. Every run gets a log row, also those without pings, shape, stops or arrivals. Runs, their
     valid pings and the track are written once, to the session's shared folder; arrivals and log both read them.
     """
     if version is not None:
@@ -159,15 +162,40 @@ def infer_arrivals(
         F.col("shape_dist_traveled_m").alias("offset_m"),
     )
     stops = stop_times.where(F.col("shape_dist_traveled_m").isNotNull()).select(
-        "feed_version", "trip_id", "stop_sequence", "stop_id", F.col("shape_dist_traveled_m").alias("offset_m")
+        *_stops_key(stop_times), "stop_sequence", "stop_id", F.col("shape_dist_traveled_m").alias("offset_m")
     )
     track = written(build_track(valid.where(F.col("shape_id").isNotNull()), points, on=SHAPE), "track")
-    run_stops = running.select(*RUN, "feed_version").join(stops, ["feed_version", "trip_id"])
-    found = find_arrivals(track.where("on_route"), run_stops)
+    passed = track.where("on_route")
+    found = find_arrivals(passed, stops_in_reach(passed, running, stops))
     arrivals = found.join(running.select(*RUN, "feed_version"), RUN)
     return arrivals, _outcomes(running, valid, points, stops, track, arrivals)
 
 
+def _stops_key(stops: DataFrame) -> list[str]:
+    return ["feed_version", "trip_id" if "trip_id" in stops.columns else "shape_id"]
+
+
+def stops_in_reach(track: DataFrame, running: DataFrame, stops: DataFrame, dwell_radius_m: float = DWELL_RADIUS_M) -> DataFrame:
+    """RUN, stop_sequence, stop_id, offset_m of the stops a run's track comes within the dwell radius of or passes. No other
+    stop can have an arrival, so what is merged into tracks grows with arrivals and not with trips times stops. Stops meet
+    runs by the stretch of the route they lie in; those beyond the last stretch share it."""
+    key = _stops_key(stops)
+    radius = F.lit(float(dwell_radius_m))
+
+    def stretch(at: Column) -> Column:
+        return F.floor(F.greatest(F.least(at / STRETCH_M, F.lit(float(STRETCHES))), F.lit(-float(STRETCHES))))
+
+    extent = track.groupBy(*RUN).agg((F.min("offset_m") - radius).alias("_low"), (F.max("offset_m") + radius).alias("_high"))
+    runs = (
+        running.select(*dict.fromkeys([*RUN, *key]))
+        .join(extent, RUN)
+        .withColumn("_stretch", F.explode(F.sequence(stretch(F.col("_low")), stretch(F.col("_high")))))
+    )
+    placed = stops.withColumn("_stretch", stretch(F.col("offset_m").cast("double")))
+    near = runs.join(placed, [*key, "_stretch"]).where(F.col("offset_m").between(F.col("_low"), F.col("_high")))
+    return near.select(*RUN, "stop_sequence", "stop_id", "offset_m")
+
+
 def _one_version(trips: DataFrame) -> DataFrame:
     """trip_id with its version and shape; a trip of several versions stops the job."""
     one = trips.groupBy("trip_id").agg(
@@ -200,7 +228,7 @@ def _outcomes(running, valid, points, stops, track, arrivals) -> DataFrame:
         running.select(*RUN, "skipped_vehicles", *SHAPE)
         .join(per_run, RUN, "left")
         .join(points.groupBy(*SHAPE).agg(count.alias("_points")), list(SHAPE), "left")
-        .join(stops.groupBy("feed_version", "trip_id").agg(count.alias("stops_total")), ["feed_version", "trip_id"], "left")
+        .join(stops.groupBy(*_stops_key(stops)).agg(count.alias("stops_total")), _stops_key(stops), "left")
         .fillna(0)
     )
     status = (

@@ -128,8 +128,11 @@ class _Shape:
     #: Pairs of a point and a segment looked at in one step.
     STEP = 1 << 20
 
-    def __init__(self, lat: np.ndarray, lon: np.ndarray, offset: np.ndarray) -> None:
+    def __init__(self, lat: np.ndarray, lon: np.ndarray, offset: np.ndarray, limit: float | None = None) -> None:
+        """With a `limit`, a point that no window limits meets only the segments whose latitudes come as near as that;
+        without any it is placed at an infinite distance."""
         self.offset = offset
+        self.bands = self._bands(lat, limit) if limit is not None and np.isfinite(lat).all() and np.isfinite(lon).all() else None
         mid = (lat[:-1] + lat[1:]) / 2
         self.scale = EARTH_RADIUS_M * np.cos(np.radians(mid))
         self.ax = np.radians(lon[:-1]) * self.scale
@@ -139,27 +142,66 @@ class _Shape:
         self.square = self.dx**2 + self.dy**2
         self.step = np.diff(offset)
 
+    @staticmethod
+    def _bands(lat: np.ndarray, limit: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+        """(lowest latitude, height, begins, segments): the segments that lie within the limit of each band of latitude, in
+        order. Bands are as high as a segment is on average, so a segment is in a few of them."""
+        reach = float(np.degrees(limit / EARTH_RADIUS_M)) * 1.01 + 1e-9
+        least, most = np.minimum(lat[:-1], lat[1:]) - reach, np.maximum(lat[:-1], lat[1:]) + reach
+        lowest, height = float(least.min()), float(np.mean(most - least))
+        first = np.floor((least - lowest) / height).astype(np.int64)
+        count = np.floor((most - lowest) / height).astype(np.int64) - first + 1
+        segment = np.repeat(np.arange(len(first)), count)
+        band = first[segment] + np.arange(len(segment)) - (np.cumsum(count) - count)[segment]
+        order = np.argsort(band, kind="stable")
+        begins = np.searchsorted(band[order], np.arange(int(band.max()) + 2))
+        return lowest, height, begins, segment[order]
+
     def place(self, lat: np.ndarray, lon: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(offset, distance) of each point on the nearest segment overlapping [low, high]; the first on a tie. A limit
         that is NaN does not limit; where no segment is left the distance is infinite."""
+        free = np.isnan(low) & np.isnan(high) if self.bands is not None else np.zeros(len(lat), bool)
+        raw, away = np.zeros(len(lat)), np.full(len(lat), np.inf)
+        if free.any():
+            raw[free], away[free] = self._place_free(lat[free], lon[free])
+        if not free.all():
+            raw[~free], away[~free] = self._place_within(lat[~free], lon[~free], low[~free], high[~free])
+        return raw, away
+
+    def _place_free(self, lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lowest, height, begins, listed = self.bands
+        bands = len(begins) - 1
+        place = np.floor((lat - lowest) / height)
+        inside = (place >= 0) & (place < bands)  # NaN is not
+        band = np.where(inside, place, 0).astype(np.int64)
+        return self._in_steps(lat, lon, begins[band], np.where(inside, begins[band + 1] - begins[band], 0), listed)
+
+    def _place_within(self, lat: np.ndarray, lon: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         segments = len(self.step)
         first = np.where(np.isnan(low), 0, np.maximum(np.searchsorted(self.offset, low, "left") - 1, 0))
         last = np.where(np.isnan(high), segments, np.minimum(np.searchsorted(self.offset, high, "right") + 1, segments))
-        count = np.maximum(last - first, 0)
+        return self._in_steps(lat, lon, first, np.maximum(last - first, 0), None)
+
+    def _in_steps(
+        self, lat: np.ndarray, lon: np.ndarray, first: np.ndarray, count: np.ndarray, listed: np.ndarray | None
+    ) -> tuple[np.ndarray, np.ndarray]:
         raw, away = np.zeros(len(lat)), np.full(len(lat), np.inf)
         upto = np.cumsum(count)
         at = 0
         while at < len(lat):
             to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + self.STEP, "right")))
             some = np.flatnonzero(count[at:to]) + at
-            raw[some], away[some] = self._nearest(lat[some], lon[some], first[some], count[some])
+            raw[some], away[some] = self._nearest(lat[some], lon[some], first[some], count[some], listed)
             at = to
         return raw, away
 
-    def _nearest(self, lat: np.ndarray, lon: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _nearest(
+        self, lat: np.ndarray, lon: np.ndarray, first: np.ndarray, count: np.ndarray, listed: np.ndarray | None
+    ) -> tuple[np.ndarray, np.ndarray]:
         point = np.repeat(np.arange(len(lat)), count)
         begin = np.cumsum(count) - count
         at = first[point] + np.arange(len(point)) - begin[point]
+        at = at if listed is None else listed[at]
         px = np.radians(lon)[point] * self.scale[at] - self.ax[at]
         py = (np.radians(lat) * EARTH_RADIUS_M)[point] - self.ay[at]
         dx, dy, square = self.dx[at], self.dy[at], self.square[at]
@@ -194,7 +236,7 @@ def _fold(limit: float, backtrack: float, speed: float):
         order = np.lexsort((number["ts_us"], run))
         run, ts, lat, lon = run[order], *(number[c][order] for c in ("ts_us", "lat", "lon"))
         along = np.argsort(points.column("shape_pt_sequence").to_numpy(), kind="stable")
-        shape = _Shape(*(points.column(c).to_numpy().astype(float)[along] for c in ("lat", "lon", "offset_m"))) if len(run) else None
+        shape = _Shape(*(points.column(c).to_numpy().astype(float)[along] for c in ("lat", "lon", "offset_m")), limit) if len(run) else None
         starts = np.flatnonzero(np.diff(run, prepend=-1))
         length = np.diff(np.append(starts, len(run)))
         before_ts, before_m, count = np.zeros(len(starts)), np.full(len(starts), np.nan), np.zeros(len(starts), np.int32)
@@ -220,10 +262,12 @@ def _fold(limit: float, backtrack: float, speed: float):
 
 
 def fold_inputs(pings: DataFrame, shapes: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Pings and shape points, both by shape and salt: runs of one shape are dealt over salts, so many that a group has some
-    GROUP_PINGS pings, and a shape's points are sent once for each salt that has runs."""
-    salts = max(1, -(-pings.count() // GROUP_PINGS))
-    dealt = pings.withColumn("salt_", F.pmod(F.xxhash64(*RUN), F.lit(salts)).cast("int"))
+    """Pings and shape points, both by shape and salt: runs of a shape are dealt over salts, so many that a group has some
+    GROUP_PINGS pings, and a shape's points are sent once for each salt that has runs. A shape's salts are counted from its
+    own pings, so the points sent grow with the pings and not with pings times shapes. Pings without a shape stay out."""
+    share = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / GROUP_PINGS))
+    salts = pings.groupBy(*on).agg(share.alias("salts_"))
+    dealt = pings.join(salts, on).withColumn("salt_", F.pmod(F.xxhash64(*RUN), F.col("salts_")).cast("int")).drop("salts_")
     points = shapes.select(*on, "shape_pt_sequence", "lat", "lon", "offset_m")
     used = dealt.select(*[F.col(c).alias(f"{c}_") for c in on], F.col("salt_").alias("salt")).distinct()
     same = reduce(and_, [points[c] == used[f"{c}_"] for c in on])

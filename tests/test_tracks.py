@@ -190,6 +190,66 @@ def test_whole_inference_logs_every_run(spark):
     assert (totals["trips"], totals["arrivals"], totals["secondary_vehicles_skipped"], totals["status_ok"]) == (4, 2, 1, 1)
 
 
+def test_stops_out_of_reach_are_not_merged_and_a_shape_may_state_them(spark):
+    """Stops by shape give what stops by trip give, and a track meets only those it passes: 3 of 4000."""
+    spots = pings(spark, [(0, 0, 0), (60, 600, 0), (120, 1200, 0)])
+    positions = spots.unionByName(spots.withColumn("trip_id", F.lit("w")))
+    trips, shapes, _ = schedule(spark)
+    of_shape = spark.range(4000).select(
+        F.lit("v1").alias("feed_version"), F.lit("sh").alias("shape_id"), F.col("id").cast("int").alias("stop_sequence"),
+        F.concat(F.lit("s"), "id").alias("stop_id"), ((F.col("id") - 2000) * 500.0).alias("shape_dist_traveled_m"),
+    )
+    of_trip = trips.select("trip_id", "shape_id").join(of_shape, "shape_id").drop("shape_id")
+    results = []
+    for stops in (of_shape, of_trip):
+        found, log = A.infer_arrivals(positions, trips, shapes, stops, version="v1")
+        results.append((sorted(map(str, found.collect())), sorted(map(str, log.collect()))))
+        assert {(r["stops_total"], r["arrivals_written"]) for r in log.collect()} == {(4000, 3)}
+        lengths = found.select(*T.RUN).distinct().withColumn("offset_m", F.explode(F.array(F.lit(0.0), F.lit(1200.0))))
+        running = found.select(*T.RUN, F.lit("v1").alias("feed_version"), F.lit("sh").alias("shape_id")).distinct()
+        near = A.stops_in_reach(lengths, running, stops.withColumnRenamed("shape_dist_traveled_m", "offset_m"))
+        assert {tuple(r) for r in near.groupBy("trip_id").count().collect()} == {("t", 3), ("w", 3)}
+    assert results[0] == results[1]
+    far = of_shape.select("feed_version", "shape_id", "stop_sequence", "stop_id", F.lit(9e9).alias("offset_m")).limit(1)
+    beyond = lengths.withColumn("offset_m", F.lit(9e9))
+    assert A.stops_in_reach(beyond, running, far).count() == 2
+
+
+def test_a_ping_without_a_window_meets_the_segments_near_its_latitude(monkeypatch):
+    """The same places as among all segments, from a small share of the pairs."""
+    rng = np.random.default_rng(5)
+    lat = np.cumsum(rng.uniform(-100, 300, 3000)) / PER_LAT + LAT0
+    lon, offset = rng.uniform(-80, 80, 3000) / PER_LON + LON0, np.arange(3000) * 300.0
+    at = rng.integers(0, 3000, 400)
+    spot = lat[at] + rng.uniform(-250, 250, 400) / PER_LAT, lon[at] + rng.uniform(-250, 250, 400) / PER_LON
+    pairs, nearest = [], T._Shape._nearest
+
+    def counted(self, lat, lon, first, count, listed):
+        pairs.append(int(count.sum()))
+        return nearest(self, lat, lon, first, count, listed)
+
+    monkeypatch.setattr(T._Shape, "_nearest", counted)
+    none = np.full(400, np.nan)
+    raw, away = T._Shape(lat, lon, offset, 150.0).place(*spot, none, none)
+    some, pairs[:] = sum(pairs), []
+    whole, far = T._Shape(lat, lon, offset).place(*spot, none, none)
+    near = far <= 150.0
+    assert 100 < near.sum() < 400 and (near == (away <= 150.0)).all()
+    assert (raw[near] == whole[near]).all() and (away[near] == far[near]).all()
+    assert some * 50 < sum(pairs)
+
+
+def test_points_are_sent_for_the_pings_of_their_shape_only(spark, monkeypatch):
+    """Forty shapes of 20 pings each are one group each, however many pings there are together."""
+    monkeypatch.setattr(T, "GROUP_PINGS", 20)
+    ping = spark.range(800).select(
+        F.lit(DAY).alias("start_date"), F.concat(F.lit("t"), F.col("id")).alias("trip_id"), F.lit("bus").alias("vehicle_id"), (F.col("id") % 40).alias("shape")
+    )
+    point = spark.range(400).select((F.col("id") % 40).alias("shape"), F.col("id").alias("shape_pt_sequence"), *[F.lit(0.0).alias(c) for c in ("lat", "lon", "offset_m")])
+    dealt, sent = T.fold_inputs(ping, point, ["shape"])
+    assert (dealt.count(), sent.count()) == (800, 400)
+
+
 def test_grid_search_equals_all_segments(spark):
     rng = random.Random(3)
     points = [(i * 180.0, rng.uniform(-300, 300), i * 200.0) for i in range(25)]

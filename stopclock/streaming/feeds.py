@@ -49,18 +49,36 @@ def read_landed(spark: SparkSession, path: str, feed: str, max_files: int = 100)
     )
 
 
+#: Headers sorted in one group are those of so many seconds of a feed.
+SLOT_SECONDS = 3600
+
+
 def mark_unchanged(snapshots: DataFrame, last_header: int | None = None) -> DataFrame:
     """Add `unchanged`: the header time equals that of the snapshot before.
 
     A skipped snapshot has the header of the one last written, so comparing with the one
     before is comparing with the one last written. A missing header is never unchanged.
     Snapshots landed in one instant share a mark: unchanged if each of them is. Only headers are sorted; the messages stay where they are.
+
+    A feed's headers are sorted by time slot; one row for each slot, its last header, is carried over to the next.
     """
-    order = Window.partitionBy("feed").orderBy("received_at")
-    before = F.lag("header_ts", 1, last_header).over(order)
+    inside = Window.partitionBy("feed", "_slot").orderBy("received_at")
+    across = Window.partitionBy("feed").orderBy("_slot")
     header = F.when(F.col("header_ts") > 0, F.col("header_ts"))
-    marks = snapshots.select("feed", "received_at", header.alias("header_ts")).select(
-        "feed", "received_at", F.coalesce(F.col("header_ts") == before, F.lit(False)).alias("unchanged")
+    # snapshots without an instant come first, as in a sort
+    slot = F.coalesce(F.floor(F.unix_micros("received_at") / F.lit(SLOT_SECONDS * 1_000_000)), F.lit(-(1 << 62)))
+    slotted = snapshots.select("feed", "received_at", slot.alias("_slot"), F.struct(header.alias("ts")).alias("_header"))
+    edges = (
+        slotted.groupBy("feed", "_slot")
+        .agg(F.max_by("_header", F.struct("received_at")).alias("_last"))
+        .select("feed", "_slot", F.lag("_last").over(across).alias("_edge"))
+    )
+    first = F.struct(F.lit(last_header).cast("bigint").alias("ts"))
+    marks = (
+        slotted.withColumn("_before", F.lag("_header").over(inside))
+        .join(edges, ["feed", "_slot"])
+        .withColumn("_before", F.coalesce("_before", "_edge", first))
+        .select("feed", "received_at", F.coalesce(F.col("_header.ts") == F.col("_before.ts"), F.lit(False)).alias("unchanged"))
     )
     marks = marks.groupBy("feed", "received_at").agg(F.bool_and("unchanged").alias("unchanged"))
     return snapshots.join(marks, ["feed", "received_at"])

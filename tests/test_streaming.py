@@ -226,3 +226,17 @@ def test_unchanged_compares_with_the_last_only(spark):
     got = [r["unchanged"] for r in S.mark_unchanged(df).orderBy("received_at").collect()]
     assert got == [False, True, False, False, False, False, True]
     assert [r["unchanged"] for r in S.mark_unchanged(df, last_header=5).orderBy("received_at").collect()][0] is True
+
+
+def test_unchanged_is_told_across_time_slots(spark):
+    """Three days of polls against a loop, with a poll's headers sorted by slot: no group holds a feed."""
+    heads = [(i // 3 * 10 or None) if i % 11 else None for i in range(240)]
+    rows = [(f, h, [], utc("2026-10-01 00:00:00") + dt.timedelta(minutes=17 * i + (f == "b"))) for f in ("a", "b") for i, h in enumerate(heads)]
+    df = spark.createDataFrame(rows, "feed string, header_ts bigint, entity array<int>, received_at timestamp")
+    want = [h is not None and h == before for before, h in zip([0, *heads], heads, strict=False)]
+    marked = S.mark_unchanged(df)
+    for feed in ("a", "b"):
+        assert [r["unchanged"] for r in marked.where(F.col("feed") == feed).orderBy("received_at").collect()] == want
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line and "received_at" in line]
+    assert len(windows) == 1 and "_slot" in windows[0].split("],")[1]

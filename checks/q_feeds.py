@@ -263,4 +263,4 @@ def _(v):
     keys = KEYS["prediction_errors"]
     stored = v.scored.select(*keys, "error_seconds")
     new = v.scored.where("source = 'lgbm' and is_weekend").select(*keys, (F.col("error_seconds") + 1).alias("error_seconds"))
-    return upsert_rows(stored, new, keys).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("error_seconds").alias("total"))
+    return upsert_rows(stored, new, keys, within="source").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("error_seconds").alias("total"))

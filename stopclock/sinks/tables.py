@@ -3,6 +3,7 @@
 import json
 import logging
 import uuid
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -131,10 +132,20 @@ def vacuum(spark: SparkSession, path: str, partition_by: list[str]) -> int:
     return gone
 
 
-def upsert_rows(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Last write wins."""
-    kept = stored.join(new.select(*keys), keys, "left_anti")
-    return kept.select(*new.columns).unionByName(new)
+def upsert_rows(stored: DataFrame, new: DataFrame, keys: list[str], within: str | None = None) -> DataFrame:
+    """Last write wins.
+
+    `within` names a key column of few values, such as a source. Its values in `new`, one for each, reach the driver; stored
+    rows of other values can't be replaced and are kept without a comparison, so they are not shuffled.
+    """
+    kept = []
+    if within is not None:
+        values = [r[0] for r in new.select(within).where(F.col(within).isNotNull()).distinct().collect()]
+        touched = F.coalesce(F.col(within).isin(values), F.lit(False))
+        kept = [stored.where(~touched).select(*new.columns)]
+        stored = stored.where(touched)
+    kept.append(stored.join(new.select(*keys), keys, "left_anti").select(*new.columns))
+    return reduce(DataFrame.unionByName, [*kept, new])
 
 
 def upsert(new: DataFrame, path: str, keys: list[str], partition_by: list[str]) -> None:

@@ -301,3 +301,20 @@ def test_registry_row_comes_last(spark, tmp_path):
 
 
 _ = (dt, F)
+
+
+def test_stored_rows_of_sources_not_written_are_kept_without_a_comparison(spark):
+    """The same rows as the plain upsert, with nulls and repeated rows; only the sources written reach the join."""
+    stored = spark.range(60).select(
+        F.when(F.col("id") % 7 != 0, F.col("id") % 9).alias("k"), F.when(F.col("id") % 5 != 0, F.concat(F.lit("s"), F.col("id") % 5)).alias("source"), F.col("id").alias("v")
+    )
+    stored = stored.unionByName(stored.limit(20))
+    for picked in ("source = 's2'", "source in ('s1', 's3') or source is null", "false", "source is null"):
+        new = stored.where(picked).where("v % 2 = 0").withColumn("v", F.col("v") + 1000)
+        plain = TB.upsert_rows(stored, new, ["k", "source"])
+        within = TB.upsert_rows(stored, new, ["k", "source"], within="source")
+        assert within.columns == plain.columns
+        assert sorted(map(str, within.collect())) == sorted(map(str, plain.collect()))
+    sources = spark.createDataFrame([("a", 1, 1), ("b", 1, 2)], "source string, k int, v int")
+    joined = TB.upsert_rows(sources, sources.where("source = 'a'"), ["k", "source"], within="source")
+    assert sorted(map(tuple, joined.collect())) == [("a", 1, 1), ("b", 1, 2)]

@@ -27,13 +27,14 @@ def align(feed_stops: Column, stop_ids: Column, sequences: Column) -> Column:
     return F.aggregate(feed_stops, start, step, lambda state: state["found"])
 
 
-def scheduled_stops(stop_times: DataFrame, keys: tuple[str, ...] = ("trip_id",)) -> DataFrame:
-    """Each trip's stop ids and sequences in order; a trip's length is set by the schedule."""
+def scheduled_stops(stop_times: DataFrame, keys: tuple[str, ...] = ("trip_id",), **more: Column) -> DataFrame:
+    """Each trip's stop ids and sequences in order; a trip's length is set by the schedule. `more` are aggregates of the
+    same rows, such as a trip's first second."""
     stops = F.array_sort(F.collect_list(F.struct(F.col("stop_sequence").cast("int").alias("stop_sequence"), "stop_id")))
     return (
         stop_times.groupBy(*keys)
-        .agg(stops.alias("_stops"))
-        .select(*keys, F.col("_stops.stop_id").alias("stop_ids"), F.col("_stops.stop_sequence").alias("sequences"))
+        .agg(stops.alias("_stops"), *[value.alias(name) for name, value in more.items()])
+        .select(*keys, F.col("_stops.stop_id").alias("stop_ids"), F.col("_stops.stop_sequence").alias("sequences"), *more)
     )
 
 

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from stopclock.fixed import OPTIONAL_FILES, REQUIRED_FILES
 from stopclock.operators.alignment import scheduled_stops
 from stopclock.operators.calendar import expand_service_dates
-from stopclock.operators.service_days import trip_windows
 from stopclock.schemas import FEED_VERSIONS, LOAD_LOG
 from stopclock.sinks.tables import append_log, log_row
 from stopclock.sources.files import delete, exists, folders, stored
@@ -44,11 +43,14 @@ def content_version(spark: SparkSession, folder: str) -> str:
     Two folders with the same lines in each file get the same id whatever the line order.
     """
     lines = spark.read.text(_files(spark, folder)).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+\.txt)(/[^/]*)?$", 1).alias("name"),  # a file, or a folder of its parts
+        F.input_file_name().alias("file"),
         F.xxhash64("value").cast("decimal(38,0)").alias("a"),
         F.xxhash64(F.concat(F.lit("\0"), "value")).cast("decimal(38,0)").alias("b"),
     )
-    per_file = lines.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    # a file, or a folder of its parts; its name is made out once for a part, not for a line
+    name = F.regexp_extract("file", r"([^/]+\.txt)(/[^/]*)?$", 1).alias("name")
+    per_part = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    per_file = per_part.groupBy(name).agg(*[F.sum(c).cast(kind).alias(c) for c, kind in (("n", "long"), ("a", "decimal(38,0)"), ("b", "decimal(38,0)"))])
     parts = F.array_sort(F.collect_list(F.concat_ws("|", *[F.col(c).cast("string") for c in ("name", "n", "a", "b")])))
     return per_file.agg(F.sha2(F.array_join(parts, "\n"), 256)).first()[0]
 
@@ -108,8 +110,10 @@ def _new_load() -> str:
 
 
 def trip_stops(stop_times: DataFrame) -> DataFrame:
-    """Per trip its stop ids and sequences in order, and its first and last scheduled second."""
-    return scheduled_stops(stop_times).join(trip_windows(stop_times), "trip_id", "left")
+    """Per trip its stop ids and sequences in order, and its first and last scheduled second, in one pass. Stops without a
+    trip have no such seconds."""
+    known = F.when(F.col("trip_id").isNotNull(), F.col("arrival_seconds"))
+    return scheduled_stops(stop_times, first_seconds=F.min(known), last_seconds=F.max(known))
 
 
 def _write(rows: DataFrame, root: str, table: str, version: str, load: str, order: list[str] | None = None) -> int:

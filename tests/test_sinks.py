@@ -1,4 +1,5 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
@@ -318,3 +319,20 @@ def test_stored_rows_of_sources_not_written_are_kept_without_a_comparison(spark)
     sources = spark.createDataFrame([("a", 1, 1), ("b", 1, 2)], "source string, k int, v int")
     joined = TB.upsert_rows(sources, sources.where("source = 'a'"), ["k", "source"], within="source")
     assert sorted(map(tuple, joined.collect())) == [("a", 1, 1), ("b", 1, 2)]
+
+
+def test_trip_stops_take_one_pass_and_content_does_not_depend_on_parts(spark, tmp_path):
+    """Stops and seconds of a trip come of one aggregate, as two joined gave them; a folder of parts is the file it makes."""
+    from stopclock.operators.alignment import scheduled_stops
+
+    rows = [("t", 2, "b", 50), ("t", 1, "a", None), ("t", 3, "c", 90), ("u", 1, "a", None), (None, 1, "a", 10), ("t", 3, "c", 90)]
+    stop_times = spark.createDataFrame(rows, "trip_id string, stop_sequence int, stop_id string, arrival_seconds int")
+    got = S.trip_stops(stop_times)
+    want = scheduled_stops(stop_times).join(trip_windows(stop_times), "trip_id", "left")
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    whole, parts = folder(tmp_path, "whole"), folder(tmp_path, "parts")
+    lines = FILES["stop_times.txt"].splitlines()
+    (Path(parts) / "stop_times.txt").unlink()
+    spark.createDataFrame([(x,) for x in lines], "value string").repartition(2, F.col("value")).write.text(f"{parts}/stop_times.txt")
+    assert S.content_version(spark, whole) == S.content_version(spark, parts)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stopclock.operators.changes import select_changed
+from stopclock.streaming import changes
 from stopclock.streaming import feeds as S
 from stopclock.streaming.changes import changed_stream
 from stopclock.streaming.replay import replay
@@ -151,6 +152,23 @@ def test_a_vehicle_not_seen_for_a_while_leaves_map_and_state(spark):
     assert {(r["vehicle_id"], r["commit"]) for r in updates.where("gone").collect()} == {("a", 1), ("b", 2), ("d", 2)}
 
 
+def test_keys_of_one_group_fold_each_by_itself(spark, tmp_path, monkeypatch):
+    """Many keys, some null, in two groups of a day: the stream keeps what the batch keeps, over files and a stored start."""
+    base = utc("2026-10-01 18:00:00")
+    rows = [
+        (day("2026-10-01"), None if k == 7 else f"t{k % 5}", None if k == 8 else k % 4, base + dt.timedelta(seconds=30 * i + k), base + dt.timedelta(seconds=3600 + (i * (k + 3) * 7) % 90), (i * k) % 40 or None)
+        for k in range(20)
+        for i in range(12)
+    ]
+    whole = spark.createDataFrame(rows, SERIES)
+    cut = F.col("observed_at") < F.lit(base + dt.timedelta(seconds=150))
+    monkeypatch.setattr("stopclock.streaming.changes.BUCKETS", 2)
+    got = run_stream(spark, tmp_path, [whole.where(cut), whole.where(~cut)], retain_days=None)
+    want = select_changed(whole)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert changes._dealt(whole).agg(F.count("*")).count() <= 2
+
+
 def test_a_stream_starts_from_the_stored_table_and_reads_it_once(spark, tmp_path):
     """The first row differs little from what is stored; started again, the stream does not touch the table."""
     stored = polls(spark, [(0, None)])

@@ -169,6 +169,25 @@ def test_keys_of_one_group_fold_each_by_itself(spark, tmp_path, monkeypatch):
     assert changes._dealt(whole).agg(F.count("*")).count() <= 2
 
 
+def test_a_group_of_vehicles_loses_those_not_seen_each_at_its_time(spark, monkeypatch):
+    """All vehicles in one group: each leaves when the watermark comes to its own last position, the end included."""
+    monkeypatch.setattr("stopclock.streaming.vehicles.BUCKETS", 1)
+    start = utc("2026-10-01 10:00:00")
+
+    def at(second, vehicle):
+        return (vehicle, start + dt.timedelta(seconds=second), "r", "t", 1.0, 0.0)
+
+    rows = spark.createDataFrame(
+        [at(0, "a"), at(60, "b"), at(61, "c"), at(62, "d"), at(960, "e"), at(962, "d"), at(1900, "f")],
+        "vehicle_id string, ts timestamp, route_id string, trip_id string, lat double, lon double",
+    )
+    cuts = [start + dt.timedelta(seconds=s) for s in (900, 961, 1000)]
+    updates = replay(rows, "ts", vehicle_updates, cuts, ["vehicle_id"], mode="update").persist()
+    assert {(r["vehicle_id"], r["commit"]) for r in updates.where("gone").collect()} == {("a", 1), ("b", 1), ("c", 2), ("d", 3), ("e", 3)}
+    shown = [{r["vehicle_id"] for r in on_map(updates.where(F.col("commit") <= k), ["batch"]).collect()} for k in range(4)]
+    assert shown == [{"a", "b", "c", "d"}, {"c", "d", "e"}, {"d", "e"}, {"f"}]
+
+
 def test_a_stream_starts_from_the_stored_table_and_reads_it_once(spark, tmp_path):
     """The first row differs little from what is stored; started again, the stream does not touch the table."""
     stored = polls(spark, [(0, None)])

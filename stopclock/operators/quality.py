@@ -18,9 +18,15 @@ from stopclock.functions.labels import time_band
 from stopclock.functions.quantiles import count_values, counted_percentile
 
 
+#: Rows whose keys one task counts, about.
+COUNTED_ROWS = 1 << 20
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys held by more than one row, and the rows too many."""
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    """Keys held by more than one row, and the rows too many. Most keys are single, so a task that counts holds every key it
+    meets: rows are dealt out by key before any are counted, over as many tasks as their number asks for."""
+    held = df.select(*keys)
+    per_key = held.repartition(1 + held.count() // COUNTED_ROWS, *keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return per_key.agg(
         F.count_if(F.col("n") > 1).alias("duplicate_keys"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_rows"),

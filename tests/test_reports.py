@@ -236,3 +236,14 @@ def test_quality_rules_find_what_is_broken(spark):
     got = Q.violations(bad, Q.scored_rules()).first()
     assert (got["abs_matches"], got["horizon_known"], got["source_known"], got["prediction_precedes_cutoff"]) == (1, 1, 1, 0)
     assert tuple(Q.duplicate_keys(bad, ["start_date", "trip_id", "stop_sequence", "horizon_minutes", "source"]).first()) == (1, 1)
+
+
+def test_keys_are_dealt_out_before_they_are_counted(spark, monkeypatch, capsys):
+    monkeypatch.setattr(Q, "COUNTED_ROWS", 10)
+    rows = spark.createDataFrame([(i % 25, None if i % 25 == 3 else "a") for i in range(30)], "k int, s string")
+    found = Q.duplicate_keys(rows, ["k", "s"])
+    assert tuple(found.first()) == (5, 5)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "4), REPARTITION_BY_NUM" in plan
+    assert "HashAggregate(keys=[k" not in plan[plan.index("REPARTITION_BY_NUM") :]

@@ -250,6 +250,24 @@ def test_boosting_equals_loops_over_rows(spark, monkeypatch, seed):
     assert one.predict(values).tolist() == pytest.approx(brute_trees(usable, 4, settings, rounds, one.edges), abs=1e-9)
 
 
+def test_a_small_table_grows_the_same_trees_when_its_file_is_read_in_parts(spark):
+    """Parts without rows grew trees too: they ended the search after the first eight."""
+    rows, settings = boosting_rows(260), M.TreeSettings(rounds=40, step=0.1, depth=2, min_rows=9, patience=9)
+    model, rounds = M.fit_trees(boosting_frame(spark, rows, 1), 4, settings)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        parted, again = M.fit_trees(boosting_frame(spark, rows, 1), 4, settings)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert again == rounds > B.UNWRITTEN
+    assert [t.value.tolist() for t in parted.trees] == [t.value.tolist() for t in model.trees]
+
+
+def test_passes_use_the_cores_there_are():
+    assert [B.tasks_for(n, 12) for n in (0, 1000, 1 << 18, 325_243, 2_000_000, 12_000_000)] == [1, 1, 1, 5, 12, 46]
+
+
 def test_boosting_without_late_rows_or_rows(spark):
     rows = boosting_rows(40)
     frame = boosting_frame(spark, rows).withColumn("late", F.lit(False))

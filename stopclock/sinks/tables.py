@@ -91,19 +91,27 @@ def table(spark: SparkSession, path: str, schema: T.StructType, partition_by: li
     files that count are read."""
     if not partition_by:
         return stored(spark, path, schema)
-    layout = T.StructType([f for f in schema.fields if f.name != GENERATION] + [T.StructField(GENERATION, T.StringType())])
-    rows = stored(spark, path, layout)
+    rows = _generations(spark, path, schema)
     return rows.where(F.col(GENERATION) == _generation(spark, path, partition_by)).select(*schema.fieldNames())
 
 
+def _generations(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows of a table whose partitions can be replaced, those that count and those that do not."""
+    layout = T.StructType([f for f in schema.fields if f.name != GENERATION] + [T.StructField(GENERATION, T.StringType())])
+    return stored(spark, path, layout)
+
+
+def _write(rows: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Append rows to the generations they name. AQE splits a partition value with many rows and merges those with few."""
+    rows.hint("rebalance", *partition_by).write.mode("append").partitionBy(GENERATION, *partition_by).parquet(path)
+
+
 def append(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Append rows to the generations that count."""
     if not partition_by:
         rows.write.mode("append").parquet(path)
         return
-    # AQE splits a partition value with many rows and merges those with few
-    rows = rows.withColumn(GENERATION, _generation(rows.sparkSession, path, partition_by)).hint("rebalance", *partition_by)
-    rows.write.mode("append").partitionBy(GENERATION, *partition_by).parquet(path)
+    _write(rows.withColumn(GENERATION, _generation(rows.sparkSession, path, partition_by)), path, partition_by)
 
 
 def replace_partitions(rows: DataFrame, path: str, partition_by: list[str], touched: list[str]) -> None:
@@ -112,8 +120,7 @@ def replace_partitions(rows: DataFrame, path: str, partition_by: list[str], touc
     `rows` may be read from the table itself: its files stay, until `vacuum`.
     """
     generation = uuid.uuid4().hex
-    marked = rows.withColumn(GENERATION, F.lit(generation)).hint("rebalance", *partition_by)
-    marked.write.mode("append").partitionBy(GENERATION, *partition_by).parquet(path)
+    _write(rows.withColumn(GENERATION, F.lit(generation)), path, partition_by)
     spark = rows.sparkSession
     _put_manifest(spark, path, manifest(spark, path) | dict.fromkeys(touched, generation))
 
@@ -149,15 +156,22 @@ def upsert_rows(stored: DataFrame, new: DataFrame, keys: list[str], within: str
 
 
 def upsert(new: DataFrame, path: str, keys: list[str], partition_by: list[str]) -> None:
-    """Last write wins, rewriting only the partitions the new rows fall in. Their names, one for each, reach the driver."""
+    """Last write wins, rewriting only the partitions the new rows fall in. Their names, one for each, reach the driver.
+
+    The new rows are written first and read back for the comparison, so what makes them runs once.
+    """
     spark = new.sparkSession
     if not exists(spark, path):
         append(new, path, partition_by)
         return
-    touched = new.select(*partition_by).distinct()
-    known = table(spark, path, new.schema, partition_by).join(touched, partition_by, "left_semi")
-    names = [r[0] for r in touched.select(_partition(partition_by)).collect()]
-    replace_partitions(upsert_rows(known, new, keys), path, partition_by, names)
+    generation = uuid.uuid4().hex
+    _write(new.withColumn(GENERATION, F.lit(generation)), path, partition_by)
+    written = _generations(spark, path, new.schema).where(F.col(GENERATION) == generation)
+    names = [r[0] for r in written.select(_partition(partition_by)).distinct().collect()]
+    known = table(spark, path, new.schema, partition_by).where(_partition(partition_by).isin(names))
+    kept = not_yet_stored(known, written, keys).select(*new.columns)
+    _write(kept.withColumn(GENERATION, F.lit(generation)), path, partition_by)
+    _put_manifest(spark, path, manifest(spark, path) | dict.fromkeys(names, generation))
 
 
 def move_rows(corrected: DataFrame, path: str, old_day: str, day: str = "start_date") -> int:

@@ -336,3 +336,21 @@ def test_trip_stops_take_one_pass_and_content_does_not_depend_on_parts(spark, tm
     (Path(parts) / "stop_times.txt").unlink()
     spark.createDataFrame([(x,) for x in lines], "value string").repartition(2, F.col("value")).write.text(f"{parts}/stop_times.txt")
     assert S.content_version(spark, whole) == S.content_version(spark, parts)
+
+
+def test_upsert_makes_its_new_rows_once(spark, tmp_path):
+    """The rows are made for the write alone; partitions without a value keep the rows the new ones do not replace."""
+    path, key = str(tmp_path / "errors"), ["k", "source"]
+    upsert(spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "b", 3), (4, None, 4)], "k int, source string, error int"), path, key, ["source"])
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(2, "a", 20), (5, "a", 50), (6, None, 60)], "k int, source string, error int")
+    upsert(rows.mapInArrow(counted, rows.schema), path, key, ["source"])
+    assert made.value == 3
+    got = table(spark, path, rows.schema, ["source"]).collect()
+    assert {tuple(r) for r in got} == {(1, "a", 1), (2, "a", 20), (5, "a", 50), (3, "b", 3), (4, None, 4), (6, None, 60)} and len(got) == 6

@@ -288,11 +288,14 @@ def upcoming(
 
     The latest revision of a run's call is picked before past ones are dropped, so a withdrawn
     older revision cannot come back, and the bias is looked up by the route the trip has. A run that
-    began over two days before `as_of` is over; its partitions are not read.
+    began over two days before `as_of` is over; its partitions are not read. Revisions are first combined route by route,
+    in numbers only, which takes a hash table and no sort of them all; headsigns are looked up for the next services only.
     """
     pair_bias, route_bias = bias_tables(scored, horizon, TIGHT_LABEL_SECONDS)
     latest = (
         predictions.where(F.col("arrival_time").isNotNull() & (F.col("start_date") >= F.to_date(as_of) - 2))
+        .groupBy("stop_id", "start_date", "trip_id", "stop_sequence", "route_id")
+        .agg(F.max_by("arrival_time", "observed_at").alias("arrival_time"), F.max("observed_at").alias("observed_at"))
         .groupBy("stop_id", "start_date", "trip_id", "stop_sequence")
         .agg(F.max_by(F.struct("route_id", "arrival_time", "observed_at"), "observed_at").alias("_p"))
         .select("stop_id", "start_date", "trip_id", "stop_sequence", "_p.*")
@@ -300,14 +303,19 @@ def upcoming(
     )
     order = Window.partitionBy("stop_id").orderBy("arrival_time", "trip_id", "stop_sequence", "start_date")
     next_ones = latest.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
-    trip_side = one_per_id(trips, "trip_id", ["trip_headsign", "route_id"]).withColumnRenamed("route_id", "_route")
+    versions = trips.select("trip_id", "feed_version", F.struct("trip_headsign", F.col("route_id").alias("_route")).alias("_trip"))
+    headed = (
+        next_ones.join(versions, "trip_id", "left")
+        .groupBy(*next_ones.columns)
+        .agg(F.min_by("_trip", "feed_version").alias("_trip"))
+        .select(*next_ones.columns, "_trip.*")
+    )
     route_side = one_per_id(route_table, "route_id", ["route_short_name", "route_type"])
     chosen = choose_bias(
         F.col("_pn"), F.col("_pb"), F.col("_rn"), F.col("_rb"), min_sample, max(min_sample * 3, 1)
     )
     return (
-        next_ones.join(trip_side, "trip_id", "left")
-        .withColumn("route_id", F.coalesce("route_id", "_route"))
+        headed.withColumn("route_id", F.coalesce("route_id", "_route"))
         .join(route_side, "route_id", "left")
         .join(pair_bias.select("stop_id", "route_id", F.col("n").alias("_pn"), F.col("bias").alias("_pb")), ["stop_id", "route_id"], "left")
         .join(route_bias.select("route_id", F.col("n").alias("_rn"), F.col("bias").alias("_rb")), "route_id", "left")

@@ -247,3 +247,24 @@ def test_keys_are_dealt_out_before_they_are_counted(spark, monkeypatch, capsys):
     plan = capsys.readouterr().out
     assert "4), REPARTITION_BY_NUM" in plan
     assert "HashAggregate(keys=[k" not in plan[plan.index("REPARTITION_BY_NUM") :]
+
+
+def test_upcoming_combines_revisions_without_sorting_them(spark):
+    """Revisions by two routes and by none are one call; trips are not reduced for services that are not shown."""
+    when = lambda t: utc(f"2026-10-01 {t}")
+    said = [("t", "r", "20:00:00", "18:00:00"), ("t", None, "20:05:00", "18:10:00"), ("t", "q", "20:02:00", "18:05:00"), (None, "r", "20:10:00", "18:00:00")]
+    preds = spark.createDataFrame(
+        [(day("2026-10-01"), "stop", t, 1, r, when(a), when(o)) for t, r, a, o in said],
+        "start_date date, stop_id string, trip_id string, stop_sequence int, route_id string, arrival_time timestamp, observed_at timestamp",
+    )
+    trips = spark.createDataFrame(
+        [("v2", "t", "r2", "South"), ("v1", "t", "r", "North"), ("v1", "t", "r", "North"), ("v1", "w", "r", "West")],
+        "feed_version string, trip_id string, route_id string, trip_headsign string",
+    )
+    names = spark.createDataFrame([("v", "r", "7", 3)], "feed_version string, route_id string, route_short_name string, route_type int")
+    got = P.upcoming(preds, trips, names, scored(spark, row(error=1)), F.lit(when("19:00:00")))
+    shown = [(r["position"], r["trip_id"], r["route_id"], r["headsign"], r["mts_arrival"], r["predicted_at"]) for r in got.orderBy("position").collect()]
+    assert shown == [(1, "t", "r", "North", when("20:05:00"), when("18:10:00")), (2, None, "r", None, when("20:10:00"), when("18:00:00"))]
+    assert "max_by(arrival_time" in got._jdf.queryExecution().optimizedPlan().toString()
+    first = next(line for line in reversed(got._jdf.queryExecution().sparkPlan().toString().splitlines()) if "partial_max_by(arrival_time" in line)
+    assert "HashAggregate" in first

@@ -264,6 +264,22 @@ def test_a_small_table_grows_the_same_trees_when_its_file_is_read_in_parts(spark
     assert [t.value.tolist() for t in parted.trees] == [t.value.tolist() for t in model.trees]
 
 
+def test_a_search_over_a_small_table_is_one_pass(spark, monkeypatch):
+    """A pass ended after eight trees, and what a pass costs was paid for every eight."""
+    asked, grow = [], B._Series.grow
+    monkeypatch.setattr(B._Series, "grow", lambda self, *of: asked.append(1) or grow(self, *of))
+    _, rounds = M.fit_trees(boosting_frame(spark, boosting_rows(260), 1), 4, M.TreeSettings(rounds=40, step=0.1, depth=2, min_rows=9, patience=9))
+    assert rounds > 8 and len(asked) == 1
+
+
+def test_a_long_search_is_the_same_in_several_passes(spark, monkeypatch):
+    rows, settings = boosting_rows(260), M.TreeSettings(rounds=40, step=0.1, depth=2, min_rows=9, patience=9)
+    whole, rounds = M.fit_trees(boosting_frame(spark, rows, 1), 4, settings)
+    monkeypatch.setattr(B, "GROWN", 4)
+    parted, again = M.fit_trees(boosting_frame(spark, rows, 1), 4, settings)
+    assert again == rounds > 8 and [t.value.tolist() for t in parted.trees] == [t.value.tolist() for t in whole.trees]
+
+
 def test_passes_use_the_cores_there_are():
     assert [B.tasks_for(n, 12) for n in (0, 1000, 1 << 18, 325_243, 2_000_000, 12_000_000)] == [1, 1, 1, 5, 12, 46]
 

@@ -58,6 +58,21 @@ def test_a_target_is_never_its_own_anchor(spark):
     assert X.anchors(asked(spark, (1, 900, 1)), arrivals(spark, (1, 0, 0))).isEmpty()
 
 
+def test_scored_rows_are_not_sorted_for_their_anchors(spark):
+    """They were, as whole rows, in time order of their trip: what memory did not hold was spilled."""
+    q, a = asked(spark, (3, 460, 5)), arrivals(spark, (1, 0, 0), (2, 100, 60))
+    plan = X.anchors(q, a)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+
+
+def test_equal_scored_rows_whose_trip_runs_on_or_backwards(spark):
+    """Each keeps its own answer where the furthest known stop lies ahead of it; else equal ones count once."""
+    on, back = arrivals(spark, (1, 0, 0), (3, 600, 0)), arrivals(spark, (1, 0, 0), (9, 10, 0), (3, 600, 0))
+    twice = asked(spark, (3, 600, 5), (3, 600, 5))
+    assert len(X.anchors(twice, on).collect()) == 2 and len(X.anchors(twice, back).collect()) == 1
+    assert anchor_of(X.anchors(twice, back)) == [(3, 5, 1)]
+
+
 def test_anchor_is_the_furthest_stop_not_the_latest_time(spark):
     a = arrivals(spark, (1, 300, 0), (2, 100, 0), (3, 2000, 0))
     assert anchor_of(X.anchors(asked(spark, (3, 2000, 1)), a)) == [(3, 1, 2)]

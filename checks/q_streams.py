@@ -167,7 +167,7 @@ def _(v):
     rows = v.scored.select(*keys, "error_seconds", day.alias("month"))
     tables.upsert(rows, path, keys, ["month", "source"])
     new = v.scored.where("source = 'lgbm' and is_weekend").select(*keys, (F.col("error_seconds") + 1).alias("error_seconds"), day.alias("month"))
-    tables.upsert(new, path, keys, ["month", "source"])
+    tables.upsert(new, path, keys, ["month", "source"], within="start_date")
     stored = tables.table(v.spark, path, rows.schema, ["month", "source"])
     return stored.groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.sum("error_seconds").alias("total"), F.count_distinct("start_date").alias("days")

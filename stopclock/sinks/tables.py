@@ -139,11 +139,12 @@ def vacuum(spark: SparkSession, path: str, partition_by: list[str]) -> int:
     return gone
 
 
-def upsert_rows(stored: DataFrame, new: DataFrame, keys: list[str], within: str | None = None) -> DataFrame:
-    """Last write wins.
+def kept_rows(stored: DataFrame, new: DataFrame, keys: list[str], within: str | None = None) -> DataFrame:
+    """Stored rows that no new row replaces.
 
-    `within` names a key column of few values, such as a source. Its values in `new`, one for each, reach the driver; stored
-    rows of other values can't be replaced and are kept without a comparison, so they are not shuffled.
+    `within` names a key column of few values, such as a source or a service day. Its values in `new`, one for each, reach
+    the driver; stored rows of other values can't be replaced and are kept without a comparison, so they are not shuffled
+    for one.
     """
     kept = []
     if within is not None:
@@ -151,14 +152,20 @@ def upsert_rows(stored: DataFrame, new: DataFrame, keys: list[str], within: str
         touched = F.coalesce(F.col(within).isin(values), F.lit(False))
         kept = [stored.where(~touched).select(*new.columns)]
         stored = stored.where(touched)
-    kept.append(stored.join(new.select(*keys), keys, "left_anti").select(*new.columns))
-    return reduce(DataFrame.unionByName, [*kept, new])
+    kept.append(not_yet_stored(stored, new, keys).select(*new.columns))
+    return reduce(DataFrame.unionByName, kept)
+
+
+def upsert_rows(stored: DataFrame, new: DataFrame, keys: list[str], within: str | None = None) -> DataFrame:
+    """Last write wins; of `within`, see `kept_rows`."""
+    return kept_rows(stored, new, keys, within).unionByName(new)
 
 
-def upsert(new: DataFrame, path: str, keys: list[str], partition_by: list[str]) -> None:
+def upsert(new: DataFrame, path: str, keys: list[str], partition_by: list[str], within: str | None = None) -> None:
     """Last write wins, rewriting only the partitions the new rows fall in. Their names, one for each, reach the driver.
 
-    The new rows are written first and read back for the comparison, so what makes them runs once.
+    The new rows are written first and read back for the comparison, so what makes them runs once. Of `within`, see
+    `kept_rows`.
     """
     spark = new.sparkSession
     if not exists(spark, path):
@@ -169,7 +176,7 @@ def upsert(new: DataFrame, path: str, keys: list[str], partition_by: list[str])
     written = _generations(spark, path, new.schema).where(F.col(GENERATION) == generation)
     names = [r[0] for r in written.select(_partition(partition_by)).distinct().collect()]
     known = table(spark, path, new.schema, partition_by).where(_partition(partition_by).isin(names))
-    kept = not_yet_stored(known, written, keys).select(*new.columns)
+    kept = kept_rows(known, written.select(*new.columns), keys, within)
     _write(kept.withColumn(GENERATION, F.lit(generation)), path, partition_by)
     _put_manifest(spark, path, manifest(spark, path) | dict.fromkeys(names, generation))
 

@@ -354,3 +354,18 @@ def test_upsert_makes_its_new_rows_once(spark, tmp_path):
     assert made.value == 3
     got = table(spark, path, rows.schema, ["source"]).collect()
     assert {tuple(r) for r in got} == {(1, "a", 1), (2, "a", 20), (5, "a", 50), (3, "b", 3), (4, None, 4), (6, None, 60)} and len(got) == 6
+
+
+def test_upsert_compares_only_rows_of_touched_days(spark, tmp_path, monkeypatch):
+    """All stored rows of a rewritten month were shuffled to be held against the new ones of a day."""
+    path, key, by, compared = str(tmp_path / "errors"), ["day", "k"], ["month"], []
+    schema = "day date, k int, month string, error int"
+    d1, d2 = day("2026-10-01"), day("2026-10-02")
+    old = [(d1, 1, "10", 1), (d1, 2, "10", 2), (d2, 1, "10", 3), (None, 1, "10", 4), (d2, 9, "11", 5)]
+    upsert(spark.createDataFrame(old, schema), path, key, by)
+    hold = TB.not_yet_stored
+    monkeypatch.setattr(TB, "not_yet_stored", lambda batch, stored, keys: compared.extend(batch.collect()) or hold(batch, stored, keys))
+    upsert(spark.createDataFrame([(d1, 2, "10", 20), (d1, 3, "10", 30), (None, 1, "10", 40)], schema), path, key, by, within="day")
+    assert sorted(r["error"] for r in compared) == [1, 2]
+    stored = table(spark, path, spark.createDataFrame(old, schema).schema, by)
+    assert sorted(r["error"] for r in stored.collect()) == [1, 3, 4, 5, 20, 30, 40]
